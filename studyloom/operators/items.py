@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, candidate_score, correct_key,
                                            pick_distractors, relation, repair_high_risk, short_answer_issue,
@@ -139,7 +139,7 @@ def recover(text: str) -> list[str] | None:
     return found or None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _recover_array(texts: pd.Series) -> pd.Series:
     return texts.map(recover)
 

@@ -132,27 +132,28 @@ def score_attempts(attempts, quiz_questions, answers, options) -> DataFrame:
 
     ``quiz_questions``: quiz_id, question_id, points.  A question without an answer row is unanswered.
     """
-    rejected = (bad_selections(answers, options).select("attempt_id")
-                .unionByName(foreign_answers(answers, attempts, quiz_questions).select("attempt_id")).distinct())
-    open_attempts = attempts.withColumnRenamed("id", "attempt_id").join(rejected, "attempt_id", "left_anti")
-    chosen = answers.select("attempt_id", "question_id", "selected_option_id").join(
+    chosen = answers.select("attempt_id", "question_id", "selected_option_id", F.lit(True).alias("_given")).join(
         options.select(F.col("id").alias("selected_option_id"), "question_id", F.col("is_correct").alias("right")),
         ["selected_option_id", "question_id"], "left")
-    sheet = (open_attempts.select("attempt_id", "quiz_id").join(quiz_questions, "quiz_id")
-             .join(chosen, ["attempt_id", "question_id"], "left"))
-    right = F.coalesce("right", F.lit(False))
+    open_attempts = attempts.withColumnRenamed("id", "attempt_id")
+    asked = open_attempts.select("attempt_id", "quiz_id").join(
+        quiz_questions.select("quiz_id", "question_id", "points"), "quiz_id").drop("quiz_id").withColumn("_asked", F.lit(True))
+    # One outer join shows unanswered questions, foreign answers and bad selections alike.
+    sheet = asked.join(chosen, ["attempt_id", "question_id"], "full")
+    known, right = F.coalesce("_asked", F.lit(False)), F.coalesce("right", F.lit(False))
+    picked = F.col("selected_option_id").isNotNull()
     zero = F.lit(0).cast("decimal(8,2)")
     totals = sheet.groupBy("attempt_id").agg(
         F.sum("points").alias("max_score"), F.sum(F.when(right, F.col("points")).otherwise(zero)).alias("score"),
-        F.count_if(right).alias("correct_count"),
-        F.count_if(F.col("selected_option_id").isNotNull() & ~right).alias("wrong_count"),
-        F.count_if(F.col("selected_option_id").isNull()).alias("unanswered_count"))
+        F.count_if(right).alias("correct_count"), F.count_if(picked & ~right).alias("wrong_count"),
+        F.count_if(known & ~picked).alias("unanswered_count"),
+        F.max(~known | (picked & F.col("right").isNull())).alias("_rejected"))
     none = F.coalesce("max_score", F.lit(0)) == 0
     pct = F.when(none, F.lit(0).cast("decimal(6,2)")).otherwise(
         F.bround(F.col("score") * 100 / F.col("max_score"), 2).cast("decimal(6,2)"))
     spent = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col("submitted_at").cast("timestamp"))
                                          - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000000))
-    return (open_attempts.join(totals, "attempt_id", "left")
+    return (open_attempts.join(totals, "attempt_id", "left").filter(~F.coalesce("_rejected", F.lit(False))).drop("_rejected")
             .withColumns({"percentage": pct, "time_spent_seconds": spent.cast("long")})
             .fillna(0, ["max_score", "score", "correct_count", "wrong_count", "unanswered_count"]))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Fixed values of the upload rules.
 EXTENSIONS = ("pdf", "docx", "txt", "md")
@@ -16,8 +17,8 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", decode_lossy("content").alias("content"))
 
 
-@F.pandas_udf("string")
-def decode_lossy(content):
+@F.pandas_udf(T.StringType())
+def decode_lossy(content: pd.Series) -> pd.Series:
     """UTF-8 without the bytes that do not decode; JVM decoding would put a replacement character instead."""
     return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"))
 
