@@ -83,21 +83,29 @@ def _text(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit("")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_by(items: Column, key) -> Column:
     """Array elements whose key did not occur earlier, in order."""
-    empty = F.slice(items, 1, 0)
-    return F.aggregate(items, empty, lambda acc, x: F.when(F.exists(acc, lambda y: key(y) == key(x)), acc)
-                       .otherwise(F.array_append(acc, x)))
+    keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
+    firsts = let(keyed, lambda all_: F.filter(all_, lambda e, i: F.array_position(
+        F.transform(all_, lambda z: z.k), e.k) == i + 1))
+    return F.transform(firsts, lambda e: e.x)
 
 
 def relation(stem: Column) -> Column:
     """What the stem asks for; the first matching rule wins, cloze prefixes before all."""
-    low = F.lower(_text(stem))
-    blank = F.contains(low, F.lit(BLANK))
-    out = F.when(blank & starts_with_any(low, FORMULA_CLOZE), "FORMULA").when(blank & starts_with_any(low, FACT_CLOZE), "FACT")
-    for name, markers in STEM_MARKERS:
-        out = out.when(has_any(low, markers), name)
-    return out.otherwise("FACT")
+    def first_match(low):
+        blank = F.contains(low, F.lit(BLANK))
+        out = F.when(blank & starts_with_any(low, FORMULA_CLOZE), "FORMULA").when(blank & starts_with_any(low, FACT_CLOZE), "FACT")
+        for name, markers in STEM_MARKERS:
+            out = out.when(has_any(low, markers), name)
+        return out.otherwise("FACT")
+
+    return let(F.lower(_text(stem)), first_match)
 
 
 def relation_in_evidence(kind: Column, evidence: Column) -> Column:
@@ -132,23 +140,24 @@ def clean_answer(text: Column) -> Column:
 
 def standalone_issue(answer: Column) -> Column:
     """Why an answer cannot stand alone; null if it can."""
-    a = clean_answer(answer)
-    n = norm_compare(a)
-    return (F.when(a == "", "empty answer candidate").when(n == "", "empty normalized answer candidate")
-            .when(n.isin(*DEICTIC), "deictic/context-dependent answer fragment")
-            .when(starts_with_any(n, CONNECTORS), "connector-led context-dependent answer"))
+    return let(clean_answer(answer), lambda a: let(norm_compare(a), lambda n: (
+        F.when(a == "", "empty answer candidate").when(n == "", "empty normalized answer candidate")
+        .when(n.isin(*DEICTIC), "deictic/context-dependent answer fragment")
+        .when(starts_with_any(n, CONNECTORS), "connector-led context-dependent answer"))))
 
 
 def short_answer_issue(answer: Column, evidence: Column) -> Column:
     """Answers of one or two words must be defined or labelled by the evidence."""
-    a, ev = clean_answer(answer), squeeze(evidence)
-    n = word_count(a)
-    lit_a, e = literal_pattern(norm_compare(a)), norm_compare(ev)
-    head = F.concat(F.lit("(?U)\\A"), lit_a, F.lit(f"(?:{SPACE}+là\\b|{SPACE}*:)"))
-    later = F.concat(F.lit("(?U)\\b"), lit_a, F.lit(f"{SPACE}+(?:được gọi là|được hiểu là|có nghĩa là)\\b"))
-    return (F.when((a == "") | (ev == ""), "empty answer/evidence").when((n < 1) | (n > 2), F.lit(None))
-            .when(F.rlike(e, head) | F.rlike(e, later), F.lit(None))
-            .otherwise("short concept answer is not explicitly defined/labeled by its evidence"))
+    def check(a, ev):
+        n = word_count(a)
+        lit_a, e = literal_pattern(norm_compare(a)), norm_compare(ev)
+        defined = F.concat(F.lit("(?U)(?:\\A"), lit_a, F.lit(f"(?:{SPACE}+là\\b|{SPACE}*:))|(?:\\b"), lit_a,
+                           F.lit(f"{SPACE}+(?:được gọi là|được hiểu là|có nghĩa là)\\b)"))
+        return (F.when((a == "") | (ev == ""), "empty answer/evidence").when(~n.between(1, 2), F.lit(None))
+                .when(F.rlike(e, defined), F.lit(None))
+                .otherwise("short concept answer is not explicitly defined/labeled by its evidence"))
+
+    return let(clean_answer(answer), lambda a: let(squeeze(evidence), lambda ev: check(a, ev)))
 
 
 def unnumbered(c: Column) -> Column:
@@ -161,49 +170,57 @@ def answer_candidates(span: Column) -> Column:
     Label before ":", quoted phrases, equations, complements of relation words, comma clauses; if none
     is usable, the first ten words.
     """
-    raw = squeeze(span)
-    plain = unnumbered(raw)
+    return let(squeeze(span), lambda raw: let(unnumbered(raw), lambda plain: _candidates(raw, plain)))
+
+
+def _candidates(raw: Column, plain: Column) -> Column:
     none = F.array().cast("array<string>")
     label = F.when(F.contains(plain, F.lit(":")), F.array(F.substring_index(plain, ":", 1))).otherwise(none)
     quoted = F.regexp_extract_all(raw, F.lit('["“”]([^"“”]{2,100})["“”]'), 1)
     eq = F.regexp_extract_all(raw, F.lit(f"({EQUATION})"), 1)
-    formula = F.when(~F.contains(raw, F.lit("=")), none).when(F.size(eq) > 0, eq).otherwise(
-        F.array(F.substring_index(raw, ".", 1)))
+    formula = F.when(~F.contains(raw, F.lit("=")), none).otherwise(let(
+        eq, lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.substring_index(raw, ".", 1)))))
     complements = [F.regexp_extract_all(raw, F.lit(f"(?iu){NOT_AFTER_WORD}{p}{SPACE}+(.+?)(?=[,;.]|\\z)"), 1)
                    for p in RELATION_PHRASES]
     mixed = lambda x: (F.regexp_count(x, F.lit("=")) >= 2) & has_any(F.lower(x), TRANSITIONS)
     clauses = F.filter(F.split(plain, "[,;]"), lambda x: ~mixed(x))
-    found = _usable(F.concat(label, quoted, formula, *complements, clauses), raw)
     opening = F.regexp_extract(plain, f"\\A((?:[^ ]+ ){{0,9}}[^ ]+)", 1)
-    return F.when(raw == "", none).when(F.size(found) > 0, found).otherwise(_usable(F.array(opening), raw))
+    return F.when(raw == "", none).otherwise(let(
+        _usable(F.concat(label, quoted, formula, *complements, clauses), raw),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(_usable(F.array(opening), raw))))
 
 
 def _usable(items: Column, raw: Column) -> Column:
     """Cleaned candidates of 2 to 110 characters and 1 to 14 words that occur in the span, distinct."""
-    ev = norm_evidence(raw)
-    tidy = F.filter(F.transform(items, clean_answer), lambda x: F.length(x).between(2, 110)
-                    & word_count(x).between(1, 14) & (norm_evidence(x) != "") & F.contains(ev, norm_evidence(x)))
-    return first_by(tidy, norm_evidence)
+    def keep(ev):
+        return F.filter(F.transform(items, clean_answer), lambda x: F.length(x).between(2, 110)
+                        & word_count(x).between(1, 14) & let(norm_evidence(x), lambda n: (n != "") & F.contains(ev, n)))
+
+    return first_by(let(norm_evidence(raw), keep), norm_evidence)
 
 
 def candidate_score(answer: Column, evidence: Column) -> Column:
     """Preference among answer candidates."""
-    a, ev = _text(answer), _text(evidence)
+    return let(_text(answer), lambda a: let(_text(evidence), lambda ev: let(unnumbered(ev), lambda plain: _score(a, ev, plain))))
+
+
+def _score(a: Column, ev: Column, plain: Column) -> Column:
     n, size = word_count(a), F.length(a)
     score = F.when(n.between(2, 7), 40.0).when(n.between(8, 10), 28.0).when(n == 1, 14.0).otherwise(8.0)
     score = score + F.when(size <= 60, 15.0).when(size <= 90, 6.0).otherwise(0.0)
-    plain = unnumbered(ev)
     label = strip(F.substring_index(plain, ":", 1))
     is_label = F.contains(plain, F.lit(":")) & (norm_evidence(label) == norm_evidence(a))
     score = score + F.when(is_label, F.when(word_count(label) >= 2, 55.0).otherwise(5.0)).otherwise(0.0)
+
+    def transition(low, at):
+        after = F.lit(False)
+        for m in TRANSITIONS:
+            after = after | ((F.instr(low, m) > 0) & (at > F.instr(low, m)))
+        return F.when(after, 80.0).otherwise(45.0)
+
     both = F.contains(ev, F.lit("=")) & F.contains(a, F.lit("="))
-    low = F.lower(ev)
-    at = _find(low, norm_evidence(a))
-    after = F.lit(False)
-    for m in TRANSITIONS:
-        where = F.instr(low, m)
-        after = after | ((where > 0) & (at > where))
-    score = score + F.when(both, F.when(after, 80.0).otherwise(45.0)).otherwise(0.0)
+    formula = let(F.lower(ev), lambda low: let(_find(low, norm_evidence(a)), lambda at: transition(low, at)))
+    score = score + F.when(both, formula).otherwise(0.0)
     return score - F.when(norm_compare(a).isin(*GENERIC), 25.0).otherwise(0.0) - size * 0.03
 
 
@@ -214,28 +231,34 @@ def _find(text: Column, part: Column) -> Column:
 
 def strict_support(option: Column, evidence: Column) -> Column:
     """The whole phrase occurs in the evidence; a single token must occur as a whole word."""
-    o, ev = norm_evidence(option), norm_evidence(evidence)
-    tokens = words(o)
-    return (F.when((o == "") | (ev == ""), False).when(F.contains(ev, o), True)
-            .when(F.size(tokens) == 1, F.array_contains(words(ev), F.get(tokens, 0))).otherwise(False))
+    return let(norm_evidence(option), lambda o: let(norm_evidence(evidence), lambda ev: supported_in(o, ev)))
+
+
+def supported_in(o: Column, ev: Column) -> Column:
+    """``strict_support`` on texts that are already normalized."""
+    single = let(words(o), lambda w: (F.size(w) == 1) & F.array_contains(words(ev), F.get(w, 0)))
+    return F.when((o == "") | (ev == ""), False).when(F.contains(ev, o), True).otherwise(single)
 
 
 def loose_support(option: Column, answer: Column, evidence: Column) -> Column:
     """At least two content tokens and two thirds of them occur; a single one must occur."""
     o = norm_evidence(option)
     s = norm_evidence(F.concat(F.coalesce(answer, F.lit("")), F.lit(" "), F.coalesce(evidence, F.lit(""))))
-    tokens = F.filter(words(o), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP))
-    have = words(s)
-    hit = F.size(F.filter(tokens, lambda t: F.array_contains(have, t)))
-    return (F.when((o == "") | (s == ""), False).when(F.contains(s, o), True).when(F.size(tokens) == 0, False)
-            .when(F.size(tokens) == 1, hit == 1).otherwise((hit >= 2) & (hit / F.size(tokens) >= 0.67)))
+    def check(o, s, tokens, hit):
+        return (F.when((o == "") | (s == ""), False).when(F.contains(s, o), True).when(F.size(tokens) == 0, False)
+                .when(F.size(tokens) == 1, hit == 1).otherwise((hit >= 2) & (hit / F.size(tokens) >= 0.67)))
+
+    content = lambda o: F.filter(words(o), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP))
+    hits = lambda s, tokens: let(words(s), lambda have: F.size(F.filter(tokens, lambda t: F.array_contains(have, t))))
+    return let(o, lambda o: let(s, lambda s: let(content(o), lambda tokens: let(
+        hits(s, tokens), lambda hit: check(o, s, tokens, hit)))))
 
 
 def is_label_evidence(answer: Column, evidence: Column) -> Column:
     """The evidence has the form "answer: definition"."""
-    a = F.lower(squeeze(answer))
     ev = F.lower(strip(F.regexp_replace(squeeze(evidence), r"\A" + BULLET, "")))
-    return (a != "") & (F.startswith(ev, F.concat(a, F.lit(":"))) | F.startswith(ev, F.concat(a, F.lit(" :"))))
+    return let(F.lower(squeeze(answer)), lambda a: let(ev, lambda ev: (a != "") & (
+        F.startswith(ev, F.concat(a, F.lit(":"))) | F.startswith(ev, F.concat(a, F.lit(" :"))))))
 
 
 def is_clause(option: Column) -> Column:
@@ -246,37 +269,31 @@ def is_clause(option: Column) -> Column:
 
 def is_label(option: Column) -> Column:
     """An option that reads as a term; rather too strict than too lax."""
-    t = strip(F.regexp_replace(squeeze(option), r"\A" + BULLET, ""))
-    n = norm_compare(t)
-    padded = F.concat(F.lit(" "), n, F.lit(" "))
-    bad = F.arrays_overlap(F.transform(words(t), F.lower), F.array(*[F.lit(w) for w in LABEL_BAD_WORDS]))
-    return ((t != "") & word_count(t).between(1, 7) & ~t.rlike("[,;:!?]") & ~F.endswith(t, F.lit(".")) & (n != "")
-            & ~starts_with_any(n, LABEL_BAD_STARTS) & ~has_any(padded, LABEL_BAD_INSIDE) & ~bad)
+    def check(t, n, padded):
+        bad = F.arrays_overlap(F.transform(words(t), F.lower), F.array(*[F.lit(w) for w in LABEL_BAD_WORDS]))
+        return ((t != "") & word_count(t).between(1, 7) & ~t.rlike("[,;:!?]") & ~F.endswith(t, F.lit(".")) & (n != "")
+                & ~starts_with_any(n, LABEL_BAD_STARTS) & ~has_any(padded, LABEL_BAD_INSIDE) & ~bad)
+
+    return let(strip(F.regexp_replace(squeeze(option), r"\A" + BULLET, "")), lambda t: let(norm_compare(t), lambda n: let(
+        F.concat(F.lit(" "), n, F.lit(" ")), lambda padded: check(t, n, padded))))
 
 
 def formula_variants(answer: Column) -> Column:
     """Wrong formulas made by changing the first operator, and the swapped equation."""
-    a = _text(answer)
-    left, right = F.regexp_extract(a, FORMULA_SHAPE, 1), strip(F.regexp_extract(a, FORMULA_SHAPE, 2))
-
-    def changed(sign, others):
-        head = F.rtrim(F.substring_index(right, sign, 1))
-        tail = F.ltrim(F.substring(right, _find(right, F.lit(sign)) + 1, F.length(right)))
-        return [F.concat(left, F.lit(" = "), head, F.lit(f" {o} "), tail) for o in others]
+    def variants(left, right):
+        def changed(sign, others):
+            head = F.rtrim(F.substring_index(right, sign, 1))
+            tail = F.ltrim(F.substring(right, _find(right, F.lit(sign)) + 1, F.length(right)))
+            return [F.concat(left, F.lit(" = "), head, F.lit(f" {o} "), tail) for o in others]
 
-    swapped = F.concat(right, F.lit(" = "), left)
-    return (F.when(left == "", F.array().cast("array<string>"))
-            .when(F.contains(right, F.lit("+")), F.array(*changed("+", "-×/"), swapped))
-            .when(F.contains(right, F.lit("-")), F.array(*changed("-", "+×/"), swapped))
-            .otherwise(F.array(swapped)))
+        swapped = F.concat(right, F.lit(" = "), left)
+        return (F.when(left == "", F.array().cast("array<string>"))
+                .when(F.contains(right, F.lit("+")), F.array(*changed("+", "-×/"), swapped))
+                .when(F.contains(right, F.lit("-")), F.array(*changed("-", "+×/"), swapped))
+                .otherwise(F.array(swapped)))
 
-
-def _safe_distractor(text: Column, answer: Column, evidence: Column) -> Column:
-    a, n = norm_compare(_text(answer)), norm_compare(text)
-    formula = F.contains(F.coalesce(answer, F.lit("")), F.lit("="))
-    shaped = formula | ~is_label_evidence(answer, evidence) | is_label(text)
-    return ((text != "") & (F.contains(text, F.lit("=")) == formula) & shaped & (n != "") & (n != a)
-            & ((a == "") | ~(F.contains(n, a) | F.contains(a, n))) & ~strict_support(text, evidence))
+    return let(_text(answer), lambda a: let(F.regexp_extract(a, FORMULA_SHAPE, 1), lambda left: let(
+        strip(F.regexp_extract(a, FORMULA_SHAPE, 2)), lambda right: variants(left, right))))
 
 
 def pick_distractors(given: Column, answer: Column, evidence: Column, near: Column, pool: Column) -> Column:
@@ -285,17 +302,39 @@ def pick_distractors(given: Column, answer: Column, evidence: Column, near: Colu
     Given ones in order, then candidates of the context and of the section (at most 8 and 80) by label
     shape, words, length and text, then formula variants.
     """
-    labelled = ~F.contains(F.coalesce(answer, F.lit("")), F.lit("=")) & is_label_evidence(answer, evidence)
     empty = F.array().cast("array<string>")
-    keyed = F.transform(
-        F.filter(F.transform(F.concat(F.coalesce(near, empty), F.coalesce(pool, empty)), _text), lambda x: x != ""),
-        lambda x, i: F.struct(F.when(labelled & ~is_label(x), 1).otherwise(0).alias("shape"), word_count(x).alias("words"),
-                              F.length(x).alias("size"), norm_compare(x).alias("norm"), i.alias("pos"), x.alias("text")))
-    ranked = F.transform(F.array_sort(keyed), lambda s: s.text)
-    every = F.concat(F.coalesce(given, empty), ranked, formula_variants(answer))
-    tidy = F.transform(every, lambda x: strip(F.regexp_replace(squeeze(x), r"\A" + BULLET, "")))
-    safe = first_by(F.filter(tidy, lambda x: _safe_distractor(x, answer, evidence)), norm_compare)
-    return F.when(F.size(safe) >= 3, F.slice(safe, 1, 3))
+
+    def facts():
+        raw = F.coalesce(answer, F.lit(""))
+        return F.struct(F.contains(raw, F.lit("=")).alias("formula"), is_label_evidence(answer, evidence).alias("labelled"),
+                        norm_compare(_text(answer)).alias("norm"), norm_evidence(evidence).alias("ev"))
+
+    def ranked(f):
+        texts = F.filter(F.transform(F.concat(F.coalesce(near, empty), F.coalesce(pool, empty)), _text), lambda x: x != "")
+        keyed = F.transform(texts, lambda x, i: F.struct(
+            F.when(~f.formula & f.labelled, F.when(is_label(x), 0).otherwise(1)).otherwise(0).alias("shape"),
+            word_count(x).alias("words"), F.length(x).alias("size"), norm_compare(x).alias("norm"), i.alias("pos"), x.alias("text")))
+        return F.transform(F.array_sort(keyed), lambda r: r.text)
+
+    def safe(f, x, n):
+        a = f.norm
+        return ((x != "") & (F.contains(x, F.lit("=")) == f.formula) & (n != "") & (n != a)
+                & ((a == "") | ~(F.contains(n, a) | F.contains(a, n)))
+                & (f.formula | ~f.labelled | is_label(x)) & ~let(norm_evidence(x), lambda o: supported_in(o, f.ev)))
+
+    def chosen(f):
+        every = F.concat(F.coalesce(given, empty), ranked(f), formula_variants(answer))
+        tidy = F.transform(every, lambda x: strip(F.regexp_replace(squeeze(x), r"\A" + BULLET, "")))
+        keyed = F.transform(tidy, lambda x: F.struct(x.alias("x"), norm_compare(x).alias("n")))
+        # Three are enough, so the rules stop being evaluated once three are found.
+        start = F.slice(tidy, 1, 0)
+        pick = F.aggregate(keyed, F.struct(start.alias("texts"), start.alias("norms")), lambda acc, e: F.when(
+            (F.size(acc.texts) >= 3) | F.array_contains(acc.norms, e.n), acc).when(safe(f, e.x, e.n), F.struct(
+                F.array_append(acc.texts, e.x).alias("texts"), F.array_append(acc.norms, e.n).alias("norms"))).otherwise(acc),
+            lambda acc: acc.texts)
+        return let(pick, lambda three: F.when(F.size(three) == 3, three))
+
+    return let(facts(), chosen)
 
 
 def correct_key(slot: Column) -> Column:
@@ -308,60 +347,68 @@ def correct_key(slot: Column) -> Column:
 
 def mask(answer: Column, evidence: Column) -> Column:
     """The first occurrence of the answer in the evidence replaced by a blank; null if absent."""
-    a, ev = _text(answer), _text(evidence)
-    tokens = F.transform(F.split(a, SPACE + "+"), literal_pattern)
-    pattern = F.array_join(tokens, SPACE + "+")
-    cut = F.concat(F.lit("(?ius)\\A(.*?)"), pattern, F.lit("(.*)\\z"))
-    return F.when((a != "") & (ev != "") & F.rlike(ev, F.concat(F.lit("(?iu)"), pattern)),
-                  F.concat(F.call_function("regexp_extract", ev, cut, F.lit(1)), F.lit(BLANK),
-                           F.call_function("regexp_extract", ev, cut, F.lit(2))))
+    def pattern(a):
+        tokens = F.transform(F.split(a, SPACE + "+"), literal_pattern)
+        return F.concat(F.lit("(?ius)\\A(.*?)"), F.array_join(tokens, SPACE + "+"), F.lit("(.*)\\z"))
+
+    def cut(ev, p):
+        group = lambda n: F.call_function("regexp_extract", ev, p, F.lit(n))
+        return F.when(F.rlike(ev, p), F.concat(group(1), F.lit(BLANK), group(2)))
+
+    return let(_text(answer), lambda a: let(_text(evidence), lambda ev: F.when(
+        (a != "") & (ev != ""), let(pattern(a), lambda p: cut(ev, p)))))
 
 
 def cloze_window(masked: Column, size: int = 190) -> Column:
     """At most ``size`` characters around the blank, cut at words."""
-    t = squeeze(masked)
-    n, at = F.length(t), F.instr(t, BLANK)
-    left = F.greatest(F.lit(1), at - size // 2)
-    left = F.greatest(F.lit(1), F.least(left, n - size + 1))
-    whole = (at == 0) | (n <= size)
-    part = strip(F.substring(t, left, F.lit(size)))
-    space, hole = F.instr(part, " "), F.instr(part, BLANK)
-    no_blank_before = (space > 0) & ((hole == 0) | (hole + len(BLANK) - 1 > space - 1))
-    part = F.when(left > 1, F.concat(F.lit("… "), F.when(
-        no_blank_before, F.ltrim(F.substring(part, space + 1, n))).otherwise(part))).otherwise(part)
-    last = F.length(part) - F.instr(F.reverse(part), " ") + 1
-    shorter = F.when((F.instr(part, " ") > 0) & (last > 1), F.rtrim(F.substring(part, F.lit(1), last - 1))).otherwise(part)
-    cut = F.when(left + size - 1 < n, F.concat(shorter, F.lit(" …"))).otherwise(part)
-    return F.when(whole, t).otherwise(cut)
+    hole = len(BLANK)
+
+    def open_left(part, left):
+        space = F.instr(part, " ")
+        before = (space > 0) & ((F.instr(part, BLANK) == 0) | (F.instr(part, BLANK) + hole - 1 > space - 1))
+        rest = F.when(before, F.ltrim(F.substring(part, space + 1, F.length(part)))).otherwise(part)
+        return F.when(left > 1, F.concat(F.lit("… "), rest)).otherwise(part)
+
+    def open_right(part, more):
+        last = F.length(part) - F.instr(F.reverse(part), " ") + 1
+        shorter = F.when((F.instr(part, " ") > 0) & (last > 1), F.rtrim(F.substring(part, F.lit(1), last - 1))).otherwise(part)
+        return F.when(more, F.concat(shorter, F.lit(" …"))).otherwise(part)
+
+    def cut(t):
+        left = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), F.instr(t, BLANK) - size // 2), F.length(t) - size + 1))
+        return let(left, lambda at: let(open_left(strip(F.substring(t, at, F.lit(size))), at), lambda part: open_right(
+            part, at + size - 1 < F.length(t))))
+
+    return let(squeeze(masked), lambda t: F.when((F.instr(t, BLANK) == 0) | (F.length(t) <= size), t).otherwise(cut(t)))
 
 
 def cloze_stem(answer: Column, evidence: Column) -> Column:
     """Fill-in stem made of the evidence; null if the answer cannot stand alone or does not occur."""
-    window = cloze_window(mask(answer, evidence))
-    window = F.regexp_replace(window, f"\\A({SPACE}*…{SPACE}*)(?:[•●▪◦]+|[-*]+){SPACE}*", "$1")
-    window = strip(F.regexp_replace(window, r"\A" + BULLET, ""))
+    def plain(window):
+        c = F.regexp_replace(window, f"\\A({SPACE}*…{SPACE}*)(?:[•●▪◦]+|[-*]+){SPACE}*", "$1")
+        return strip(F.regexp_replace(c, r"\A" + BULLET, ""))
+
     formula, english = F.contains(_text(answer), F.lit("=")), lang_hint(evidence) == "EN"
-    prefix = (F.when(formula & english, CLOZE_PREFIX["formula", "EN"]).when(formula, CLOZE_PREFIX["formula", "VI"])
-              .when(english, CLOZE_PREFIX["term", "EN"]).otherwise(CLOZE_PREFIX["term", "VI"]))
-    return F.when(standalone_issue(answer).isNull() & (window != ""), F.concat(prefix, window))
+    prefix = (F.when(formula, F.when(english, CLOZE_PREFIX["formula", "EN"]).otherwise(CLOZE_PREFIX["formula", "VI"]))
+              .otherwise(F.when(english, CLOZE_PREFIX["term", "EN"]).otherwise(CLOZE_PREFIX["term", "VI"])))
+    return F.when(standalone_issue(answer).isNull(), let(mask(answer, evidence), lambda m: F.when(m.isNotNull(), let(
+        plain(cloze_window(m)), lambda body: F.when(body != "", F.concat(prefix, body))))))
 
 
 def repair_high_risk(stem: Column, answer: Column, evidence: Column) -> Column:
     """Cloze stem for PURPOSE, REQUIREMENT, CAUSE and EFFECT stems; null if not needed or still high-risk."""
-    cloze = cloze_stem(answer, evidence)
-    return F.when(relation(stem).isin(*HIGH_RISK) & cloze.isNotNull() & ~relation(cloze).isin(*HIGH_RISK), cloze)
+    return F.when(relation(stem).isin(*HIGH_RISK), let(cloze_stem(answer, evidence), lambda c: F.when(
+        c.isNotNull() & ~relation(c).isin(*HIGH_RISK), c)))
 
 
 def normalize_formula(option: Column) -> Column:
     """Lead-in words before a formula removed."""
-    t = squeeze(option)
-    bare = strip(F.regexp_replace(t, FORMULA_LEAD, ""))
-    eq = equations(t)
     tail = lambda x: strip(strip(F.substring(x, _find(x, F.lit("=")) + 1, F.length(x))), EDGE)
-    only = F.get(eq, 0)
-    return (F.when(~F.contains(t, F.lit("=")), t)
-            .when((bare != "") & F.contains(bare, F.lit("=")) & (bare != t), strip(bare, EDGE))
-            .when((F.size(eq) == 1) & (tail(t) == tail(only)), only).otherwise(t))
+    alone = lambda t: let(equations(t), lambda eq: F.when(
+        (F.size(eq) == 1) & (tail(t) == tail(F.get(eq, 0))), F.get(eq, 0)).otherwise(t))
+    lead = lambda t: let(strip(F.regexp_replace(t, FORMULA_LEAD, "")), lambda bare: F.when(
+        (bare != "") & F.contains(bare, F.lit("=")) & (bare != t), strip(bare, EDGE)).otherwise(alone(t)))
+    return let(squeeze(option), lambda t: F.when(F.contains(t, F.lit("=")), lead(t)).otherwise(t))
 
 
 def rewrite_needs_context(stem: Column, formula: Column, evidence: Column) -> Column:
@@ -379,53 +426,57 @@ def right_option(options: Column) -> Column:
 def fit_issue(stem: Column, options: Column, evidence: Column) -> Column:
     """First reason why question and answer do not fit; null if they do."""
     one = F.size(F.filter(options, lambda o: o.is_correct)) == 1
-    answer = right_option(options)
-    q, a = norm_compare(_text(stem)), norm_compare(answer)
-    left = lhs(answer)
-    same = F.filter(equations(evidence), lambda e: (left != "") & (lhs(e) == left))
-    formula_q = has_any(q, FORMULA_QUESTIONS)
-    alone = standalone_issue(answer)
-    source, asked = lang_hint(evidence), lang_hint(stem)
-    known = source.isin("VI", "EN")
+    facts = let(right_option(options), lambda answer: F.struct(
+        answer.alias("answer"), norm_compare(_text(stem)).alias("q"), norm_compare(answer).alias("a"),
+        standalone_issue(answer).alias("alone"), lang_hint(evidence).alias("source"), lang_hint(stem).alias("asked")))
+    return F.when(~one, "question must contain exactly one correct option").otherwise(
+        let(facts, lambda f: _fit(f, options, evidence)))
+
+
+def _fit(f: Column, options: Column, evidence: Column) -> Column:
+    same = let(lhs(f.answer), lambda left: F.size(F.filter(equations(evidence), lambda e: (left != "") & (lhs(e) == left))))
+    formula_q = has_any(f.q, FORMULA_QUESTIONS)
+    known = f.source.isin("VI", "EN")
     other = F.exists(options, lambda o: (_text(o.option_text) != "") & ~F.contains(o.option_text, F.lit("="))
-                     & lang_hint(o.option_text).isin("VI", "EN") & (lang_hint(o.option_text) != source))
-    return (F.when(~one, "question must contain exactly one correct option")
-            .when((q == "") | (a == ""), "question/correct answer cannot be empty")
-            .when((F.length(a) >= 3) & F.contains(q, a), "question stem contains the correct answer verbatim")
-            .when(has_any(q, LIST_QUESTIONS) & ~has_any(answer, LIST_ANSWERS),
+                     & lang_hint(o.option_text).isin("VI", "EN") & (lang_hint(o.option_text) != f.source))
+    return (F.when((f.q == "") | (f.a == ""), "question/correct answer cannot be empty")
+            .when((F.length(f.a) >= 3) & F.contains(f.q, f.a), "question stem contains the correct answer verbatim")
+            .when(has_any(f.q, LIST_QUESTIONS) & ~has_any(f.answer, LIST_ANSWERS),
                   "list-style question has a non-list correct answer")
-            .when(formula_q & ~F.contains(answer, F.lit("=")), "formula-style question has a non-formula correct answer")
-            .when(formula_q & (F.size(same) >= 2) & ~has_any(q, FORMULA_CONTEXT),
+            .when(formula_q & ~F.contains(f.answer, F.lit("=")), "formula-style question has a non-formula correct answer")
+            .when(formula_q & ~has_any(f.q, FORMULA_CONTEXT) & (same >= 2),
                   "formula question is ambiguous because evidence contains multiple formulas for the same symbol")
-            .when(alone.isNotNull(), F.concat(F.lit("correct answer is not standalone: "), alone))
-            .when(has_any(q, ROLE_QUESTIONS) & (word_count(answer) <= 2) & ~has_any(a, ROLE_ANSWERS),
+            .when(f.alone.isNotNull(), F.concat(F.lit("correct answer is not standalone: "), f.alone))
+            .when(has_any(f.q, ROLE_QUESTIONS) & (word_count(f.answer) <= 2) & ~has_any(f.a, ROLE_ANSWERS),
                   "role/function question has an overly short nominal answer")
-            .when(has_any(q, TIME_QUESTIONS) & a.isin(*TIME_BAD_ANSWERS), "time question has a deictic non-standalone answer")
-            .when(known & asked.isin("VI", "EN") & (source != asked), F.concat(
-                F.lit("question language does not match evidence language ("), asked, F.lit("!="), source, F.lit(")")))
+            .when(has_any(f.q, TIME_QUESTIONS) & f.a.isin(*TIME_BAD_ANSWERS), "time question has a deictic non-standalone answer")
+            .when(known & f.asked.isin("VI", "EN") & (f.source != f.asked), F.concat(
+                F.lit("question language does not match evidence language ("), f.asked, F.lit("!="), f.source, F.lit(")")))
             .when(known & other, "option language does not match evidence language"))
 
 
 def grounding_verdict(source: Column, stem: Column, options: Column, evidence: Column) -> Column:
     """N27: "OK", or the first reason why the evidence does not carry the question."""
-    ev = _text(evidence)
-    n = norm_evidence(ev)
-    kind = relation(stem)
-    issue = fit_issue(stem, options, ev)
-    supported = F.transform(F.filter(options, lambda o: ~o.is_correct & strict_support(o.option_text, ev)),
-                            lambda o: F.concat(F.lit("'"), o.option_key, F.lit("'")))
-    return (F.when(ev == "", "fast gate missing evidence_quote")
-            .when(F.length(ev) > MAX_EVIDENCE, "fast gate evidence_quote is too long")
-            .when((F.length(n) < MIN_EVIDENCE) | ~F.contains(norm_evidence(source), n),
-                  "fast gate evidence quote does not exist verbatim in SOURCE")
-            .when(~relation_in_evidence(kind, ev), F.concat(
-                F.lit("fast gate evidence does not contain the required semantic relation "), kind))
-            .when(issue.isNotNull(), F.concat(F.lit("fast gate pedagogical fit failed: "), issue))
-            .when(~strict_support(right_option(options), ev), "fast gate correct option lacks direct support in evidence")
-            .when(F.size(supported) > 0, F.concat(
-                F.lit("fast gate found distractor(s) also directly supported by evidence: ["),
-                F.array_join(supported, ", "), F.lit("]")))
-            .otherwise("OK"))
+    def last(ev, n):
+        wrong = F.transform(F.filter(options, lambda o: ~o.is_correct & let(
+            norm_evidence(o.option_text), lambda x: supported_in(x, n))), lambda o: F.concat(F.lit("'"), o.option_key, F.lit("'")))
+        return let(wrong, lambda w: F.when(
+            ~let(norm_evidence(right_option(options)), lambda x: supported_in(x, n)),
+            "fast gate correct option lacks direct support in evidence")
+            .when(F.size(w) > 0, F.concat(F.lit("fast gate found distractor(s) also directly supported by evidence: ["),
+                                          F.array_join(w, ", "), F.lit("]"))).otherwise("OK"))
+
+    def check(ev, n, kind):
+        return (F.when(ev == "", "fast gate missing evidence_quote")
+                .when(F.length(ev) > MAX_EVIDENCE, "fast gate evidence_quote is too long")
+                .when((F.length(n) < MIN_EVIDENCE) | ~F.contains(norm_evidence(source), n),
+                      "fast gate evidence quote does not exist verbatim in SOURCE")
+                .when(~relation_in_evidence(kind, ev), F.concat(
+                    F.lit("fast gate evidence does not contain the required semantic relation "), kind))
+                .otherwise(let(fit_issue(stem, options, ev), lambda issue: F.when(
+                    issue.isNotNull(), F.concat(F.lit("fast gate pedagogical fit failed: "), issue)).otherwise(last(ev, n)))))
+
+    return let(_text(evidence), lambda ev: let(norm_evidence(ev), lambda n: let(relation(stem), lambda kind: check(ev, n, kind))))
 
 
 def is_deterministic_failure(reason: Column) -> Column:

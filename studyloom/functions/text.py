@@ -142,13 +142,15 @@ EN_WORDS = ("what", "which", "when", "where", "why", "how", "is", "are", "does",
 
 def lang_hint(c: Column) -> Column:
     """VI, EN or UNKNOWN; only clear cases are named."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    letters = F.regexp_count(low, F.lit(f"[{VI_LETTERS}]"))
-    found = F.regexp_extract_all(low, F.lit("([a-zA-ZÀ-ỹĐđ]+)"), 1)
+    def hint(low):
+        letters = F.regexp_count(low, F.lit(f"[{VI_LETTERS}]"))
+        found = F.regexp_extract_all(low, F.lit("([a-zA-ZÀ-ỹĐđ]+)"), 1)
 
-    def hits(listed):
-        return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in listed])))
+        def hits(listed):
+            return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in listed])))
 
-    vi, en = hits(VI_WORDS), hits(EN_WORDS)
-    return (F.when((letters >= 2) | (vi >= 2), "VI").when((en >= 2) & (letters == 0) & (vi == 0), "EN")
-            .otherwise("UNKNOWN"))
+        vi = hits(VI_WORDS)
+        return (F.when(letters >= 2, "VI").when(vi >= 2, "VI")
+                .when((letters == 0) & (vi == 0) & (hits(EN_WORDS) >= 2), "EN").otherwise("UNKNOWN"))
+
+    return F.get(F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), hint), 0)
