@@ -138,19 +138,21 @@ VI_WORDS = ("là", "của", "và", "trong", "được", "khi", "những", "các"
             "tranh", "tư", "liệu", "lao", "động", "lợi", "nhuận", "tiền", "tệ", "thặng", "dư")
 EN_WORDS = ("what", "which", "when", "where", "why", "how", "is", "are", "does", "do", "after", "before", "correct",
             "formula", "according", "source", "the", "of", "in", "production", "value", "competition")
+LETTER = "[a-zA-ZÀ-ỹĐđ]"
+LISTED_WORDS = f"(?<!{LETTER})({'|'.join(VI_WORDS + EN_WORDS)})(?!{LETTER})"
 
 
 def lang_hint(c: Column) -> Column:
     """VI, EN or UNKNOWN; only clear cases are named."""
-    def hint(low):
-        letters = F.regexp_count(low, F.lit(f"[{VI_LETTERS}]"))
-        found = F.regexp_extract_all(low, F.lit("([a-zA-ZÀ-ỹĐđ]+)"), 1)
-
-        def hits(listed):
-            return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in listed])))
+    def hits(found, listed):
+        return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in listed])))
 
-        vi = hits(VI_WORDS)
-        return (F.when(letters >= 2, "VI").when(vi >= 2, "VI")
-                .when((letters == 0) & (vi == 0) & (hits(EN_WORDS) >= 2), "EN").otherwise("UNKNOWN"))
+    def hint(low):
+        letters = F.length(low) - F.length(F.translate(low, VI_LETTERS, ""))
+        # One pass that returns listed words only.
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(LISTED_WORDS), 1))
+        by_words = F.transform(F.array(found), lambda f: F.when(hits(f, VI_WORDS) >= 2, "VI").when(
+            (letters == 0) & (hits(f, VI_WORDS) == 0) & (hits(f, EN_WORDS) >= 2), "EN").otherwise("UNKNOWN"))
+        return F.when(letters >= 2, "VI").otherwise(F.get(by_words, 0))
 
     return F.get(F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), hint), 0)

@@ -8,6 +8,7 @@ from studyloom.functions import questions as qn, text as tx
 from studyloom.operators import chunking, contexts as ctx, planning
 from studyloom.plans.registry import query
 from studyloom.plans.views import oracle
+from studyloom.session import spread
 
 # ------------------------------------------------------------------------------------ parts of check SQL
 WORD_RE = r"[\p{L}\p{N}_]+"
@@ -118,8 +119,12 @@ TEXT = {
 }
 
 
+def texts(t):
+    return spread(t.raw("documents"))
+
+
 def lines(t):
-    return t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return texts(t).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def probes(t):
@@ -375,7 +380,7 @@ def books(t):
     split = F.split("text", "\n")
     text = F.transform(split, lambda x, i: F.concat(F.when((i % 3 == 0) & ((i > 0) | (F.col("doc_id") % 2 == 1)), F.concat(
         F.lit("CHAPTER "), (F.floor(i / 3) % 4).cast("string"), F.lit(": Title\n"))).otherwise(""), x))
-    return t.raw("documents").select(F.col("doc_id").alias("document_id"), F.array_join(text, "\n").alias("content"))
+    return texts(t).select(F.col("doc_id").alias("document_id"), F.array_join(text, "\n").alias("content"))
 
 
 @query("structural_blocks", oracle("blocks", "select doc_id as document_id, block_index, heading, content from blocks", BOOK))
