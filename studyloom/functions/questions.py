@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from studyloom.functions.text import (BULLET, NOT_AFTER_WORD, NUMBERING, SPACE, collapse, has_any, lang_hint,
-                                      literal_pattern, norm_compare, norm_evidence, squeeze, starts_with_any, strip,
+                                      literal_pattern, norm_compare, norm_evidence, one_of, squeeze, starts_with_any, strip,
                                       word_count, words)
 
 EDGE = " \t\r\n,;:.!?"
@@ -270,7 +270,7 @@ def is_clause(option: Column) -> Column:
 def is_label(option: Column) -> Column:
     """An option that reads as a term; rather too strict than too lax."""
     def check(t, n, padded):
-        bad = F.arrays_overlap(F.transform(words(t), F.lower), F.array(*[F.lit(w) for w in LABEL_BAD_WORDS]))
+        bad = F.arrays_overlap(F.transform(words(t), F.lower), one_of(LABEL_BAD_WORDS))
         return ((t != "") & word_count(t).between(1, 7) & ~t.rlike("[,;:!?]") & ~F.endswith(t, F.lit(".")) & (n != "")
                 & ~starts_with_any(n, LABEL_BAD_STARTS) & ~has_any(padded, LABEL_BAD_INSIDE) & ~bad)
 
@@ -342,7 +342,7 @@ def correct_key(slot: Column) -> Column:
     number = strip(slot).try_cast("long")
     codes = F.aggregate(F.filter(F.split(slot, ""), lambda x: x != ""), F.lit(0).cast("long"),
                         lambda s, x: s + F.ascii(x).cast("long"))
-    return F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.pmod(F.coalesce(number, codes), F.lit(4)) + 1).cast("int"))
+    return F.element_at(one_of(KEYS), (F.pmod(F.coalesce(number, codes), F.lit(4)) + 1).cast("int"))
 
 
 def mask(answer: Column, evidence: Column) -> Column:

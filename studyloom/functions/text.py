@@ -38,18 +38,17 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"{WORD}+"))
 
 
+def one_of(values) -> Column:
+    """A constant array of strings (none contains a bar), folded by the optimizer; one call whatever the length."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
 def has_any(c: Column, markers) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(c, F.lit(m))
-    return out
+    return F.exists(one_of(markers), lambda m: F.contains(c, m))
 
 
 def starts_with_any(c: Column, prefixes) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.startswith(c, F.lit(p))
-    return out
+    return F.exists(one_of(prefixes), lambda p: F.startswith(c, p))
 
 
 def literal_pattern(c: Column) -> Column:
@@ -145,7 +144,7 @@ LISTED_WORDS = f"(?<!{LETTER})({'|'.join(VI_WORDS + EN_WORDS)})(?!{LETTER})"
 def lang_hint(c: Column) -> Column:
     """VI, EN or UNKNOWN; only clear cases are named."""
     def hits(found, listed):
-        return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in listed])))
+        return F.size(F.array_intersect(found, one_of(listed)))
 
     def hint(low):
         letters = F.length(low) - F.length(F.translate(low, VI_LETTERS, ""))

@@ -8,10 +8,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, candidate_score, correct_key,
+from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, candidate_score, correct_key, let,
                                            pick_distractors, relation, repair_high_risk, short_answer_issue,
                                            standalone_issue, strict_support)
-from studyloom.functions.text import BULLET, front_key, norm_compare, norm_evidence, strip
+from studyloom.functions.text import BULLET, front_key, norm_compare, norm_evidence, one_of, strip
 from studyloom.operators.contexts import evidence_array
 from studyloom.operators.numbering import top_per_key
 
@@ -89,7 +89,7 @@ def normalize_items(raw: DataFrame, json_column: str = "item") -> DataFrame:
         names = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
         own = F.coalesce(filled(o.option_key), filled(o.key), filled(o.label))
         at = F.upper(strip(o.position))
-        key = F.upper(strip(F.coalesce(own, F.when(at.isin(*KEYS), at), F.element_at(F.array(*[F.lit(k) for k in KEYS]), i + 1))))
+        key = F.upper(strip(F.coalesce(own, F.when(at.isin(*KEYS), at), F.element_at(one_of(KEYS), i + 1))))
         words_ = strip(F.coalesce(filled(o.option_text), filled(o.text), filled(o.content), F.lit("")))
         words_ = strip(F.regexp_replace(words_, r"\A" + BULLET, ""))
         right = (F.when(F.array_contains(names, "is_correct"), F.coalesce(_truth(o.is_correct), F.lit(False)))
@@ -102,7 +102,7 @@ def normalize_items(raw: DataFrame, json_column: str = "item") -> DataFrame:
               .when(F.size("_o") != 4, "question must contain exactly 4 options")
               .when(F.exists("_o", lambda o: ~o.given_key.isin(*KEYS)), "invalid option key"))
     options = F.transform("_o", lambda o, i: F.struct(
-        F.element_at(F.array(*[F.lit(k) for k in KEYS]), i + 1).alias("option_key"), o.option_text.alias("option_text"),
+        F.element_at(one_of(KEYS), i + 1).alias("option_key"), o.option_text.alias("option_text"),
         o.is_correct.alias("is_correct"), (i + 1).alias("position")))
     stem = F.coalesce(filled(F.col("_q.question_text")), filled(F.col("_q.question")), filled(F.col("_q.text")))
     keep = [c for c in raw.columns if c != json_column]
@@ -211,44 +211,54 @@ def resolve_evidence(items: DataFrame, catalogue: DataFrame) -> DataFrame:
     runs are tried per item.
     """
     spans = catalogue.groupBy("request_id", F.col("slot").cast("string").alias("slot")).agg(F.array_sort(F.collect_list(
-        F.struct("span_no", "evidence_id", "span"))).alias("_spans"))
+        F.struct("span_no", "evidence_id", "span", norm_evidence(F.col("span")).alias("norm")))).alias("_spans"))
     p = items.join(spans, ["request_id", "slot"], "left")
+    answer = lambda ids, text, why: F.struct(
+        F.lit(ids).cast("string").alias("ids") if ids is None else ids.alias("ids"),
+        F.lit(text).cast("string").alias("text") if text is None else text.alias("text"), F.lit(why).cast("string").alias("why"))
+    found = lambda e: answer(e.evidence_id, e.span, None)
+    failed = lambda why: answer(None, None, why)
+
+    def run(live, i, n):
+        part = F.slice(live, i, n)
+        text = F.array_join(F.transform(part, lambda e: e.span), " ")
+        return F.struct(n.alias("n"), F.array_join(F.transform(part, lambda e: e.evidence_id), ",").alias("ids"),
+                        text.alias("text"), norm_evidence(text).alias("norm"))
+
+    def by_run(live, norm, long_enough):
+        turns = F.when(F.size(live) > 0, F.sequence(F.lit(1), F.size(live))).otherwise(F.array().cast("array<int>"))
+        runs = F.flatten(F.transform(turns, lambda i: F.transform(
+            F.sequence(F.lit(1), F.size(live) - i + 1), lambda n: run(live, i, n))))
+        fit = F.filter(runs, lambda r: (r.norm == norm) | (long_enough & F.contains(r.norm, norm)))
+        size = lambda r: F.struct(r.n.alias("n"), F.length(r.norm).alias("len"))
+        tied = let(fit, lambda f: let(F.array_min(F.transform(f, size)), lambda top: F.filter(f, lambda r: size(r) == top)))
+        return let(tied, lambda x: F.when(F.size(x) == 1, answer(F.get(x, 0).ids, F.get(x, 0).text, None))
+                   .when(F.size(x) > 1, failed("literal evidence maps to multiple runs of spans"))
+                   .otherwise(failed("invalid evidence reference")))
+
+    def by_container(live, norm):
+        long_enough = F.length(norm) >= LITERAL_MIN
+        holders = F.filter(live, lambda e: long_enough & F.contains(e.norm, norm))
+        shortest = lambda h: let(F.array_min(F.transform(h, lambda e: F.length(e.norm))), lambda n: F.filter(
+            h, lambda e: F.length(e.norm) == n))
+        return let(holders, lambda h: F.when(F.size(h) == 0, by_run(live, norm, long_enough)).otherwise(let(
+            shortest(h), lambda b: F.when(F.size(b) == 1, found(F.get(b, 0)))
+            .otherwise(failed("literal evidence is ambiguously contained in multiple spans")))))
+
+    def by_text(live, norm):
+        return let(F.filter(live, lambda e: e.norm == norm), lambda eq: F.when(norm == "", failed("empty evidence"))
+                   .when(F.size(eq) == 1, found(F.get(eq, 0)))
+                   .when(F.size(eq) > 1, failed("literal evidence matches multiple identical spans"))
+                   .otherwise(by_container(live, norm)))
+
     raw = strip(F.coalesce("e", F.lit("")))
-    p = p.withColumns({"_raw": raw, "_norm": norm_evidence(raw)})
-    by_id = F.get(F.filter("_spans", lambda s: s.evidence_id == F.upper("_raw")), 0)
-    live = F.filter("_spans", lambda s: norm_evidence(s.span) != "")
-    equal = F.filter(live, lambda s: norm_evidence(s.span) == F.col("_norm"))
-    long_enough = F.length("_norm") >= LITERAL_MIN
-    holders = F.filter(live, lambda s: F.contains(norm_evidence(s.span), F.col("_norm")))
-    short = F.array_min(F.transform(holders, lambda s: F.length(norm_evidence(s.span))))
-    best = F.filter(holders, lambda s: F.length(norm_evidence(s.span)) == short)
-    texts = F.transform(live, lambda s: s.span)
-    ids = F.transform(live, lambda s: s.evidence_id)
-    turns = F.when(F.size(live) > 0, F.sequence(F.lit(1), F.size(live))).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(turns, lambda i: F.transform(
-        F.sequence(F.lit(1), F.size(live) - i + 1), lambda n: F.struct(
-            n.alias("n"), F.array_join(F.slice(ids, i, n), ",").alias("ids"), F.array_join(F.slice(texts, i, n), " ").alias("text")))))
-    fit = F.filter(runs, lambda r: (norm_evidence(r.text) == F.col("_norm"))
-                   | (long_enough & F.contains(norm_evidence(r.text), F.col("_norm"))))
-    size = lambda r: F.struct(r.n.alias("n"), F.length(norm_evidence(r.text)).alias("len"))
-    top = F.array_min(F.transform(fit, size))
-    tied = F.filter(fit, lambda r: size(r) == top)
-    none = F.struct(F.lit(None).cast("string").alias("ids"), F.lit(None).cast("string").alias("text"))
-    one = lambda s: F.struct(s.evidence_id.alias("ids"), s.span.alias("text"))
-    contained = long_enough & (F.size(holders) > 0)
-    hit = (F.when(by_id.isNotNull(), one(by_id)).when(F.size(equal) == 1, one(F.get(equal, 0)))
-           .when(F.size(equal) > 1, none).when(contained & (F.size(best) == 1), one(F.get(best, 0))).when(contained, none)
-           .when(F.size(tied) == 1, F.struct(F.get(tied, 0).ids.alias("ids"), F.get(tied, 0).text.alias("text"))).otherwise(none))
-    why = (F.when(F.col("_spans").isNull(), "no evidence catalogue for slot").when(by_id.isNotNull(), F.lit(None))
-           .when(F.col("_norm") == "", "empty evidence").when(F.size(equal) == 1, F.lit(None))
-           .when(F.size(equal) > 1, "literal evidence matches multiple identical spans")
-           .when(contained & (F.size(best) > 1), "literal evidence is ambiguously contained in multiple spans")
-           .when(contained, F.lit(None)).when(F.size(tied) > 1, "literal evidence maps to multiple runs of spans")
-           .when(F.size(tied) == 0, "invalid evidence reference"))
-    return (p.withColumns({"_hit": F.when(F.col("_norm") != "", hit).otherwise(F.when(by_id.isNotNull(), one(by_id)).otherwise(none)),
-                           "reason": F.coalesce("reason", why)})
-            .withColumns({"evidence_ids": F.col("_hit.ids"), "evidence": F.col("_hit.text")})
-            .drop("_spans", "_raw", "_norm", "_hit"))
+    by_id = F.filter("_spans", lambda e: e.evidence_id == F.upper(raw))
+    hit = F.when(F.col("_spans").isNull(), failed("no evidence catalogue for slot")).otherwise(let(by_id, lambda x: F.when(
+        F.size(x) > 0, found(F.get(x, 0))).otherwise(let(F.filter("_spans", lambda e: e.norm != ""), lambda live: let(
+            norm_evidence(raw), lambda norm: by_text(live, norm))))))
+    return (p.withColumn("_hit", hit).withColumns({
+        "reason": F.coalesce("reason", F.col("_hit.why")), "evidence_ids": F.col("_hit.ids"), "evidence": F.col("_hit.text")})
+        .drop("_spans", "_hit"))
 
 
 def assemble_questions(items: DataFrame, answers: DataFrame, pools: DataFrame | None = None) -> DataFrame:
@@ -284,12 +294,12 @@ def assemble_questions(items: DataFrame, answers: DataFrame, pools: DataFrame |
            .when(F.coalesce(strip(ev), F.lit("")) == "", "item is missing e").when(~F.col("_key").isin(*KEYS), "key must be A-D")
            .when(F.coalesce(F.size("o"), F.lit(0)) != 4, "item must have exactly four options")
            .when(F.exists(legacy, lambda x: x == ""), "item has an empty option"))
-    place = F.array_position(F.array(*[F.lit(k) for k in KEYS]), F.col("_key")).cast("int")
+    place = F.array_position(one_of(KEYS), F.col("_key")).cast("int")
     texts = F.when(by_answer, F.array_insert("_three", place, F.col("answer"))).otherwise(legacy)
     p = p.withColumn("reason", why).withColumn("_texts", F.when(F.col("reason").isNull(), texts))
     options = F.transform("_texts", lambda x, i: F.struct(
-        F.element_at(F.array(*[F.lit(k) for k in KEYS]), i + 1).alias("option_key"), x.alias("option_text"),
-        (F.element_at(F.array(*[F.lit(k) for k in KEYS]), i + 1) == F.col("_key")).alias("is_correct"), (i + 1).alias("position")))
+        F.element_at(one_of(KEYS), i + 1).alias("option_key"), x.alias("option_text"),
+        (F.element_at(one_of(KEYS), i + 1) == F.col("_key")).alias("is_correct"), (i + 1).alias("position")))
     return p.select("request_id", "slot", "reason", F.coalesce("_repaired", stem).alias("question_text"), "evidence",
                     F.col("evidence").alias("explanation"), options.alias("options"))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from studyloom.functions.questions import KEYS, cloze_stem, correct_key, grounding_verdict, pick_distractors
+from studyloom.functions.questions import KEYS, cloze_stem, correct_key, grounding_verdict, let, pick_distractors
+from studyloom.functions.text import one_of
 from studyloom.operators.access import question_issue
 from studyloom.operators.contexts import crop_boundary, evidence_spans, micro_contexts, score_contexts
 from studyloom.operators.items import answer_catalogue, distractor_pool
 from studyloom.operators.planning import (allocate, assign_contexts, candidate_chunks, dedupe_questions,
                                           order_by_section_rank, preselect_answers, spread_sample)
+from studyloom.session import cut
 
 
 def question_slots(chunks: DataFrame, requests: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
@@ -37,28 +39,33 @@ def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame |
     ``chunks``: request_id, id, document_id, chunk_index, section_id, content (see ``usable_chunks``);
     ``requests``: request_id, question_count.  ``verdict`` is "OK" or the reason of rejection.
     """
-    slots = question_slots(chunks, requests, ranks)
-    placed = slot_contexts(slots)
+    slots = cut(question_slots(chunks, requests, ranks))
+    placed = cut(slot_contexts(slots))
     sources = placed.select("source_ref", F.col("context").alias("text")).dropDuplicates(["source_ref"])
-    answers = answer_catalogue(evidence_spans(sources, ["source_ref"]))
+    answers = cut(answer_catalogue(evidence_spans(sources, ["source_ref"])))
     near = answers.groupBy("source_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("answer_id", "answer"))),
                                                         lambda x: x.answer).alias("near"))
     picked = preselect_answers(placed.select("request_id", "slot", "chunk_id", "section_id", "source_ref"), answers)
     pool = distractor_pool(chunks.select("section_id", "id", "document_id", "chunk_index", "content").dropDuplicates(["id"]))
     q = picked.join(near, "source_ref").join(pool, "section_id", "left")
-    stem = cloze_stem(F.col("answer"), F.col("evidence"))
-    q = q.withColumns({"question_text": stem, "key": correct_key(F.col("slot").cast("string")),
-                       "_three": pick_distractors(F.lit(None).cast("array<string>"), F.col("answer"), F.col("evidence"),
-                                                  F.col("near"), F.col("pool"))})
-    q = q.filter("question_text is not null and _three is not null")
-    keys = F.array(*[F.lit(k) for k in KEYS])
-    texts = F.array_insert("_three", F.array_position(keys, F.col("key")).cast("int"), F.col("answer"))
-    options = F.transform(texts, lambda x, i: F.struct(
-        F.element_at(keys, i + 1).alias("option_key"), x.alias("option_text"),
-        (F.element_at(keys, i + 1) == F.col("key")).alias("is_correct"), (i + 1).alias("position")))
+    key = correct_key(F.col("slot").cast("string"))
+    keys = one_of(KEYS)
+
+    def question(stem, three, key):
+        texts = F.array_insert(three, F.array_position(keys, key).cast("int"), F.col("answer"))
+        options = F.transform(texts, lambda x, i: F.struct(
+            F.element_at(keys, i + 1).alias("option_key"), x.alias("option_text"),
+            (F.element_at(keys, i + 1) == key).alias("is_correct"), (i + 1).alias("position")))
+        return F.when(stem.isNotNull() & three.isNotNull(), F.array(F.struct(
+            stem.alias("question_text"), key.alias("key"), options.alias("options"))))
+
+    three = pick_distractors(F.lit(None).cast("array<string>"), F.col("answer"), F.col("evidence"), F.col("near"), F.col("pool"))
+    made = let(cloze_stem(F.col("answer"), F.col("evidence")), lambda s: let(three, lambda d: let(key, lambda k: question(s, d, k))))
+    # Exploding an array that is null for unusable slots drops them without evaluating the rules twice.
+    q = q.select("request_id", "slot", "chunk_id", "section_id", "answer", "evidence", F.explode(made).alias("_q")).select(
+        "request_id", "slot", "chunk_id", "section_id", "answer", "evidence", "_q.*")
     body = slots.select("chunk_id", "content").dropDuplicates(["chunk_id"])
-    q = q.withColumn("options", options).join(body, "chunk_id")
-    checked = q.withColumn("verdict", F.coalesce(
+    checked = q.join(body, "chunk_id").withColumn("verdict", F.coalesce(
         question_issue(F.col("question_text"), F.col("options")),
         grounding_verdict(F.col("content"), F.col("question_text"), F.col("options"), F.col("evidence"))))
     return checked.select("request_id", "slot", "chunk_id", "section_id", "question_text", "answer", "evidence", "key",

@@ -46,3 +46,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores if the scan has fewer splits than the cluster has cores; a large scan is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialize rows that several later steps read, in the session's checkpoint folder, and cut their lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
