@@ -32,7 +32,8 @@ def write_chunk_version(rows: DataFrame, root: str, version: int) -> None:
 
 def read_chunk_version(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.schema("version int").parquet(f"{root}/_pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/version={version}")
+    rows = spark.read.parquet(f"{root}/version={version}")
+    return rows.withColumn("is_active", F.col("is_active").cast("boolean"))  # a folder name gives its value as text
 
 
 # Wording of the listings.
