@@ -176,12 +176,13 @@ def answer_candidates(span: Column) -> Column:
 def _candidates(raw: Column, plain: Column) -> Column:
     none = F.array().cast("array<string>")
     label = F.when(F.contains(plain, F.lit(":")), F.array(F.substring_index(plain, ":", 1))).otherwise(none)
-    quoted = F.regexp_extract_all(raw, F.lit('["“”]([^"“”]{2,100})["“”]'), 1)
+    quoted = F.when(F.rlike(raw, F.lit('["“”]')), F.regexp_extract_all(raw, F.lit('["“”]([^"“”]{2,100})["“”]'), 1)).otherwise(none)
     eq = F.regexp_extract_all(raw, F.lit(f"({EQUATION})"), 1)
     formula = F.when(~F.contains(raw, F.lit("=")), none).otherwise(let(
         eq, lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.substring_index(raw, ".", 1)))))
-    complements = [F.regexp_extract_all(raw, F.lit(f"(?iu){NOT_AFTER_WORD}{p}{SPACE}+(.+?)(?=[,;.]|\\z)"), 1)
-                   for p in RELATION_PHRASES]
+    low = F.lower(raw)
+    complements = [F.when(F.contains(low, F.lit(p)), F.regexp_extract_all(
+        raw, F.lit(f"(?iu){NOT_AFTER_WORD}{p}{SPACE}+(.+?)(?=[,;.]|\\z)"), 1)).otherwise(none) for p in RELATION_PHRASES]
     mixed = lambda x: (F.regexp_count(x, F.lit("=")) >= 2) & has_any(F.lower(x), TRANSITIONS)
     clauses = F.filter(F.split(plain, "[,;]"), lambda x: ~mixed(x))
     opening = F.regexp_extract(plain, f"\\A((?:[^ ]+ ){{0,9}}[^ ]+)", 1)

@@ -13,7 +13,7 @@ from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, c
                                            standalone_issue, strict_support)
 from studyloom.functions.text import BULLET, front_key, norm_compare, norm_evidence, one_of, strip
 from studyloom.operators.contexts import evidence_array
-from studyloom.operators.numbering import top_per_key
+from studyloom.operators.numbering import top_per_key, unfold
 
 # Fixed values.
 ANSWERS_PER_CONTEXT, POOL_SIZE, LITERAL_MIN = 8, 80, 24
@@ -25,7 +25,7 @@ def answer_catalogue(spans: DataFrame, source: str = "source_ref") -> DataFrame:
 
     A source has at most 8 spans, so the window per source is small.
     """
-    rows = spans.select(source, "evidence_id", "span_no", "span", F.posexplode(answer_candidates(F.col("span"))).alias("_j", "answer"))
+    rows = unfold(spans, [source, "evidence_id", "span_no", "span"], answer_candidates(F.col("span")), "_j", "answer")
     w = W.partitionBy(source).orderBy("span_no", "_j")
     kept = rows.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") < ANSWERS_PER_CONTEXT)
     usable = (standalone_issue(F.col("answer")).isNull() & short_answer_issue(F.col("answer"), F.col("span")).isNull()
@@ -55,10 +55,10 @@ def distractor_pool(chunks: DataFrame) -> DataFrame:
     the first 80 by a limited rank, so no section is gathered as a whole.
     """
     spans = evidence_array(F.col("content"))
-    spans = F.when(F.size(spans) > 0, spans).otherwise(F.array("content"))
+    spans = let(spans, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array("content")))
     found = F.slice(F.flatten(F.transform(spans, answer_candidates)), 1, ANSWERS_PER_CONTEXT)
-    rows = (chunks.filter("section_id is not null").filter(strip(F.coalesce("content", F.lit(""))) != "")
-            .select("section_id", "document_id", "chunk_index", F.posexplode(found).alias("_j", "text"))
+    live = chunks.filter("section_id is not null").filter(strip(F.coalesce("content", F.lit(""))) != "")
+    rows = (unfold(live, ["section_id", "document_id", "chunk_index"], found, "_j", "text")
             .withColumn("_norm", norm_compare(F.col("text"))).filter("_norm <> ''"))
     at = F.struct("document_id", "chunk_index", "_j")
     distinct = rows.groupBy("section_id", "_norm").agg(F.min(at).alias("_at"), F.min_by("text", at).alias("text"))
@@ -155,7 +155,7 @@ def recover_items(batches: DataFrame, text_column: str = "content") -> DataFrame
     parsed = batches.withColumn("_valid", F.try_parse_json(body).isNotNull()).withColumn(
         "_items", F.from_json(body, "items array<string>").getField("items"))
     good = parsed.filter("_valid").select(*keep, F.posexplode("_items").alias("position", "item"))
-    bad = parsed.filter("not _valid").select(*keep, F.posexplode(_recover_array(text_column)).alias("position", "item"))
+    bad = unfold(parsed.filter("not _valid"), keep, _recover_array(text_column), "position", "item")
     return good.unionByName(bad)
 
 

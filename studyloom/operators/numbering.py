@@ -13,6 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def unfold(df: DataFrame, keep: Sequence[str | Column], items: Column, pos: str, item: str) -> DataFrame:
+    """Elements of an array as rows with their position.
+
+    The outer form keeps the optimizer from adding a size filter, which would evaluate the array twice.
+    """
+    return (df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull()))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """First ``k`` rows per key.  Spark prunes to k rows per key before the shuffle (WindowGroupLimit)."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -8,6 +8,7 @@ from studyloom.functions.mastery import (due_status, interval_days, practice_ran
                                          spacing_reason)
 from studyloom.functions.text import norm_compare, strip
 from studyloom.operators.numbering import numbered, top_per_key
+from studyloom.session import cut
 
 KEY = ["user_id", "subject_id"]
 
@@ -22,13 +23,13 @@ def recommend(topics: DataFrame) -> DataFrame:
     WEAK, then DEVELOPING, both by mastery, more attempts, section; then NOT_ENOUGH_DATA by fewer
     attempts, section.  The number of skipped STRONG topics is joined from a grouped count.
     """
-    ranked = topics.withColumn("_p", practice_rank(F.col("status")))
+    ranked = cut(topics).withColumn("_p", practice_rank(F.col("status")))  # read by counts, ranks and sizes
     unsure = F.col("status") == "NOT_ENOUGH_DATA"
     first = F.when(unsure, F.col("attempts").cast("double")).otherwise(F.col("mastery_score"))
     second = F.when(unsure, F.lit(0)).otherwise(-F.col("attempts"))
     bucket = [F.col("_p"), F.floor(first), F.when(unsure, F.floor(F.col("section_id") / 4096)).otherwise(F.lit(0))]
     rows = numbered(ranked.filter(F.col("_p") < 999), KEY, bucket, [F.col("_p"), first, second, F.col("section_id")], "rank")
-    strong = topics.groupBy(*KEY).agg(F.count_if(F.col("status") == "STRONG").alias("skipped_strong_topics"))
+    strong = ranked.groupBy(*KEY).agg(F.count_if(F.col("status") == "STRONG").alias("skipped_strong_topics"))
     return (rows.drop("_p").join(strong, KEY)
             .withColumn("reason", practice_reason(F.col("status"), F.col("mastery_score"), F.col("attempts"))))
 
@@ -58,7 +59,7 @@ def spaced_plan(topics: DataFrame, as_of: Column, horizon: int = 7) -> DataFrame
     if not 1 <= horizon <= 90:
         raise ValueError("horizon must be between 1 and 90 days")
     kept = spaced_items(topics, as_of).filter(F.col("scheduled_date") <= F.date_add(F.to_date(as_of), horizon - 1))
-    return numbered(kept, [*KEY, "scheduled_date"], [-F.floor("priority_score")],
+    return numbered(cut(kept), [*KEY, "scheduled_date"], [-F.floor("priority_score")],
                     [F.desc("priority_score"), F.asc("section_id")], "day_rank")
 
 

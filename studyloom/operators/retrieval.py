@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from studyloom.functions.text import words
+from studyloom.operators.numbering import unfold
 from studyloom.operators.lists import cascade, citations, top_k
-from studyloom.session import fits
+from studyloom.session import cut, fits
 
 # Fixed values of retrieval.
 TOP_K, MIN_SCORE, SUBSTRING_SCORE, LIKE_CHARS = 5, 0.05, 0.01, 120
@@ -153,8 +154,9 @@ def text_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataF
                                          F.array_distinct(tokens(F.col("query"))).alias("terms")).filter(F.size("terms") > 0)
     asked = q.select("question_id", "owner_id", F.explode("terms").alias("term"))
     c = scoped_chunks(chunks, docs)
-    posts = (c.select("owner_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
+    posts = (unfold(c, ["owner_id", "chunk_id"], F.array_distinct(tokens(F.col("content"))), "_i", "term").drop("_i")
              .join(asked.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_semi"))
+    posts = cut(posts)  # only the postings of asked terms: read twice below, far smaller than the texts
     df = posts.groupBy("owner_id", "term").agg(F.count(F.lit(1)).alias("n"))
     rarest = (asked.join(df, ["owner_id", "term"], "left").groupBy("question_id", "owner_id")
               .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), F.col("term"))).alias("term"), F.count("n").alias("known")))
@@ -190,7 +192,7 @@ def substring_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) ->
     wild = lambda x: F.rlike(x["like"], F.lit("[%_\\\\]"))
     match = F.filter("_qs", lambda x: F.when(
         wild(x), F.like(F.col("_low"), F.concat(F.lit("%"), x["like"], F.lit("%")))).otherwise(F.contains(F.col("_low"), x["like"])))
-    hits = c.join(arrays, "owner_id").withColumn("_q", F.explode(match))
+    hits = unfold(c.join(arrays, "owner_id"), ["chunk_id", "document_id", "subject_id", "content"], match, "_i", "_q")
     hits = hits.withColumns({"q_subject": F.col("_q.q_subject"), "q_documents": F.col("_q.q_documents")})
     return hits.filter(_in_scope(F.col("subject_id"), F.col("document_id"))).select(
         F.col("_q.question_id").alias("question_id"), "chunk_id", "document_id", "content",
@@ -209,15 +211,21 @@ def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedding
     A question whose vector search returned rows stops there, even if all were below the minimum score.
     """
     columns = ["question_id", "chunk_id", "document_id", "score", "rank_order"]
-    tiers = []
+    left, tiers = questions, []
+
+    def serve(rows, answered):
+        nonlocal left
+        tiers.append((rows, answered))
+        left = left.join(answered.select("question_id").distinct(), "question_id", "left_anti")
+
+    # Every tier is at most k rows per question; it is kept so that the next one runs on open questions only.
     if embeddings is not None and "vector" in questions.columns:
-        hits = vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k)
-        tiers.append((hits.filter(F.col("score") >= MIN_SCORE).select(columns), hits))
-    text = text_search(questions, chunks, docs, k).select(columns)
-    tiers += [(text, text)]
-    like = substring_search(questions, chunks, docs, k).select(columns)
-    tiers += [(like, like)]
-    found = cascade(tiers, "question_id")
+        hits = cut(vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k).select(columns))
+        serve(hits.filter(F.col("score") >= MIN_SCORE), hits)
+    text = cut(text_search(left, chunks, docs, k).select(columns))
+    serve(text, text)
+    like = substring_search(left, chunks, docs, k).select(columns)
+    found = cascade([*tiers, (like, like)], "question_id")
     body = chunks.select(F.col("id").alias("chunk_id"), "content")
     return found.join(body, "chunk_id")
 

@@ -9,6 +9,7 @@ from studyloom.functions.text import one_of
 from studyloom.operators.access import question_issue
 from studyloom.operators.contexts import crop_boundary, evidence_spans, micro_contexts, score_contexts
 from studyloom.operators.items import answer_catalogue, distractor_pool
+from studyloom.operators.numbering import unfold
 from studyloom.operators.planning import (allocate, assign_contexts, candidate_chunks, dedupe_questions,
                                           order_by_section_rank, preselect_answers, spread_sample)
 from studyloom.session import cut
@@ -62,7 +63,8 @@ def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame |
     three = pick_distractors(F.lit(None).cast("array<string>"), F.col("answer"), F.col("evidence"), F.col("near"), F.col("pool"))
     made = let(cloze_stem(F.col("answer"), F.col("evidence")), lambda s: let(three, lambda d: let(key, lambda k: question(s, d, k))))
     # Exploding an array that is null for unusable slots drops them without evaluating the rules twice.
-    q = q.select("request_id", "slot", "chunk_id", "section_id", "answer", "evidence", F.explode(made).alias("_q")).select(
+    rest = ["request_id", "slot", "chunk_id", "section_id", "answer", "evidence"]
+    q = unfold(q, rest, made, "_i", "_q").select(
         "request_id", "slot", "chunk_id", "section_id", "answer", "evidence", "_q.*")
     body = slots.select("chunk_id", "content").dropDuplicates(["chunk_id"])
     checked = q.join(body, "chunk_id").withColumn("verdict", F.coalesce(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import questions as qn, text as tx
 from studyloom.operators import access, chunking, contexts as ctx, items as it, lists, planning, retrieval as rt
+from studyloom.operators.numbering import unfold
 from studyloom.plans import cloze
 from studyloom.plans.registry import query
 from studyloom.plans.text_queries import BOOK, TEXT, books, lines, pairs, re_, s, s_cmp, s_ev, s_squeeze, s_strip, texts
@@ -249,7 +250,7 @@ def preselected_answers(t):
 # ------------------------------------------------------------------------------------ N13, N18, N19, N33, N34
 @query("answer_candidates")
 def answer_candidates(t):
-    return pairs(t).select("doc_id", "line_no", F.posexplode(qn.answer_candidates(F.col("evidence"))).alias("pos", "answer"))
+    return unfold(pairs(t), ["doc_id", "line_no"], qn.answer_candidates(F.col("evidence")), "pos", "answer")
 
 
 @query("distractor_pools")
