@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Largest driver-side lookup we are willing to ship to every task.
@@ -26,15 +24,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    folder = tempfile.mkdtemp(prefix="studyloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """Shared folder for cut lineage: the one the session names in ``spark.checkpoint.dir``, else one in the session's warehouse.
+
+    Both are seen by all executors; a folder of one machine is never used.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
