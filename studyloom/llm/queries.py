@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from studyloom.llm import simhash, suffix_automaton, url_cascade
-from studyloom.llm.common import LOWER, UPPER
+from studyloom.llm import crf, kneser_ney, licenses, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, word_bpe
+from studyloom.llm.common import LOWER, UPPER, fold_of
 from studyloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +37,72 @@ def simhash_groups(read):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+
+OP2_SQL = """
+with recursive v as (select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+                     where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a, min(b) as component_id from reach group by a), degree as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join least on vec_id = least.a left join degree on vec_id = degree.a
+"""
+
+
+@query("op2_pivot_permutation", OP2_SQL)
+def embedding_groups(read):
+    """Links and component of every vector."""
+    return pivots.near_duplicates(read("embeddings"))
+
+
+def trusted_texts(docs, labels):
+    """(lang, text) of the documents whose label says good quality."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select("lang", "text")
+
+
+@query("op3_kneser_ney")
+def quality(read):
+    """Perplexity of every document under the model of its language, the language's bounds, and whether it stays."""
+    docs = read("documents")
+    return kneser_ney.judge(docs, trusted_texts(docs, read("labels")))
+
+
+@query("op5_license_scan")
+def license_notices(read):
+    """Licence family of every paragraph that is or looks like a licence notice."""
+    return licenses.scan(read("documents"))
+
+
+@query("op6_word_bpe")
+def encoding(read):
+    """Number and digest of the ids of every document, and digest of what they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = word_bpe.decode(word_bpe.encode(read("documents"), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def learning_texts(docs):
+    """(lang, text) that language ID may learn from: every fold but one."""
+    return docs.where(F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2)).select("lang", "text")
+
+
+@query("op7_ppm_language")
+def language(read):
+    """Predicted language of every document."""
+    docs = read("documents")
+    found = ppm.identify(docs, learning_texts(docs))
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_transducer_counts")
+def token_counts(read):
+    """Bytes and tokens of every document."""
+    found = transducer.count_tokens(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > transducer.LIMIT).alias("over_limit"))
+
+
 OP9_SQL = rf"""
 with words as (select doc_id, row_number() over () as n, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
 items as (select cast(item_id as varchar) as item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
@@ -58,3 +125,11 @@ def decontamination(read):
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query("op10_crf_toxicity")
+def toxic_documents(read):
+    """Toxicity score of every document."""
+    labels = read("labels").where(fold_of("doc_id", 5) != 0).select("doc_id", "toxic")
+    found = crf.toxicity(read("documents"), labels)
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
