@@ -7,6 +7,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyloom.session import checkpoint_dir, cut
 
@@ -34,4 +35,10 @@ def fold_of(doc_id: F.Column | str, folds: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
-__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "cut", "fold_of", "stored", "text_bytes"]
+def shape(docs: DataFrame, *kept: str, **added: str) -> T.StructType:
+    """Schema of doc_id and other columns kept from ``docs``, whatever their types, followed by added ones."""
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in ("doc_id", *kept)]
+    return T.StructType([*fields, *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
+
+
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "cut", "fold_of", "shape", "stored", "text_bytes"]

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyloom.llm.common import cut
 from studyloom.llm.contexts import PAD, ContextMachine, grams, node_table
@@ -116,7 +117,7 @@ def score(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER, m
     models = {lang: machine_of(ps[ps["lang"] == lang], gs[gs["lang"] == lang], order) for lang in sorted(ps["lang"].unique())}
     shipped = docs.sparkSession.sparkContext.broadcast(models)
     names = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    fields = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("nats", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models_ = shipped.value
@@ -130,7 +131,7 @@ def score(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER, m
             added = [pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.float64(), from_pandas=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *added], [*names, "n_bytes", "nats"])
 
-    return docs.select(*names, "text").mapInArrow(run, f"{fields}, n_bytes long, nats double")
+    return docs.select(*names, "text").mapInArrow(run, fields)
 
 
 def score_by_join(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER) -> DataFrame:

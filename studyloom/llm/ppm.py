@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import cut
+from studyloom.llm.common import cut, shape
 from studyloom.llm.contexts import PAD, ContextMachine, grams, node_table, summed
 
 ORDER = 3
@@ -114,7 +114,6 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, texts: in
     language's probability is two to the minus code length; equal codes go to the first language by name.  Texts are read whole.
     """
     rows = cut(count_grams(sample(labelled, texts), order + 1)).toPandas()
-    kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
     if rows.empty:
         return read.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -132,4 +131,4 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, texts: in
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[np.where(empty, len(langs), best)], pa.string()),
                                               pa.array(np.where(empty, 0.0, share), pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return read.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return read.mapInArrow(run, shape(docs, lang_pred="string", score="double"))

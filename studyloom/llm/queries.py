@@ -74,13 +74,17 @@ def license_notices(read):
     return licenses.scan(read("documents"))
 
 
+def digests(decoded):
+    """Number and digest of ids, and digest of the text they decode to."""
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op6_word_bpe")
 def encoding(read):
     """Number and digest of the ids of every document, and digest of what they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = word_bpe.decode(word_bpe.encode(read("documents"), path), path)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(word_bpe.decode(word_bpe.encode(read("documents"), path), path))
 
 
 def learning_texts(docs):
