@@ -93,7 +93,7 @@ def close_stars(group: np.ndarray, value: np.ndarray, distance: int) -> tuple[np
     while len(at):
         at = at[at + step < len(group)]
         at = at[group[at] == group[at + step]]
-        near = at[np.bitwise_count(value[at] ^ value[at + step]) <= distance]
+        near = at[np.bitwise_count((value[at] ^ value[at + step]).view("u8")) <= distance]  # of signed numbers it counts the magnitude
         near = near[root[near] != root[near + step]]
         if len(near):
             _union(root, zip(near.tolist(), (near + step).tolist()))
