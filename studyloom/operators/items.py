@@ -13,21 +13,22 @@ from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, c
                                            standalone_issue, strict_support)
 from studyloom.functions.text import BULLET, front_key, norm_compare, norm_evidence, one_of, strip
 from studyloom.operators.contexts import evidence_array
-from studyloom.operators.numbering import top_per_key, unfold
+from studyloom.operators.numbering import numbered, top_per_key, unfold
 
 # Fixed values.
-ANSWERS_PER_CONTEXT, POOL_SIZE, LITERAL_MIN = 8, 80, 24
+LITERAL_MIN = 24
 TRUE_WORDS = ("true", "1", "yes", "correct")
 
 
-def answer_catalogue(spans: DataFrame, source: str = "source_ref") -> DataFrame:
-    """N13 + N33: answers A0.. of each source over its spans in order, at most 8, with score and usability.
+def answer_catalogue(spans: DataFrame, source: str = "source_ref", keep: int | None = None) -> DataFrame:
+    """N13 + N33: answers A0.. of each source over its spans in order, with score and usability; all, or the first ``keep``.
 
-    A source has at most 8 spans, so the window per source is small.
+    A source is one context, so the window per source is small.
     """
     rows = unfold(spans, [source, "evidence_id", "span_no", "span"], answer_candidates(F.col("span")), "_j", "answer")
     w = W.partitionBy(source).orderBy("span_no", "_j")
-    kept = rows.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") < ANSWERS_PER_CONTEXT)
+    kept = rows.withColumn("_n", F.row_number().over(w) - 1)
+    kept = kept if keep is None else kept.filter(F.col("_n") < keep)
     usable = (standalone_issue(F.col("answer")).isNull() & short_answer_issue(F.col("answer"), F.col("span")).isNull()
               & strict_support(F.col("answer"), F.col("span")))
     return kept.select(source, F.concat(F.lit("A"), F.col("_n").cast("string")).alias("answer_id"), "evidence_id",
@@ -42,27 +43,32 @@ def source_catalogue(contexts: DataFrame) -> DataFrame:
     """
     keyed = contexts.withColumn("_norm", norm_evidence(F.col("text")))
     first = keyed.groupBy("request_id", "chunk_id", "_norm").agg(F.min("slot").alias("_first"), F.min_by("text", "slot").alias("_text"))
-    number = F.row_number().over(W.partitionBy("request_id").orderBy("_first")) - 1
-    named = first.withColumn("source_no", number).select(
+    named = numbered(first, ["request_id"], [F.floor(F.col("_first") / 4096)], [F.asc("_first")], "source_no").withColumn(
+        "source_no", F.col("source_no") - 1).select(
         "request_id", "chunk_id", "_norm", "_text", F.concat(F.lit("S"), F.col("source_no").cast("string")).alias("source_ref"))
     return keyed.drop("text").join(named, ["request_id", "chunk_id", "_norm"]).drop("_norm").withColumnRenamed("_text", "text")
 
 
-def distractor_pool(chunks: DataFrame) -> DataFrame:
-    """Per section the first 80 distinct candidates of its chunks (at most 8 of a chunk), as one array.
+def distractor_terms(chunks: DataFrame, per_chunk: int | None = None) -> DataFrame:
+    """The distinct candidates of each section's chunks as rows (section_id, text, _at); ``_at`` is their order.
 
-    ``chunks``: section_id, document_id, chunk_index, content.  Distinct texts are found by an aggregate and
-    the first 80 by a limited rank, so no section is gathered as a whole.
+    ``chunks``: section_id, document_id, chunk_index, content.  All candidates of a chunk count, or its first
+    ``per_chunk``.  Distinct texts are found by an aggregate, so no section is gathered as a whole.
     """
     spans = evidence_array(F.col("content"))
     spans = let(spans, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array("content")))
-    found = F.slice(F.flatten(F.transform(spans, answer_candidates)), 1, ANSWERS_PER_CONTEXT)
+    found = F.flatten(F.transform(spans, answer_candidates))
+    found = found if per_chunk is None else F.slice(found, 1, per_chunk)
     live = chunks.filter("section_id is not null").filter(strip(F.coalesce("content", F.lit(""))) != "")
     rows = (unfold(live, ["section_id", "document_id", "chunk_index"], found, "_j", "text")
             .withColumn("_norm", norm_compare(F.col("text"))).filter("_norm <> ''"))
     at = F.struct("document_id", "chunk_index", "_j")
-    distinct = rows.groupBy("section_id", "_norm").agg(F.min(at).alias("_at"), F.min_by("text", at).alias("text"))
-    kept = top_per_key(distinct, ["section_id"], [F.asc("_at")], POOL_SIZE, "_rn")
+    return rows.groupBy("section_id", "_norm").agg(F.min(at).alias("_at"), F.min_by("text", at).alias("text")).drop("_norm")
+
+
+def distractor_pool(chunks: DataFrame, size: int, per_chunk: int | None = None) -> DataFrame:
+    """N18 as one array per section for picking: its first ``size`` terms, which bounds the array; the rows are ``distractor_terms``."""
+    kept = top_per_key(distractor_terms(chunks, per_chunk), ["section_id"], [F.asc("_at")], size, "_rn")
     return kept.groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))), lambda x: x.text).alias("pool"))
 
 

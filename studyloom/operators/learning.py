@@ -245,19 +245,32 @@ def xp_state(events) -> DataFrame:
     return total.withColumn("level_no", level(F.col("xp_total")))
 
 
+# Badge codes, their reward and threshold.
+BADGES = (("FIRST_QUIZ", 50), ("PERFECT_SCORE", 100), ("STREAK_7", 150), ("FLASHCARD_100", 100))
+STREAK_DAYS, REVIEW_COUNT = 7, 100
+
 # Amounts added per event.
 XP_QUIZ_BASE, XP_PER_CORRECT, XP_REVIEW = 10, 2, 2
 
 
-def xp_events(scored, reviews) -> DataFrame:
-    """XP ledger rows of submitted attempts and card reviews."""
+def xp_events(scored, reviews, badges=None) -> DataFrame:
+    """XP ledger rows of submitted attempts, card reviews and earned badges (user_id, badge_code, earned_on).
+
+    A badge adds its reward on the day it was earned; its place in ``BADGES`` (from 1) is its source.
+    """
     q = scored.select("user_id", (F.lit(XP_QUIZ_BASE) + F.col("correct_count") * XP_PER_CORRECT).cast("long").alias("amount"),
                       F.lit("QUIZ_ATTEMPT").alias("source_type"), F.col("attempt_id").alias("source_id"),
                       F.col("submitted_at").alias("at"))
     r = reviews.select("user_id", F.lit(XP_REVIEW).cast("long").alias("amount"),
                        F.lit("FLASHCARD_REVIEW").alias("source_type"), F.col("id").alias("source_id"),
                        F.col("reviewed_at").alias("at"))
-    return q.unionByName(r)
+    if badges is None:
+        return q.unionByName(r)
+    rewards = F.create_map(*[F.lit(x) for code, reward in BADGES for x in (code, reward)])
+    numbers = F.create_map(*[F.lit(x) for n, (code, _) in enumerate(BADGES, 1) for x in (code, n)])
+    b = badges.select("user_id", rewards[F.col("badge_code")].cast("long").alias("amount"), F.lit("BADGE").alias("source_type"),
+                      numbers[F.col("badge_code")].cast("long").alias("source_id"), F.col("earned_on").cast("timestamp").alias("at"))
+    return q.unionByName(r).unionByName(b.select(q.columns))
 
 
 def streaks(activity) -> DataFrame:
@@ -274,11 +287,6 @@ def _islands(activity) -> DataFrame:
     return days.withColumn("_rn", rn).withColumn("_island", F.date_sub("day", F.col("_rn")))
 
 
-# Badge codes, their reward and threshold.
-BADGES = (("FIRST_QUIZ", 50), ("PERFECT_SCORE", 100), ("STREAK_7", 150), ("FLASHCARD_100", 100))
-STREAK_DAYS, REVIEW_COUNT = 7, 100
-
-
 def earn_badges(scored, reviews, activity, owned=None, active: Sequence[str] = tuple(b for b, _ in BADGES)) -> DataFrame:
     """Badges each user earns, with the day of the deciding event; owned badges are not granted again.
 

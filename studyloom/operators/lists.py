@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from studyloom.operators.numbering import top_per_key
+from studyloom.operators.numbering import numbered, top_per_key
 
 
 def recent_notifications(notifications: DataFrame, unread_only: bool = False, n: int = 100) -> DataFrame:
@@ -36,9 +36,15 @@ def citations(top: DataFrame, query_key: str = "question_id") -> DataFrame:
                       F.substring("content", 1, 400).alias("excerpt"))
 
 
-def ordered_children(df: DataFrame, parent: str, order: Sequence[Column], limit: int = 200) -> DataFrame:
-    """K3: children of each parent, numbered in order, at most ``limit``."""
-    return top_per_key(df, [parent], order, limit, "child_no")
+def ordered_children(df: DataFrame, parent: str, order: Sequence[Column], bucket: Sequence[Column] = (),
+                     limit: int | None = None) -> DataFrame:
+    """K3: all children of each parent, numbered in order, or the first ``limit``.
+
+    ``bucket`` follows ``order`` (see ``numbered``), so that a parent with very many children is ranked by several tasks.
+    """
+    if limit is not None:
+        return top_per_key(df, [parent], order, limit, "child_no")
+    return numbered(df, [parent], bucket, order, "child_no")
 
 
 def _joined(top: DataFrame, key: str, line: Column, rank: str) -> DataFrame:
@@ -48,15 +54,25 @@ def _joined(top: DataFrame, key: str, line: Column, rank: str) -> DataFrame:
 
 
 def assemble_context(top: DataFrame, key: str = "question_id") -> DataFrame:
-    """K4: numbered sources of a query in one text.  At most 20 rows per query reach the grouping."""
+    """K4: numbered sources of a query in one text; ``top`` has the rows per query that ``top_k`` was asked for."""
     line = F.concat(F.lit("[SOURCE "), F.col("rank_order").cast("string"), F.lit("] "), F.col("content"))
-    return _joined(top.filter("rank_order <= 20"), key, line, "rank_order")
+    return _joined(top, key, line, "rank_order")
+
+
+def _head(text: str, chars: int | None) -> Column:
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
 
 
-def assemble_deck_context(chunks: DataFrame, key: str = "request_id") -> DataFrame:
-    """K4 for card sets: the first 30 chunks by document and index, 2500 characters each."""
-    first = top_per_key(chunks, [key], [F.asc("document_id"), F.asc("chunk_index")], 30, "_pos")
-    line = F.concat(F.lit("[CHUNK_ID="), F.col("id").cast("string"), F.lit("]\n"), F.substring("content", 1, 2500))
+def assemble_deck_context(chunks: DataFrame, key: str = "request_id", first_chunks: int | None = None,
+                          chars: int | None = None) -> DataFrame:
+    """K4 for card sets: the chunks by document and index, all of them and whole.
+
+    A caller that feeds a bounded prompt passes ``first_chunks`` and ``chars`` (30 and 2500 for one card request).
+    """
+    order = [F.asc("document_id"), F.asc("chunk_index")]
+    first = (numbered(chunks, [key], [F.col("document_id")], order, "_pos") if first_chunks is None
+             else top_per_key(chunks, [key], order, first_chunks, "_pos"))
+    line = F.concat(F.lit("[CHUNK_ID="), F.col("id").cast("string"), F.lit("]\n"), _head("content", chars))
     return _joined(first, key, line, "_pos")
 
 
@@ -65,10 +81,14 @@ ANSWER_HEAD = "Chưa cấu hình LLM. Đây là các đoạn tài liệu liên q
 ANSWER_NONE = "Không tìm thấy thông tin liên quan trong các tài liệu đã gắn với cuộc hội thoại."
 
 
-def retrieval_answer(questions: DataFrame, top: DataFrame, key: str = "question_id") -> DataFrame:
-    """K5: the three best chunks of each question as bullets of 700 characters, or the "nothing found" text."""
-    line = F.concat(F.lit("• "), F.substring("content", 1, 700))
-    found = _joined(top.filter("rank_order <= 3"), key, line, "rank_order")
+def retrieval_answer(questions: DataFrame, top: DataFrame, key: str = "question_id", best: int | None = None,
+                     chars: int | None = None) -> DataFrame:
+    """K5: the chunks found for each question as bullets, or the "nothing found" text.
+
+    ``best`` and ``chars`` bound what is shown of an answer (3 and 700 for one chat message); without them all of it is.
+    """
+    line = F.concat(F.lit("• "), _head("content", chars))
+    found = _joined(top if best is None else top.filter(F.col("rank_order") <= best), key, line, "rank_order")
     return questions.select(key).join(found, key, "left").select(
         key, F.coalesce(F.concat(F.lit(ANSWER_HEAD), "text"), F.lit(ANSWER_NONE)).alias("answer"))
 

@@ -8,7 +8,6 @@ from studyloom.functions.mastery import (due_status, interval_days, practice_ran
                                          spacing_reason)
 from studyloom.functions.text import norm_compare, strip
 from studyloom.operators.numbering import numbered, top_per_key
-from studyloom.session import cut
 
 KEY = ["user_id", "subject_id"]
 
@@ -21,16 +20,17 @@ def recommend(topics: DataFrame) -> DataFrame:
     """Rank every topic that is not STRONG.
 
     WEAK, then DEVELOPING, both by mastery, more attempts, section; then NOT_ENOUGH_DATA by fewer
-    attempts, section.  The number of skipped STRONG topics is joined from a grouped count.
+    attempts, section.  A key holds the sections of one subject, so one window per key serves the ranks and the
+    number of skipped STRONG topics; no row is read twice.
     """
-    ranked = cut(topics).withColumn("_p", practice_rank(F.col("status")))  # read by counts, ranks and sizes
+    ranked = topics.withColumn("_p", practice_rank(F.col("status")))
     unsure = F.col("status") == "NOT_ENOUGH_DATA"
     first = F.when(unsure, F.col("attempts").cast("double")).otherwise(F.col("mastery_score"))
     second = F.when(unsure, F.lit(0)).otherwise(-F.col("attempts"))
-    bucket = [F.col("_p"), F.floor(first), F.when(unsure, F.floor(F.col("section_id") / 4096)).otherwise(F.lit(0))]
-    rows = numbered(ranked.filter(F.col("_p") < 999), KEY, bucket, [F.col("_p"), first, second, F.col("section_id")], "rank")
-    strong = ranked.groupBy(*KEY).agg(F.count_if(F.col("status") == "STRONG").alias("skipped_strong_topics"))
-    return (rows.drop("_p").join(strong, KEY)
+    rows = ranked.withColumns({
+        "skipped_strong_topics": F.count_if(F.col("status") == "STRONG").over(W.partitionBy(*KEY)),
+        "rank": F.row_number().over(W.partitionBy(*KEY).orderBy("_p", first, second, "section_id")).cast("long")})
+    return (rows.filter(F.col("_p") < 999).drop("_p")
             .withColumn("reason", practice_reason(F.col("status"), F.col("mastery_score"), F.col("attempts"))))
 
 
@@ -59,8 +59,8 @@ def spaced_plan(topics: DataFrame, as_of: Column, horizon: int = 7) -> DataFrame
     if not 1 <= horizon <= 90:
         raise ValueError("horizon must be between 1 and 90 days")
     kept = spaced_items(topics, as_of).filter(F.col("scheduled_date") <= F.date_add(F.to_date(as_of), horizon - 1))
-    return numbered(cut(kept), [*KEY, "scheduled_date"], [-F.floor("priority_score")],
-                    [F.desc("priority_score"), F.asc("section_id")], "day_rank")
+    w = W.partitionBy(*KEY, "scheduled_date").orderBy(F.desc("priority_score"), F.asc("section_id"))
+    return kept.withColumn("day_rank", F.row_number().over(w).cast("long"))
 
 
 def plan_calendar(topics: DataFrame, as_of: Column, horizon: int = 7) -> DataFrame:
@@ -96,12 +96,9 @@ def adaptive_sections(topics: DataFrame, question_count: Column) -> DataFrame:
     return _first_n(rows, [F.col("_p"), first, second, F.col("section_id")]).drop("_p")
 
 
-# Fixed value: the most questions one quiz request may ask for.
-MAX_QUESTIONS = 50
-
-
 def _first_n(rows: DataFrame, order: list[Column]) -> DataFrame:
-    return top_per_key(rows, KEY, order, MAX_QUESTIONS, "pick").filter(F.col("pick") <= F.col("_n")).drop("_n")
+    """The first ``_n`` rows per key, whatever that number is; a key holds the sections of one subject."""
+    return rows.withColumn("pick", F.row_number().over(W.partitionBy(*KEY).orderBy(*order))).filter(F.col("pick") <= F.col("_n")).drop("_n")
 
 
 # Fixed values of the study plan.
@@ -153,7 +150,6 @@ def active_chunks(chunks: DataFrame, newest: Column | str = "created_at") -> Dat
 
 
 # Fixed values of quiz source selection.
-CHUNKS_READ, MAX_SOURCES = 120, 6
 LONG_CHUNK, SHORT_CHUNK = 500, 200
 TOC_MARKERS = ("MỤC LỤC", "TABLE OF CONTENTS")
 CHAPTER_WORD = "CHƯƠNG"
@@ -168,14 +164,20 @@ def is_toc(content: Column) -> Column:
     return marked & (F.regexp_count(head, F.lit(CHAPTER_WORD)) >= 3)
 
 
-def order_by_section_rank(chunks: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
-    """First 120 chunks per request by document and index, then numbered by section rank (``idx`` from 0)."""
-    head = top_per_key(chunks, ["request_id"], [F.asc("document_id"), F.asc("chunk_index")], CHUNKS_READ, "_read")
-    if ranks is None:
-        return head.withColumn("idx", F.col("_read") - 1).drop("_read")
-    joined = head.join(ranks.select("request_id", "section_id", F.col("rank").alias("_rank")), ["request_id", "section_id"], "left")
-    w = W.partitionBy("request_id").orderBy(F.coalesce("_rank", F.lit(999999)), "document_id", "chunk_index")
-    return joined.withColumn("idx", F.row_number().over(w) - 1).drop("_read", "_rank")
+def order_by_section_rank(chunks: DataFrame, ranks: DataFrame | None = None, chunks_read: int | None = None) -> DataFrame:
+    """The chunks of a request numbered by section rank, document and index (``idx`` from 0).
+
+    All chunks are read, or the first ``chunks_read`` by document and index (120 for one interactive request).
+    Requests of any size are ranked document by document.
+    """
+    order = [F.asc("document_id"), F.asc("chunk_index")]
+    head = chunks if chunks_read is None else top_per_key(chunks, ["request_id"], order, chunks_read, "_read").drop("_read")
+    bucket = [F.col("document_id")]
+    if ranks is not None:
+        head = head.join(ranks.select("request_id", "section_id", F.col("rank").alias("_rank")), ["request_id", "section_id"], "left")
+        head = head.withColumn("_rank", F.coalesce("_rank", F.lit(999999)))
+        order, bucket = [F.asc("_rank"), *order], [F.col("_rank"), *bucket]
+    return numbered(head, ["request_id"], bucket, order, "idx").withColumn("idx", F.col("idx") - 1).drop("_rank")
 
 
 def candidate_chunks(chunks: DataFrame) -> DataFrame:
@@ -187,16 +189,16 @@ def candidate_chunks(chunks: DataFrame) -> DataFrame:
     return marked.join(best, "request_id").filter(F.col("_tier") <= F.col("_best")).drop("_tier", "_best")
 
 
-def spread_sample(candidates: DataFrame, requests: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
+def spread_sample(candidates: DataFrame, requests: DataFrame, max_sources: int | None = None) -> DataFrame:
     """Evenly spaced source chunks per request (``pick`` from 0), ties rounded half to even.
 
-    ``candidates`` holds at most 120 rows per request in ``idx`` order; ``requests``: request_id, question_count.
-    Steps are at least one, so no two picks coincide.
+    ``candidates`` come with their ``idx``; ``requests``: request_id, question_count.  There is a source for every
+    question as far as candidates go, or at most ``max_sources`` (6 for one interactive request).  Steps are at
+    least one, so no two picks coincide.
     """
-    w = W.partitionBy("request_id").orderBy("idx")
-    pos = candidates.withColumn("_pos", F.row_number().over(w) - 1)
+    pos = numbered(candidates, ["request_id"], [F.floor(F.col("idx") / 4096)], [F.asc("idx")], "_pos").withColumn("_pos", F.col("_pos") - 1)
     n = pos.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    k = F.greatest(F.lit(1), F.least(F.col("_n"), F.col("question_count"), F.lit(max_sources))).cast("int")
+    k = F.greatest(F.lit(1), F.least(F.col("_n"), F.col("question_count"), F.lit(max_sources).cast("long"))).cast("int")
     picks = (n.join(requests.select("request_id", "question_count"), "request_id").withColumn("_k", k)
              .withColumn("pick", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
              .withColumn("_pos", F.when(F.col("_k") <= 1, F.lit(0)).otherwise(
@@ -220,24 +222,27 @@ def allocate(sources: DataFrame) -> DataFrame:
 def assign_contexts(slots: DataFrame, contexts: DataFrame) -> DataFrame:
     """The i-th slot of a chunk in a request takes context ``i mod m`` of the chunk.
 
-    ``slots``: request_id, slot, chunk_id, turn; ``contexts``: chunk_id, rank (from 1, at most 8), text, ...
+    ``slots``: request_id, slot, chunk_id, turn; ``contexts``: chunk_id, rank (from 1), text, ...
     """
     size = contexts.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_m"))
     return (slots.join(size, "chunk_id").withColumn("rank", (F.col("turn") % F.col("_m") + 1).cast("int"))
             .join(contexts, ["chunk_id", "rank"]).drop("_m"))
 
 
-def preselect_answers(slots: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One answer per slot; slots of the same source rotate over its three best candidates.
+def preselect_answers(slots: DataFrame, candidates: DataFrame, best: int | None = None) -> DataFrame:
+    """One answer per slot; slots of the same source rotate over its candidates, best first, or the ``best`` first.
 
     ``slots``: request_id, slot, source_ref; ``candidates``: source_ref, answer_id, score, ... and ``usable``.
     """
-    best = top_per_key(candidates.filter("usable"), ["source_ref"], [F.desc("score"), F.asc("answer_id")], 3, "_rank")
-    size = best.groupBy("source_ref").agg(F.count(F.lit(1)).alias("_m"))
+    order = [F.desc("score"), F.asc("answer_id")]
+    usable = candidates.filter("usable")
+    kept = (usable.withColumn("_rank", F.row_number().over(W.partitionBy("source_ref").orderBy(*order))) if best is None
+            else top_per_key(usable, ["source_ref"], order, best, "_rank"))
+    size = kept.groupBy("source_ref").agg(F.count(F.lit(1)).alias("_m"))
     use = F.row_number().over(W.partitionBy("request_id", "source_ref").orderBy("slot")) - 1
     return (slots.withColumn("_use", use).join(size, "source_ref")
             .withColumn("_rank", (F.col("_use") % F.col("_m") + 1).cast("int"))
-            .join(best, ["source_ref", "_rank"]).drop("_use", "_m", "_rank"))
+            .join(kept, ["source_ref", "_rank"]).drop("_use", "_m", "_rank"))
 
 
 def dedupe_questions(questions: DataFrame, used: DataFrame | None = None, scope: str = "quiz_id") -> DataFrame:

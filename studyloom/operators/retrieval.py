@@ -7,6 +7,7 @@ query, and for vector search ``vector``.  No step forms question-chunk pairs oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from studyloom.functions.text import words
 from studyloom.operators.numbering import unfold
-from studyloom.operators.lists import cascade, citations, top_k
+from studyloom.operators.lists import citations, top_k
 from studyloom.session import cut, fits
 
 # Fixed values of retrieval.
-TOP_K, MIN_SCORE, SUBSTRING_SCORE, LIKE_CHARS = 5, 0.05, 0.01, 120
+TOP_K, MIN_SCORE, SUBSTRING_SCORE = 5, 0.05, 0.01
 
 # Questions whose vectors are shipped to every task; larger batches are joined block by block.
 SHIPPED_QUESTIONS = 4_000
@@ -33,11 +34,13 @@ def scoped_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
             .join(d, "document_id"))
 
 
-def _in_scope(subject: Column, document: Column) -> Column:
+def _in_scope(subject: Column, document: Column, q_subject: Column | None = None, q_documents: Column | None = None) -> Column:
     """Chunk columns against the question's scope: document list, else subject, else everything of the owner."""
-    listed = F.coalesce(F.size("q_documents"), F.lit(0)) > 0
-    return F.when(listed, F.array_contains("q_documents", document)).otherwise(
-        F.col("q_subject").isNull() | F.coalesce(subject == F.col("q_subject"), F.lit(False)))
+    q_subject = F.col("q_subject") if q_subject is None else q_subject
+    q_documents = F.col("q_documents") if q_documents is None else q_documents
+    listed = F.coalesce(F.size(q_documents), F.lit(0)) > 0
+    return F.when(listed, F.coalesce(F.array_contains(q_documents, document), F.lit(False))).otherwise(
+        q_subject.isNull() | F.coalesce(subject == q_subject, F.lit(False)))
 
 
 def _scope_columns(questions: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def vector_hits(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame,
 
     Every Arrow batch of chunk vectors is multiplied with the question vectors and gives at most ``k`` rows
     per question.  A question batch of checked size is shipped to the tasks; a larger one is cut into blocks
-    and meets the vector blocks cell by cell, each cell of bounded size.
+    that meet the vector blocks of the same owner, cell by cell, each cell of bounded size.
     """
     q = _scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents", "vector")
     e = (embeddings.filter("embedding is not null").select("chunk_id", "embedding")
@@ -100,14 +103,16 @@ def vector_hits(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame,
 
         partial = e.mapInPandas(run, HITS)
     else:
-        q_blocks = -(-q.count() // BLOCK_ROWS)
-        e_blocks = max(1, -(-e.count() // BLOCK_ROWS))
-        cells_q = q.withColumn("qb", F.pmod(F.xxhash64("question_id"), F.lit(q_blocks))).withColumn(
-            "eb", F.explode(F.sequence(F.lit(0), F.lit(e_blocks - 1))))
-        cells_e = e.withColumn("eb", F.pmod(F.xxhash64("chunk_id"), F.lit(e_blocks)).cast("int")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-        partial = (cells_q.groupBy("qb", "eb").cogroup(cells_e.groupBy("qb", "eb"))
-                   .applyInPandas(lambda left, right: _best(left, right, k), HITS))
+        asked = q.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+        # Questions and vectors meet inside an owner only: its question blocks with its vector blocks.
+        held = e.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts"))
+        both = asked.join(held, "owner_id")
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cells_q = q.join(both, "owner_id").withColumn("qb", block("question_id", "_blocks")).withColumn("eb", each("_parts")).drop("_blocks", "_parts")
+        cells_e = e.join(both, "owner_id").withColumn("eb", block("chunk_id", "_parts")).withColumn("qb", each("_blocks")).drop("_blocks", "_parts")
+        key = ["owner_id", "qb", "eb"]
+        partial = cells_q.groupBy(*key).cogroup(cells_e.groupBy(*key)).applyInPandas(lambda left, right: _best(left, right, k), HITS)
     return top_k(partial, "question_id", k)
 
 
@@ -175,28 +180,35 @@ def text_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k: int
     return top_k(text_hits(questions, chunks, docs), "question_id", k)
 
 
+def like_pattern(text: Column) -> Column:
+    """The pattern as databases read it: a backslash makes the next character stand for itself.
+
+    Spark's LIKE refuses one before a character that is no wild card, so it is dropped there.
+    """
+    return F.regexp_replace(text, r"\\([^%_\\])|(\\[%_\\])", "$1$2")
+
+
 def substring_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """X3 before the limit: case-insensitive LIKE of the first 120 characters; % and _ stay wild cards.
+    """X3 before the limit: case-insensitive LIKE of the whole question; % and _ stay wild cards.
 
     The questions of an owner meet its chunks as arrays of bounded length, spread over as many salted
-    arrays as their number asks for; only matches become rows.
+    arrays as their number asks for; scope is tested before the text, and only matches become rows.
     """
     q = _scope_columns(questions)
-    like = F.lower(F.substring("query", 1, LIKE_CHARS))
     salts = q.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_ARRAY).alias("_salts"))
     arrays = (q.join(salts, "owner_id")
               .withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.col("_salts")))
               .groupBy("owner_id", "_salt").agg(F.collect_list(F.struct(
-                  "question_id", "q_subject", "q_documents", like.alias("like"))).alias("_qs")))
+                  "question_id", "q_subject", "q_documents", F.lower("query").alias("like"))).alias("_qs")))
     c = scoped_chunks(chunks, docs).withColumn("_low", F.lower("content"))
-    wild = lambda x: F.rlike(x["like"], F.lit("[%_\\\\]"))
-    match = F.filter("_qs", lambda x: F.when(
-        wild(x), F.like(F.col("_low"), F.concat(F.lit("%"), x["like"], F.lit("%")))).otherwise(F.contains(F.col("_low"), x["like"])))
-    hits = unfold(c.join(arrays, "owner_id"), ["chunk_id", "document_id", "subject_id", "content"], match, "_i", "_q")
-    hits = hits.withColumns({"q_subject": F.col("_q.q_subject"), "q_documents": F.col("_q.q_documents")})
-    return hits.filter(_in_scope(F.col("subject_id"), F.col("document_id"))).select(
-        F.col("_q.question_id").alias("question_id"), "chunk_id", "document_id", "content",
-        F.lit(SUBSTRING_SCORE).alias("score"))
+    wild = lambda x: F.rlike(x["like"], F.lit(r"[%_\\]"))
+    found = lambda x: F.when(wild(x), F.like(F.col("_low"), F.concat(F.lit("%"), like_pattern(x["like"]), F.lit("%")))).otherwise(
+        F.contains(F.col("_low"), x["like"]))
+    inside = lambda x: _in_scope(F.col("subject_id"), F.col("document_id"), x["q_subject"], x["q_documents"])
+    match = F.filter("_qs", lambda x: F.when(inside(x), found(x)).otherwise(False))
+    hits = unfold(c.join(arrays, "owner_id"), ["chunk_id", "document_id", "content"], match, "_i", "_q")
+    return hits.select(F.col("_q.question_id").alias("question_id"), "chunk_id", "document_id", "content",
+                       F.lit(SUBSTRING_SCORE).alias("score"))
 
 
 def substring_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -225,7 +237,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedding
     text = cut(text_search(left, chunks, docs, k).select(columns))
     serve(text, text)
     like = substring_search(left, chunks, docs, k).select(columns)
-    found = cascade([*tiers, (like, like)], "question_id")
+    found = reduce(DataFrame.unionByName, [rows for rows, _ in [*tiers, (like, like)]])
     body = chunks.select(F.col("id").alias("chunk_id"), "content")
     return found.join(body, "chunk_id")
 

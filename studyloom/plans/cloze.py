@@ -15,6 +15,10 @@ from studyloom.operators.planning import (allocate, assign_contexts, candidate_c
 from studyloom.session import cut
 
 
+# Terms of a section that one question picks its distractors from; bounds the array that travels with the question.
+POOL_TERMS = 80
+
+
 def question_slots(chunks: DataFrame, requests: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """W10 -> W9 -> W7 -> W8: one row per question to write, with its source chunk."""
     read = order_by_section_rank(chunks, ranks)
@@ -47,7 +51,9 @@ def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame |
     near = answers.groupBy("source_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("answer_id", "answer"))),
                                                         lambda x: x.answer).alias("near"))
     picked = preselect_answers(placed.select("request_id", "slot", "chunk_id", "section_id", "source_ref"), answers)
-    pool = distractor_pool(chunks.select("section_id", "id", "document_id", "chunk_index", "content").dropDuplicates(["id"]))
+    asked = slots.select("section_id").filter("section_id is not null").distinct()
+    wanted = chunks.join(asked, "section_id", "left_semi").select("section_id", "id", "document_id", "chunk_index", "content")
+    pool = distractor_pool(wanted.dropDuplicates(["id"]), POOL_TERMS)
     q = picked.join(near, "source_ref").join(pool, "section_id", "left")
     key = correct_key(F.col("slot").cast("string"))
     keys = one_of(KEYS)

@@ -227,13 +227,26 @@ def adaptive_sections(t):
 
 
 # ------------------------------------------------------------------------------------ A4, A5, A6, A7, W6, W17, S6
-DAILY = {**SCORED, "xp": (("scored", "reviews"), """select user_id, 10 + 2 * correct_count as amount, 'QUIZ_ATTEMPT' as source_type,
+ACTIVITY = {"days": ((), "select distinct user_id, cast(ts as date) as day from events"),
+            "isl": (("days",), "select user_id, day, day - cast(row_number() over (partition by user_id order by day) as integer) as g from days")}
+
+BADGES = {**SCORED, **ACTIVITY, "earned": (("scored", "isl", "reviews"), """
+    select user_id, min(cast(submitted_at as date)) as earned_on, 'FIRST_QUIZ' as badge_code from scored group by 1 union all
+    select user_id, min(cast(submitted_at as date)), 'PERFECT_SCORE' from scored where percentage >= 100 group by 1 union all
+    select user_id, min(day), 'STREAK_7' from (select *, row_number() over (partition by user_id, g order by day) as n from isl) where n = 7 group by 1 union all
+    select user_id, day, 'FLASHCARD_100' from (select user_id, cast(reviewed_at as date) as day,
+      row_number() over (partition by user_id order by cast(reviewed_at as date), id) as n from reviews) where n = 100""")}
+
+# The rewards are written here once more, apart from the query's own table.
+DAILY = {**BADGES, "xp": (("scored", "reviews", "earned"), """select user_id, 10 + 2 * correct_count as amount, 'QUIZ_ATTEMPT' as source_type,
       attempt_id as source_id, submitted_at as "at" from scored union all
-      select user_id, 2, 'FLASHCARD_REVIEW', id, reviewed_at from reviews""")}
+      select user_id, 2, 'FLASHCARD_REVIEW', id, reviewed_at from reviews union all
+      select user_id, case badge_code when 'FIRST_QUIZ' then 50 when 'STREAK_7' then 150 else 100 end, 'BADGE',
+        case badge_code when 'FIRST_QUIZ' then 1 when 'PERFECT_SCORE' then 2 when 'STREAK_7' then 3 else 4 end, cast(earned_on as timestamp) from earned""")}
 
 
 def xp_rows(t):
-    return learning.xp_events(scored(t), t.reviews)
+    return learning.xp_events(scored(t), t.reviews, badges(t))
 
 
 @query("daily_stats", oracle("scored reviews xp", """select user_id, activity_date, sum(qa) as quiz_attempts, sum(q) as questions_answered,
@@ -303,10 +316,6 @@ def recent_xp(t):
     return planning.recent_xp(xp_rows(t), 50)
 
 
-ACTIVITY = {"days": ((), "select distinct user_id, cast(ts as date) as day from events"),
-            "isl": (("days",), "select user_id, day, day - cast(row_number() over (partition by user_id order by day) as integer) as g from days")}
-
-
 @query("study_streaks", oracle("isl", """select user_id, arg_max(n, last) as current_streak, max(n) as longest_streak, max(last) as last_study_date
     from (select user_id, g, count(*) as n, max(day) as last from isl group by 1, 2) group by 1""", ACTIVITY))
 def study_streaks(t):
@@ -319,14 +328,6 @@ def badges(t):
     return learning.earn_badges(s, r, t.raw("events").select("user_id", F.to_date("ts").alias("day")))
 
 
-BADGES = {**SCORED, **ACTIVITY, "earned": (("scored", "isl", "reviews"), """
-    select user_id, min(cast(submitted_at as date)) as earned_on, 'FIRST_QUIZ' as badge_code from scored group by 1 union all
-    select user_id, min(cast(submitted_at as date)), 'PERFECT_SCORE' from scored where percentage >= 100 group by 1 union all
-    select user_id, min(day), 'STREAK_7' from (select *, row_number() over (partition by user_id, g order by day) as n from isl) where n = 7 group by 1 union all
-    select user_id, day, 'FLASHCARD_100' from (select user_id, cast(reviewed_at as date) as day,
-      row_number() over (partition by user_id order by cast(reviewed_at as date), id) as n from reviews) where n = 100""")}
-
-
 @query("badges_earned", oracle("earned", "select * from earned", BADGES))
 def badges_earned(t):
     return badges(t)
@@ -527,15 +528,15 @@ def quiz_page(t):
 
 
 @query("conversation_messages", oracle("messages", """select conversation_id, turn, role, content, child_no from (select *,
-    row_number() over (partition by conversation_id order by turn) as child_no from messages) where child_no <= 200"""))
+    row_number() over (partition by conversation_id order by turn) as child_no from messages)"""))
 def conversation_messages(t):
-    return lists.ordered_children(t.messages, "conversation_id", [F.asc("turn")], 200)
+    return lists.ordered_children(t.messages, "conversation_id", [F.asc("turn")], [F.floor(F.col("turn") / 4096)])
 
 
 @query("chunk_listing", oracle("chunks", """select document_id, id, chunk_index, child_no from (select *, row_number() over (partition by document_id
-    order by chunk_index) as child_no from chunks where is_active) where child_no <= 200"""))
+    order by chunk_index) as child_no from chunks where is_active)"""))
 def chunk_listing(t):
-    return lists.ordered_children(t.chunks.filter("is_active"), "document_id", [F.asc("chunk_index")], 200).select(
+    return lists.ordered_children(t.chunks.filter("is_active"), "document_id", [F.asc("chunk_index")], [F.floor(F.col("chunk_index") / 4096)]).select(
         "document_id", "id", "chunk_index", "child_no")
 
 

@@ -55,10 +55,10 @@ NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(replace({}, 'ß',
 SECTIONS = {**BOOK, "outline": (("lines",), f"""select id, document_id, ord, title, list_filter(string_split(title, ' '), lambda x: length(x) >= 2 and x not in {tuple(chunking.TITLE_STOP)}) as toks from (
       select doc_id * 1000 + line_no as id, doc_id as document_id, case when line_no // 4 = 0 then 999999 else line_no // 4 end as ord,
         {NORM.format("array_to_string(string_split(line, ' ')[2:4], ' ')")} as title from lines where line_no % 4 = 1)"""),
-    "nb": (("blocks",), f"select doc_id, block_index, heading, ch, {NORM.format('substr(content, 1, 5000)')} as txt, {NORM.format('coalesce(heading, chr(32))')} as hd from blocks"),
+    "nb": (("blocks",), f"select doc_id, block_index, heading, ch, {NORM.format('content')} as txt, {NORM.format('coalesce(heading, chr(32))')} as hd from blocks"),
     "points": (("nb", "outline"), """select b.*, o.id, o.ord, case when o.title <> '' and contains(txt, o.title) then 120 else 0 end
-      + coalesce(list_sum(list_transform(o.toks, lambda x: case when list_contains(string_split(hd, ' '), x) then 22 else 0 end + case when list_contains(string_split(substr(txt, 1, 1800), ' '), x) then 4 else 0 end)), 0)
-      + coalesce(list_sum(list_transform(range(1, len(o.toks)), lambda i: case when contains(hd, o.toks[i] || ' ' || o.toks[i + 1]) then 28 when contains(substr(txt, 1, 1800), o.toks[i] || ' ' || o.toks[i + 1]) then 8 else 0 end)), 0) as pts
+      + coalesce(list_sum(list_transform(o.toks, lambda x: case when list_contains(string_split(hd, ' '), x) then 22 else 0 end + case when list_contains(string_split(txt, ' '), x) then 4 else 0 end)), 0)
+      + coalesce(list_sum(list_transform(range(1, len(o.toks)), lambda i: case when contains(hd, o.toks[i] || ' ' || o.toks[i + 1]) then 28 when contains(txt, o.toks[i] || ' ' || o.toks[i + 1]) then 8 else 0 end)), 0) as pts
       from nb b left join outline o on o.document_id = b.doc_id"""),
     "own": (("points",), """select doc_id, block_index, heading, ch, case when heading is not null and max(pts) > 0 then arg_max(id, (pts, -ord, id)) end as own from points group by 1, 2, 3, 4""")}
 
@@ -117,7 +117,7 @@ SEARCH = {"sc": (("chunks", "ldocs"), """select c.id as chunk_id, c.document_id,
     "thits": (("tmatch", "tscore"), "select m.question_id, m.chunk_id, m.document_id, s.score from tmatch m join tscore s on s.question_id = m.question_id and s.chunk_id = m.chunk_id"),
     "ttop": (("thits",), "select * from (select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank_order from thits) where rank_order <= 5"),
     "stop": (("inscope",), """select * from (select question_id, chunk_id, document_id, 0.01::double as score, row_number() over (partition by question_id order by chunk_id) as rank_order
-      from inscope where content ilike '%' || substr(q2, 1, 120) || '%') where rank_order <= 5""")}
+      from inscope where content ilike '%' || q2 || '%') where rank_order <= 5""")}
 
 
 def asked(t):
@@ -184,14 +184,14 @@ def assembled_contexts(t):
     return lists.assemble_context(vector_top(t)).select("question_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("retrieval_answers", oracle("vtop asked", f"""select a.question_id, md5(coalesce({s(lists.ANSWER_HEAD)} || string_agg('• ' || substr(v.content, 1, 700), chr(10) || chr(10) order by rank_order), {s(lists.ANSWER_NONE)})) as digest
-    from asked a left join vtop v on v.question_id = a.question_id and v.rank_order <= 3 group by 1""", SEARCH))
+@query("retrieval_answers", oracle("vtop asked", f"""select a.question_id, md5(coalesce({s(lists.ANSWER_HEAD)} || string_agg('• ' || v.content, chr(10) || chr(10) order by rank_order), {s(lists.ANSWER_NONE)})) as digest
+    from asked a left join vtop v on v.question_id = a.question_id group by 1""", SEARCH))
 def retrieval_answers(t):
     return lists.retrieval_answer(asked(t), vector_top(t)).select("question_id", F.md5(F.col("answer").cast("binary")).alias("digest"))
 
 
-@query("deck_contexts", oracle("chunks", """select document_id as request_id, md5(string_agg('[CHUNK_ID=' || id || ']' || chr(10) || substr(content, 1, 2500), chr(10) || chr(10) order by chunk_index)) as digest
-    from (select *, row_number() over (partition by document_id order by chunk_index) as rn from chunks where is_active) where rn <= 30 group by 1"""))
+@query("deck_contexts", oracle("chunks", """select document_id as request_id, md5(string_agg('[CHUNK_ID=' || id || ']' || chr(10) || content, chr(10) || chr(10) order by chunk_index)) as digest
+    from (select *, row_number() over (partition by document_id order by chunk_index) as rn from chunks where is_active) group by 1"""))
 def deck_contexts(t):
     c = t.chunks.filter("is_active").withColumn("request_id", F.col("document_id"))
     return lists.assemble_deck_context(c).select("request_id", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -200,9 +200,9 @@ def deck_contexts(t):
 # ------------------------------------------------------------------------------------ W7-W12
 SOURCES = {**TEXT, "idx": (("chunks", "ldocs"), """select c.document_id as request_id, c.id, c.section_id, c.content, c.chunk_index, row_number() over (partition by c.document_id order by c.chunk_index) - 1 as idx,
       3 + c.document_id % 7 as q from chunks c join ldocs d on d.id = c.document_id where c.is_active and d.status = 'READY'"""),
-    "tier": (("idx",), f"""select *, case when length({s_strip('content')}) >= 500 then 1 when length({s_strip('content')}) >= 200 then 2 else 3 end as tier from idx where idx < 120"""),
+    "tier": (("idx",), f"""select *, case when length({s_strip('content')}) >= 500 then 1 when length({s_strip('content')}) >= 200 then 2 else 3 end as tier from idx"""),
     "best": (("tier",), "select *, row_number() over (partition by request_id order by idx) - 1 as pos, count(*) over (partition by request_id) as n from (select *, min(tier) over (partition by request_id) as b from tier) where tier <= b"),
-    "pick": (("best",), """select request_id, n, q, least(n, q, 6) as k, cast(unnest(range(least(n, q, 6))) as integer) as pick from (select distinct request_id, n, q from best)"""),
+    "pick": (("best",), """select request_id, n, q, least(n, q) as k, cast(unnest(range(least(n, q))) as integer) as pick from (select distinct request_id, n, q from best)"""),
     "src": (("pick", "best"), """select p.*, b.id, b.section_id, b.content from pick p join best b on b.request_id = p.request_id
       and b.pos = case when p.k <= 1 then 0 else cast(round_even(p.pick * (p.n - 1) / (p.k - 1)::double, 0) as bigint) end"""),
     "slots": (("src",), """select request_id, id as chunk_id, section_id, turn, pick * (q // k) + least(pick, q % k) + turn as slot from (select *, unnest(range(q // k + case when pick < q % k then 1 else 0 end)) as turn from src)""")}
@@ -218,7 +218,7 @@ def request_chunks(t):
 
 
 @query("ranked_sources", oracle("idx", """select request_id, id, row_number() over (partition by request_id order by case section_id when request_id * 2 + 1 then 0 when request_id * 2 then 1 else 999999 end, chunk_index) - 1 as idx
-    from idx where idx < 120""", SOURCES))
+    from idx""", SOURCES))
 def ranked_sources(t):
     ranks = t.documents.selectExpr("id as request_id", "posexplode(array(id * 2 + 1, id * 2)) as (rank, section_id)")
     return planning.order_by_section_rank(request_chunks(t), ranks).select("request_id", "id", "idx")
@@ -229,16 +229,16 @@ def question_slots(t):
     return cloze.question_slots(request_chunks(t), requests(t)).select("request_id", "slot", "chunk_id", "turn")
 
 
-@query("rotated_contexts", oracle("slots lines", """, c as (select doc_id as chunk_id, line_no + 1 as rank, line as text, least(8, count(*) over (partition by doc_id)) as m from lines)
+@query("rotated_contexts", oracle("slots lines", """, c as (select doc_id as chunk_id, line_no + 1 as rank, line as text, count(*) over (partition by doc_id) as m from lines)
     select s.request_id, s.slot, s.chunk_id, c.rank, c.text from slots s join c on c.chunk_id = s.chunk_id and c.rank = s.turn % c.m + 1""", SOURCES))
 def rotated_contexts(t):
     slots = cloze.question_slots(request_chunks(t), requests(t)).select("request_id", "slot", "chunk_id", "turn")
-    c = lines(t).filter("line_no < 8").selectExpr("doc_id as chunk_id", "line_no + 1 as rank", "line as text")
+    c = lines(t).selectExpr("doc_id as chunk_id", "line_no + 1 as rank", "line as text")
     return planning.assign_contexts(slots, c).select("request_id", "slot", "chunk_id", "rank", "text")
 
 
 @query("preselected_answers", oracle("slots lines", """, c as (select doc_id, 'A' || line_no as answer_id, (length(line) % 50)::double as score from lines where line_no % 3 <> 0),
-    r as (select *, row_number() over (partition by doc_id order by score desc, answer_id) as rk, least(3, count(*) over (partition by doc_id)) as m from c),
+    r as (select *, row_number() over (partition by doc_id order by score desc, answer_id) as rk, count(*) over (partition by doc_id) as m from c),
     u as (select *, row_number() over (partition by request_id, chunk_id order by slot) - 1 as u from slots)
     select u.request_id, u.slot, u.chunk_id as source_ref, r.answer_id, r.score from u join r on r.doc_id = u.chunk_id and r.rk = u.u % r.m + 1""", SOURCES))
 def preselected_answers(t):
@@ -255,7 +255,7 @@ def answer_candidates(t):
 
 @query("distractor_pools")
 def distractor_pools(t):
-    return it.distractor_pool(wide_chunks(t).filter("is_active"))
+    return it.distractor_terms(wide_chunks(t).filter("is_active")).select("section_id", "text", "_at.document_id", "_at.chunk_index")
 
 
 @query("picked_distractors")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,22 +72,49 @@ def stream_mastery(answers: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_correct")).alias("wrong_answers"))
 
 
-def merge_into(path: str, keys: list[str], sums: list[str]):
-    """T4 + S6: a ``foreachBatch`` sink that adds each batch of sums to a versioned table.
+def merge_into(path: str, keys: list[str], sums: list[str], count: Callable[[DataFrame], DataFrame] | None = None):
+    """T4 + S6: a ``foreachBatch`` sink that adds what each micro-batch counts to a versioned table.
 
-    Every batch writes a new folder ``path/batch=N`` with the merged state, so a repeated batch overwrites its
-    own folder only and counts once.
+    ``count`` turns the batch's own rows into sums per key (``stream_mastery`` for raw answers); a running aggregate must not be fed
+    here, it would be added again with every batch.  A batch writes the merged state under a name of its own, then a note that
+    names it as version N and the version it builds on.  A repeated batch starts from the version before it, so it counts once; a
+    stream that starts anew with batch 0 goes on after the last version of the stream before (``run`` tells streams apart).
     """
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        delta = batch.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-        if number > 0:
-            delta = merge_aggregate(spark.read.parquet(f"{path}/batch={number - 1}"), delta, keys, sums)
-        delta.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        rows = batch if count is None else count(batch)
+        delta = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+        notes = _notes(spark, path)
+        mine = next((n for n in notes if (n["run"], n["batch"]) == (run, number)), None)
+        base = mine["base"] if mine else max((n["version"] for n in notes), default=-1)
+        if base >= 0:
+            delta = merge_aggregate(spark.read.parquet(f"{path}/version={base}"), delta, keys, sums)
+        version = mine["version"] if mine else base + 1
+        delta.write.mode("overwrite").parquet(f"{path}/version={version}")
+        note = spark.createDataFrame([(run, number, version, base)], NOTE)
+        note.coalesce(1).write.mode("overwrite").parquet(f"{path}/_notes/version={version}")
 
     return sink
 
 
+NOTE = "run string, batch long, number long, base long"
+
+
+def _notes(spark: SparkSession, path: str) -> list[dict]:
+    """One small note per version; a version without a note was never finished and does not count."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_notes")
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        return []
+    return [{"run": r["run"], "batch": r["batch"], "version": r["number"], "base": r["base"]}
+            for r in spark.read.schema(NOTE).parquet(f"{path}/_notes/version=*").collect()]
+
+
+def merged_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version written by ``merge_into``."""
+    return spark.read.parquet(f"{path}/version={max(n['version'] for n in _notes(spark, path))}")
+
+
 def stream_chunks(spark: SparkSession, path: str, sections: DataFrame, out: str, checkpoint: str, **options):
     """T5: chunk newly arrived parquet documents (document_id, content) and append them to ``out``."""
     docs = spark.readStream.schema("document_id long, content string").options(**options).parquet(path)

@@ -243,10 +243,27 @@ def test_mastery_stream_and_merge(spark, tmp_path):
     got = {(r.user_id, r.section_id): tuple(r)[2:] for r in finish(jobs.stream_mastery(as_stream(spark, df, tmp_path, 20, ["n"])), tmp_path)}
     want = {(r.user_id, r.section_id): tuple(r)[2:] for r in jobs.stream_mastery(df).collect()}
     assert got == want
-    sink = jobs.merge_into(str(tmp_path / "state"), ["user_id"], ["attempts"])
-    one = spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "user_id long, attempts long")
+    state, keys, sums = str(tmp_path / "state"), ["user_id", "section_id"], ["attempts", "correct_answers", "wrong_answers"]
+    sink = jobs.merge_into(state, keys, sums, jobs.stream_mastery)
+
+    def stored():
+        return {(r.user_id, r.section_id): (r.attempts, r.correct_answers, r.wrong_answers) for r in jobs.merged_state(spark, state).collect()}
+
+    def ended(checkpoint):
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "answers"))
+        source.writeStream.option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination(300)
+
+    df.repartition(3).write.parquet(str(tmp_path / "answers"))
+    ended("first")
+    assert stored() == want  # three batches of raw answers
+    ended("first")
+    assert stored() == want  # nothing new
+    ended("second")
+    assert stored() == {k: tuple(2 * n for n in v) for k, v in want.items()}  # a new stream adds to what is there
+    one = spark.createDataFrame([(1, 2, True)], "user_id long, section_id long, is_correct boolean")
+    before = stored()
     sink(one, 0), sink(one, 1), sink(one, 1)
-    assert {r.user_id: r.attempts for r in spark.read.parquet(str(tmp_path / "state" / "batch=1")).collect()} == {1: 10, 2: 10}
+    assert stored()[1, 2] == (before[1, 2][0] + 2, before[1, 2][1] + 2, before[1, 2][2])  # the repeated batch counts once
 
 
 def test_chunk_stream(spark, tmp_path):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from studyloom.functions import questions as qn, text as tx
-from studyloom.operators import chunking as ck, contexts as cx, items as it
+from studyloom.operators import chunking as ck, contexts as cx, items as it, retrieval as rt
 
 STORE = "3. Phương tiện cất trữ: Tiền được rút khỏi lưu thông và đi vào cất trữ."
 MONEY = "Tiền tệ là một hàng hóa đặc biệt đóng vai trò vật ngang giá chung."
@@ -37,6 +37,7 @@ def test_evidence_spans(value):
     long = "từ " * 400
     spans = value(cx.evidence_array, long)
     assert all(len(s) <= 500 for s in spans)
+    assert value(cx.evidence_array, "2020 was long ago.  It ended in 10 ") == ["2020 was long ago.", "It ended in 10"]
     assert value(cx.evidence_array, "x" * 1100) == ["x" * 500, "x" * 100]
 
 
@@ -210,25 +211,40 @@ def test_sizing_against_brute_force():
         assert ck.size_chunks(text, size, overlap) == brute_chunks(text, size, overlap), (text, size, overlap)
 
 
-def test_packing():
-    text = "aa\n\nbbb\n \ncccc\n\n" + "d" * 25 + "\n\nee"
-    assert ck.pack(text, 10, 3) == ["aa\n\nbbb", "cccc", "d" * 10, "d" * 10, "d" * 10, "d" * 4, "ee"]
-    assert ck.pack("", 10, 3) == []
-
-
 def test_chunker_in_sql(spark):
     ck.register_chunker(spark)
     out = spark.sql("select * from study_chunks('một hai ba bốn năm sáu bảy', 12, 4)").collect()
     assert [(r.start, r.end, r.content) for r in out] == brute_chunks("một hai ba bốn năm sáu bảy", 12, 4)
 
 
-def test_context_windows():
+def test_context_windows(spark, value):
     text = "3. Phương tiện cất trữ: " + "nội dung rất dài, " * 40 + ". Câu sau. " + "x" * 600
-    units = cx.context_units(text)
+    units = value(cx.context_units, text)
     assert "3." not in units and any(u.startswith("3. Phương tiện cất trữ:") for u in units) and all(len(u) <= 520 for u in units)
-    windows = cx.context_windows("A" * 150 + "\n\n" + "B" * 150 + "\n\n" + "C" * 150 + "\n\n" + "A" * 150)
-    assert [(w["start_unit"], w["end_unit"]) for w in windows] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
-    assert cx.context_windows("") == []
+    df = spark.createDataFrame([(1, "\n\n".join(c * 150 for c in "ABCA")), (2, ""), (3, "ab"), (4, " ".join("y" * 100 for _ in range(9)))], "chunk_id long, text string")
+    rows = cx.micro_contexts(df).collect()
+    assert [(w.start_unit, w.end_unit) for w in rows if w.chunk_id == 1] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
+    assert [w.text for w in rows if w.chunk_id == 3] == ["ab"] and not [w for w in rows if w.chunk_id == 2]
+    assert [len(w.text) for w in rows if w.chunk_id == 4] == [504, 403]
+    assert value(cx.context_units, "One two. " * 100)[0] == " ".join(["One two."] * 57)
+
+
+def test_packed_paragraphs(spark):
+    text = "aa\n\nbb\n \ncc\n\n" + "x" * 25 + "\n\ndd\n\nee"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "  ")], "document_id long, content string")
+    rows = sorted((r.document_id, r.chunk_index, r.content) for r in ck.pack_paragraphs(df, 10, 3).collect())
+    assert rows == [(1, 0, "aa\n\nbb\n\ncc"), (1, 1, "x" * 10), (1, 2, "x" * 10), (1, 3, "x" * 10), (1, 4, "x" * 4), (1, 5, "dd\n\nee")]
+
+
+def test_questions_with_backslashes(spark):
+    docs = spark.createDataFrame([(1, 7, 1, "READY")], "id long, owner_id long, subject_id long, status string")
+    chunks = spark.createDataFrame([(1, 1, True, "say a\\d b now"), (2, 1, True, "say ad b 100% now"), (3, 1, True, "a_d b \\")], "id long, document_id long, is_active boolean, content string")
+    asked = {1: "a\\d b", 2: "harmless", 3: "100\\%", 4: "A\\_d", 5: "a_d", 6: "a\\\\d", 7: "x" * 200 + "q"}
+    q = spark.createDataFrame([(i, 7, t) for i, t in asked.items()], "question_id long, owner_id long, query string")
+    got = {}
+    for r in rt.substring_search(q, chunks, docs).collect():
+        got.setdefault(r.question_id, set()).add(r.chunk_id)
+    assert got == {1: {2}, 3: {2}, 4: {3}, 5: {1, 3}, 6: {1}}
 
 
 def test_crop(spark):
@@ -241,7 +257,7 @@ def test_crop(spark):
 def test_section_pools_do_not_mix(spark):
     df = spark.createDataFrame([(1, 1, 0, "Hàng hóa: vật phẩm. Giá trị: lao động."), (2, 1, 1, "Tư bản: tiền sinh lời."), (None, 1, 2, "Không: có.")],
                                "section_id long, document_id long, chunk_index int, content string")
-    pools = {r.section_id: set(r.pool) for r in it.distractor_pool(df).collect()}
+    pools = {r.section_id: set(r.pool) for r in it.distractor_pool(df, 80).collect()}
     assert set(pools) == {1, 2} and "Hàng hóa" in pools[1] and "Tư bản" in pools[2] and not pools[1] & pools[2]
 
 
