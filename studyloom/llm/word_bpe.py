@@ -2,16 +2,18 @@
 
 A word is a stretch between ASCII white space; the tokenizer's own rules never join two of them, so a text's ids are those of its words
 in order.  Documents are dealt into units of bounded size, whose texts travel once, in compressed blocks.  Each unit posts its distinct
-words with their numbers; the posted words meet by word, where each distinct word is encoded once, and the ids go back to the units and
-positions that posted them.  Nothing is broadcast but the tokenizer file's name, and no word is gathered with all its documents: a word is
-posted once a unit, however often it occurs.  Decoding joins each id with its piece by number.
+words, sorted, in one block for each shard of the word table; a shard meets the blocks of all units, encodes each distinct word once, and
+sends the ids back by position to the units that posted them.  No word is gathered with its documents: a unit posts it once, however often
+it occurs there, and a shard reads one block at a time.  Decoding joins each id with its piece by number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+import json
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import text_bytes
+from studyloom.llm.common import shape, text_bytes
 
 # Bytes of text in a unit, about.
-UNIT_BYTES = 24_000_000
+UNIT_BYTES = 16_000_000
+# Shards of the word table, at most; fewer where there are fewer units.
+SHARDS = 4096
+# Encoded words that a shard remembers; beyond, it forgets them all and meets them anew.
+REMEMBERED = 1_000_000
 # Tokens that are decoded at once.
 SLICE = 1 << 20
 
@@ -42,7 +48,9 @@ def tokenizer(path: str):
 @lru_cache(maxsize=2)
 def pieces(path: str) -> pa.Array:
     """Piece of every id; an id without a piece gives none."""
-    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    vocab = stored["model"]["vocab"] | {t["content"]: t["id"] for t in stored["added_tokens"]}
     table: list[str | None] = [None] * (max(vocab.values()) + 1)
     for piece, i in vocab.items():
         table[i] = piece
@@ -53,75 +61,94 @@ def encode_words(path: str, words: list[bytes]) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
 
-def _blocks():
-    """Rows of a batch as one compressed block for each unit."""
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in batches:
-            unit = b.column("unit").to_numpy()
-            order = np.argsort(unit, kind="stable")
-            names, first = np.unique(unit[order], return_index=True)
-            for name, at in zip(names.tolist(), np.split(order, first[1:])):
-                rows = b.select(["doc_id", "text"]).take(pa.array(at))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                    out.write_batch(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["unit", "block"])
 
-    return run
+def packed_list(values: list[bytes]) -> bytes:
+    return packed(pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"]))
 
 
-def _rows(blocks: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    for block in blocks:
-        yield from pa.ipc.open_stream(block.as_buffer())
+def unpacked(block) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(block.as_buffer())
 
 
-def _distinct(blocks: pa.ChunkedArray) -> list[bytes]:
-    found: set[bytes] = set()
-    for rows in _rows(blocks):
-        for text in text_bytes(rows):
-            found.update((text or b"").split())
-    return sorted(found)
+def unpacked_list(block) -> list[bytes]:
+    return [v for rows in unpacked(block) for v in rows.column("value").to_pylist()]
 
 
-def _post(table: pa.Table) -> pa.Table:
-    words = _distinct(table["block"])
-    return pa.table({"unit": pa.array([table["unit"][0].as_py()] * len(words), pa.int32()), "number": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.binary())})
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch as one compressed block for each unit."""
+    for b in batches:
+        unit = b.column("unit").to_numpy()
+        order = np.argsort(unit, kind="stable")
+        names, first = np.unique(unit[order], return_index=True)
+        for name, at in zip(names.tolist(), np.split(order, first[1:])):
+            block = packed(b.select(["doc_id", "text"]).take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([block], pa.binary())], ["unit", "block"])
+
+
+def _dealt(blocks: pa.ChunkedArray, shards: int) -> list[list[bytes]]:
+    """Distinct words of a unit, sorted, by shard."""
+    found: set[bytes] = set()
+    for block in blocks:
+        for rows in unpacked(block):
+            for text in text_bytes(rows):
+                found.update((text or b"").split())
+    out: list[list[bytes]] = [[] for _ in range(shards)]
+    for word in found:
+        out[zlib.crc32(word) % shards].append(word)
+    for words in out:
+        words.sort()
+    return out
+
+
+def _post(shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        posted = [(shard, packed_list(words)) for shard, words in enumerate(_dealt(table["block"], shards)) if words]
+        unit = table["unit"][0].as_py()
+        return pa.table({"unit": pa.array([unit] * len(posted), pa.int32()), "shard": pa.array([x for x, _ in posted], pa.int32()), "words": pa.array([x for _, x in posted], pa.binary())})
+
+    return run
 
 
 def _encode(path: str):
-    """Ids of posted words that come sorted: a word is encoded when it is first met and kept until the next."""
+    """Ids of posted words, block by block; a task holds whole shards, so a word met before is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            words = b.column("word").to_pylist()
-            fresh = [w for w, before in zip(words, [last, *words]) if w != before]
-            packed = [np.array(x, "<u4").tobytes() for x in encode_words(path, fresh)]
-            out, at = [], -1
-            for w in words:
-                if w != last:
-                    at += 1
-                    last, ids = w, packed[at]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("number"), pa.array(out, pa.binary())], ["unit", "number", "ids"])
+            for unit, shard, block in zip(b.column("unit").to_pylist(), b.column("shard").to_pylist(), b.column("words")):
+                words = unpacked_list(block)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in encode_words(path, fresh))))
+                ids = packed_list([known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.binary())], ["unit", "shard", "ids"])
 
     return run
 
 
-def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    words = _distinct(left["block"])
-    if len(words) != right.num_rows:
-        raise RuntimeError("a unit got other words back than it posted")
-    order = np.argsort(right["number"].to_numpy())
-    ids = right["ids"].combine_chunks().take(pa.array(order)).to_pylist() if len(words) else []
-    get = dict(zip(words, ids)).__getitem__
-    doc_ids, encoded = [], []
-    for rows in _rows(left["block"]):
-        doc_ids.append(rows.column("doc_id"))
-        encoded += [b"".join(map(get, (text or b"").split())) for text in text_bytes(rows)]
-    return pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": pa.array(encoded, pa.large_binary()).cast(pa.binary())})
+def _assemble(shards: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table: dict[bytes, bytes] = {}
+        back = dict(zip(right["shard"].to_pylist(), right["ids"]))
+        for shard, words in enumerate(_dealt(left["block"], shards)):
+            if words:
+                table.update(zip(words, unpacked_list(back[shard]), strict=True))
+        get = table.__getitem__
+        doc_ids, encoded = [], []
+        for block in left["block"]:
+            for rows in unpacked(block):
+                doc_ids.append(rows.column("doc_id"))
+                encoded.append(pa.array([b"".join(map(get, (text or b"").split())) for text in text_bytes(rows)], pa.binary()))
+        return pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": pa.chunked_array(encoded)})
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
@@ -130,18 +157,17 @@ def encode(docs: DataFrame, path: str, unit_bytes: int = UNIT_BYTES) -> DataFram
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-int(size) // unit_bytes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    shards = min(units, SHARDS)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int").alias("unit"), "doc_id", "text")
-    blocks = dealt.mapInArrow(_blocks(), "unit int, block binary").repartition("unit")
-    posted = blocks.groupBy("unit").applyInArrow(_post, "unit int, number int, word binary")
-    known = posted.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "unit int, number int, ids binary")
-    return blocks.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(_assemble, f"doc_id {kind}, ids binary")
+    blocks = dealt.mapInArrow(_blocks, "unit int, block binary").repartition("unit")
+    posted = blocks.groupBy("unit").applyInArrow(_post(shards), "unit int, shard int, words binary")
+    known = posted.repartition("shard").mapInArrow(_encode(path), "unit int, shard int, ids binary")
+    return blocks.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(_assemble(shards), shape(docs, ids="binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) of rows (doc_id, ids): the pieces of the ids with a blank between them, as a tokenizer without decoder puts it;
     null or empty ids give an empty text, numbers without a piece are left out."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
@@ -162,4 +188,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(ids[a:z], pa.binary()), text], ["doc_id", "ids", "text"])
                 a = z
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, shape(encoded, ids="binary", text="string"))
