@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -115,8 +116,12 @@ def attempt_sheet(attempts: DataFrame, questions: DataFrame, options: DataFrame)
     return attempts.select(F.col("id").alias("attempt_id"), "quiz_id").join(q, "quiz_id")
 
 
-def publishable(quizzes: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
-    """May each quiz be published; reason, question count, and the kept first publish time."""
+def publishable(quizzes: DataFrame, questions: DataFrame, options: DataFrame, at: Column | None = None) -> DataFrame:
+    """May each quiz be published; reason, question count, and the publish time: the first one where the quiz has
+    been published before, ``at`` where it now may be, null where it may not.
+    """
+    at = F.current_timestamp() if at is None else at
+    before = quizzes["published_at"] if "published_at" in quizzes.columns else F.lit(None).cast("timestamp")
     per_question = (options.groupBy("question_id")
                     .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("c")))
     per_quiz = (questions.select(F.col("id").alias("question_id"), "quiz_id").join(per_question, "question_id", "left")
@@ -128,8 +133,9 @@ def publishable(quizzes: DataFrame, questions: DataFrame, options: DataFrame) ->
     return (quizzes.join(per_quiz, quizzes["id"] == per_quiz["quiz_id"], "left")
             .select(quizzes["id"].alias("quiz_id"), count.alias("question_count"), bad.alias("invalid_questions"),
                     F.when(count == 0, F.lit("quiz has no questions"))
-                    .when(bad > 0, F.lit("question(s) without exactly 4 options and 1 correct answer")).alias("reason"))
-            .withColumn("publishable", F.col("reason").isNull()))
+                    .when(bad > 0, F.lit("question(s) without exactly 4 options and 1 correct answer")).alias("reason"), before.alias("published_at"))
+            .withColumn("publishable", F.col("reason").isNull())
+            .withColumn("published_at", F.coalesce("published_at", F.when(F.col("publishable"), at))))
 
 
 def structural_issues(questions: DataFrame, options: DataFrame) -> DataFrame:
@@ -190,6 +196,39 @@ def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_
             .join(parent.select(F.col(parent_key).alias(column)), column, "left_anti"))
 
 
+# Unique keys, and references (child, column, parent), of the learning tables.
+UNIQUE_KEYS: dict[str, list[list[str]]] = {
+    "chunks": [["document_id", "chunk_set_id", "chunk_index"]], "vectors": [["chunk_id", "embedding_model"]],
+    "questions": [["quiz_id", "question_order"]], "options": [["question_id", "option_key"], ["question_id", "position"]],
+    "answers": [["attempt_id", "question_id"]], "cards": [["deck_id", "card_order"]], "members": [["subject_id", "user_id"]],
+    "messages": [["conversation_id", "turn"]],
+}
+REFERENCES: list[tuple[str, str, str]] = [
+    ("documents", "subject_id", "subjects"), ("chunks", "document_id", "documents"), ("chunks", "section_id", "sections"),
+    ("sections", "document_id", "documents"), ("vectors", "chunk_id", "chunks"), ("quizzes", "subject_id", "subjects"),
+    ("questions", "quiz_id", "quizzes"), ("questions", "source_chunk_id", "chunks"), ("options", "question_id", "questions"),
+    ("attempts", "quiz_id", "quizzes"), ("answers", "attempt_id", "attempts"), ("answers", "question_id", "questions"),
+    ("answers", "selected_option_id", "options"), ("cards", "deck_id", "decks"), ("cards", "source_chunk_id", "chunks"),
+    ("reviews", "flashcard_id", "cards"), ("posts", "quiz_id", "quizzes"), ("posts", "flashcard_deck_id", "decks"),
+    ("members", "subject_id", "subjects"),
+]
+
+
+def key_violations(tables: Mapping[str, DataFrame], rules: Mapping[str, list[list[str]]] = UNIQUE_KEYS) -> DataFrame:
+    """D4 for every table given: (table_name, rule, row_key, copies) of key values that occur more than once."""
+    return _union([duplicate_keys(tables[name], keys).select(
+        F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("rule"), F.concat_ws(":", *keys).alias("row_key"), "copies")
+        for name, many in rules.items() if name in tables for keys in many])
+
+
+def reference_violations(tables: Mapping[str, DataFrame], rules: list[tuple[str, str, str]] = REFERENCES) -> DataFrame:
+    """D4 for every table given: (table_name, rule, reference, rows) of references without a parent, with the rows that hold them."""
+    return _union([missing_references(tables[child], column, tables[parent].select("id").distinct())
+                      .groupBy(F.col(column).cast("string").alias("reference")).agg(F.count(F.lit(1)).alias("rows"))
+                      .select(F.lit(child).alias("table_name"), F.lit(column).alias("rule"), "reference", "rows")
+                      for child, column, parent in rules if child in tables and parent in tables])
+
+
 def chunk_set_issues(chunks: DataFrame, embeddings: DataFrame | None, heading_pattern: str) -> DataFrame:
     """Chunk sets that may not be switched on.
 

@@ -337,38 +337,46 @@ def public_resources(posts, users, likes, saves) -> DataFrame:
                     "like_count", "save_count"))
 
 
+def _copied(df: DataFrame, own: Sequence[str]) -> list[str]:
+    """Columns a fork takes over as they are: all but the keys and those it sets itself."""
+    return [c for c in df.columns if c not in own]
+
+
 def fork_quizzes(forks, posts, quizzes, questions, options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """U-5 for quizzes: ``forks`` (post_id, user_id) of published posts -> new quizzes, questions, options.
 
-    A fork is a private draft without subject; its questions lose their source chunk.  New keys are
-    made of the post, the user and the copied row's id, so no global numbering is needed.
+    A fork is a private draft without subject; its questions lose their source chunk.  Every other column of the quiz,
+    its questions and options is copied: description, difficulty, duration, mode, explanations and whatever else the
+    tables hold.  New keys are made of the post, the user and the copied row's id, so no global numbering is needed.
     """
     p = posts.filter("status = 'PUBLISHED' and quiz_id is not null").select(F.col("id").alias("post_id"), "quiz_id")
     key = F.concat_ws(":", "post_id", "user_id")
-    asked = forks.select("post_id", "user_id").distinct().join(p, "post_id").withColumn("fork_key", key)
-    src = quizzes.select(F.col("id").alias("quiz_id"), "title")
+    asked = forks.select("post_id", "user_id").distinct().join(p, "post_id").withColumn("fork_key", key).drop("post_id")
+    rest = _copied(quizzes, ("id", "owner_id", "source_quiz_id", "subject_id", "title", "status", "visibility", "created_at", "published_at"))
+    src = quizzes.select(F.col("id").alias("quiz_id"), "title", *rest)
     new_quizzes = asked.join(src, "quiz_id").select(
         "fork_key", F.col("user_id").alias("owner_id"), F.col("quiz_id").alias("source_quiz_id"),
         F.lit(None).cast("long").alias("subject_id"), F.concat("title", F.lit(" (fork)")).alias("title"),
-        F.lit("DRAFT").alias("status"), F.lit("PRIVATE").alias("visibility"))
+        F.lit("DRAFT").alias("status"), F.lit("PRIVATE").alias("visibility"), *rest)
+    rest = _copied(questions, ("id", "quiz_id", "source_chunk_id"))
     q = asked.select("fork_key", "quiz_id").join(questions, "quiz_id")
     new_questions = q.select("fork_key", F.concat_ws(":", "fork_key", "id").alias("question_key"),
-                             F.lit(None).cast("long").alias("source_chunk_id"), "question_order", "question_text",
-                             "explanation", "difficulty", "points")
+                             F.lit(None).cast("long").alias("source_chunk_id"), *rest)
     new_options = q.select(F.concat_ws(":", "fork_key", "id").alias("question_key"), F.col("id").alias("question_id")).join(
-        options, "question_id").select("question_key", "option_key", "option_text", "is_correct", "position")
+        options, "question_id").select("question_key", *_copied(options, ("id", "question_id")))
     return new_quizzes, new_questions, new_options
 
 
 def fork_decks(forks, posts, decks, cards) -> tuple[DataFrame, DataFrame]:
-    """U-5 for decks."""
+    """U-5 for decks: private draft copies with all other columns of the deck and its cards (description, mode, hints)."""
     p = posts.filter("status = 'PUBLISHED' and quiz_id is null").select(
         F.col("id").alias("post_id"), F.col("flashcard_deck_id").alias("deck_id"))
     asked = (forks.select("post_id", "user_id").distinct().join(p, "post_id")
-             .withColumn("fork_key", F.concat_ws(":", "post_id", "user_id")))
-    new_decks = asked.join(decks.select(F.col("id").alias("deck_id"), "title"), "deck_id").select(
+             .withColumn("fork_key", F.concat_ws(":", "post_id", "user_id")).drop("post_id"))
+    rest = _copied(decks, ("id", "owner_id", "source_deck_id", "subject_id", "title", "status", "visibility", "created_at"))
+    new_decks = asked.join(decks.select(F.col("id").alias("deck_id"), "title", *rest), "deck_id").select(
         "fork_key", F.col("user_id").alias("owner_id"), F.col("deck_id").alias("source_deck_id"),
-        F.concat("title", F.lit(" (fork)")).alias("title"), F.lit("PRIVATE").alias("visibility"))
+        F.concat("title", F.lit(" (fork)")).alias("title"), F.lit("DRAFT").alias("status"), F.lit("PRIVATE").alias("visibility"), *rest)
     new_cards = asked.select("fork_key", "deck_id").join(cards, "deck_id").select(
-        "fork_key", "card_order", "front_text", "back_text", F.lit(None).cast("long").alias("source_chunk_id"))
+        "fork_key", F.lit(None).cast("long").alias("source_chunk_id"), *_copied(cards, ("id", "deck_id", "source_chunk_id")))
     return new_decks, new_cards

@@ -119,9 +119,11 @@ def attempt_sheet(t):
     z as (select quiz_id, count(*) as question_count, count(*) filter (where n <> 4 or c <> 1) as invalid from pq group by 1)
     select k.id as quiz_id, coalesce(z.question_count, 0) as question_count, coalesce(z.invalid, 0) as invalid_questions,
       case when z.question_count is null then 'quiz has no questions' when z.invalid > 0 then 'question(s) without exactly 4 options and 1 correct answer' end as reason,
-      coalesce(z.invalid, 1) = 0 as publishable from quizzes k left join z on z.quiz_id = k.id"""))
+      coalesce(z.invalid, 1) = 0 as publishable, case when k.status = 'PUBLISHED' then k.created_at when coalesce(z.invalid, 1) = 0 then timestamp '2024-05-01 08:00:00' end as published_at
+    from quizzes k left join z on z.quiz_id = k.id"""))
 def publishable_quizzes(t):
-    return access.publishable(t.quizzes, t.questions, t.options)
+    known = t.quizzes.withColumn("published_at", F.when(F.col("status") == "PUBLISHED", F.col("created_at")))
+    return access.publishable(known, t.questions, t.options, F.lit("2024-05-01 08:00:00").cast(known.schema["published_at"].dataType))
 
 
 @query("structural_issues", oracle("questions options", """, o as (select question_id, count(*) as n, count(*) filter (where is_correct) as c,
@@ -156,6 +158,35 @@ def missing_references(t):
     return access.missing_references(t.posts, "quiz_id", t.quizzes.filter("status <> 'ARCHIVED'")).select("id", "quiz_id")
 
 
+@query("key_violations", oracle("chunks vectors questions options cards messages", """select 'questions' as table_name, 'quiz_id,question_order' as rule, quiz_id || ':' || question_order as row_key, count(*) as copies
+    from questions group by quiz_id, question_order having count(*) > 1 union all
+    select 'cards', 'deck_id,card_order', deck_id || ':' || card_order, count(*) from cards group by deck_id, card_order having count(*) > 1 union all
+    select 'options', 'question_id,option_key', question_id || ':' || option_key, count(*) from options group by question_id, option_key having count(*) > 1 union all
+    select 'options', 'question_id,position', question_id || ':' || position, count(*) from options group by question_id, position having count(*) > 1 union all
+    select 'chunks', 'document_id,chunk_set_id,chunk_index', document_id || ':' || chunk_set_id || ':' || chunk_index, count(*) from chunks group by document_id, chunk_set_id, chunk_index having count(*) > 1 union all
+    select 'vectors', 'chunk_id', cast(chunk_id as varchar), count(*) from vectors group by chunk_id having count(*) > 1 union all
+    select 'messages', 'role', role, count(*) from messages group by role having count(*) > 1"""))
+def key_violations(t):
+    """The unique keys of the mapped tables; the role of a message stands for a key that is broken."""
+    rules = {k: access.UNIQUE_KEYS[k] for k in ("questions", "cards", "options", "chunks")} | {"vectors": [["chunk_id"]], "messages": [["role"]]}
+    return access.key_violations({k: getattr(t, k) for k in rules}, rules)
+
+
+@query("reference_violations", oracle("posts quizzes questions cards chunks reviews answers attempts", """select 'posts' as table_name, 'quiz_id' as rule, cast(quiz_id as varchar) as reference, count(*) as rows from posts where quiz_id is not null
+      and quiz_id not in (select id from quizzes) group by quiz_id union all
+    select 'questions', 'quiz_id', cast(quiz_id as varchar), count(*) from questions where quiz_id not in (select id from quizzes) group by quiz_id union all
+    select 'questions', 'source_chunk_id', cast(source_chunk_id as varchar), count(*) from questions where source_chunk_id is not null and source_chunk_id not in (select id from chunks) group by source_chunk_id union all
+    select 'cards', 'source_chunk_id', cast(source_chunk_id as varchar), count(*) from cards where source_chunk_id not in (select id from chunks) group by source_chunk_id union all
+    select 'reviews', 'flashcard_id', cast(flashcard_id as varchar), count(*) from reviews where flashcard_id not in (select id from cards) group by flashcard_id union all
+    select 'attempts', 'quiz_id', cast(quiz_id as varchar), count(*) from attempts where quiz_id not in (select id from quizzes) group by quiz_id union all
+    select 'answers', 'question_id', cast(question_id as varchar), count(*) from answers where question_id not in (select id from questions) group by question_id"""))
+def reference_violations(t):
+    """The references between the mapped tables."""
+    held = ("posts", "quizzes", "questions", "cards", "chunks", "reviews", "answers", "attempts")
+    kept = {("posts", "quiz_id"), ("questions", "quiz_id"), ("questions", "source_chunk_id"), ("cards", "source_chunk_id"), ("reviews", "flashcard_id"), ("attempts", "quiz_id"), ("answers", "question_id")}
+    return access.reference_violations({k: getattr(t, k) for k in held}, [r for r in access.REFERENCES if r[:2] in kept])
+
+
 @query("chunk_set_issues", oracle("chunks vectors", """select document_id, chunk_set_id, id as chunk_id, 'missing embedding' as issue from chunks
     where id not in (select chunk_id from vectors) union all
     select document_id, s, null, 'active rows differ from set size' from (select document_id, 'all' as s, count(*) as n, count(*) filter (where is_active) as a from chunks group by 1)
@@ -169,14 +200,16 @@ def chunk_set_issues(t):
 # ------------------------------------------------------------------------------------ S2, S4, S5, S7, S8
 @query("upload_register", """select 'doc' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.txt' when 2 then '.md' when 3 then '.docx' else '.exe' end as original_name,
     ['pdf', 'txt', 'md', 'docx', 'exe'][1 + doc_id % 5] as file_extension, cast(octet_length(encode(text)) as bigint) as file_size_bytes,
-    sha256(text) as checksum_sha256, case when doc_id % 5 = 4 then 'unsupported file type: exe' when octet_length(encode(text)) > 31457280 then 'file exceeds 30 MB' end as reason
+    case when doc_id % 5 <> 4 then sha256(text) end as checksum_sha256, case when doc_id % 5 = 4 then 'unsupported file type: exe' when octet_length(encode(text)) > 31457280 then 'file exceeds 30 MB' end as reason,
+    case when doc_id % 5 <> 4 then substr(sha256('/up/doc' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.txt' when 2 then '.md' else '.docx' end || ':' || sha256(text)), 1, 32)
+      || '_doc' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.txt' when 2 then '.md' else '.docx' end end as stored_name
     from documents""")
 def upload_register(t):
     """Documents as uploaded files."""
     up = t.raw("documents").select(
         F.concat(F.lit("/up/doc"), "doc_id", F.expr("case doc_id % 5 when 0 then '.PDF' when 1 then '.txt' when 2 then '.md' when 3 then '.docx' else '.exe' end")).alias("path"),
         F.col("text").cast("binary").alias("content")).withColumn("length", F.length("content").cast("long"))
-    return files.register_files(up).select("original_name", "file_extension", "file_size_bytes", "checksum_sha256", "reason")
+    return files.register_files(up).select("original_name", "file_extension", "file_size_bytes", "checksum_sha256", "stored_name", "reason")
 
 
 @query("embedding_load", """select vec_id as chunk_id, cast(len(embedding) as integer) as embedding_dimension,

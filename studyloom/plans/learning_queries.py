@@ -424,17 +424,24 @@ def fork_requests(t):
 
 
 @query("forked_quizzes", oracle("forks quizzes", """select f.fork_key, f.user_id as owner_id, f.quiz_id as source_quiz_id,
-    z.title || ' (fork)' as title, 'DRAFT' as status, 'PRIVATE' as visibility from forks f join quizzes z on z.id = f.quiz_id""", FORKS))
+    z.title || ' (fork)' as title, 'DRAFT' as status, 'PRIVATE' as visibility, cast(null as bigint) as subject_id, 'About ' || z.id as description,
+    case z.id % 2 when 0 then 'EXAM' else 'PRACTICE' end as mode from forks f join quizzes z on z.id = f.quiz_id""", FORKS))
 def forked_quizzes(t):
-    return learning.fork_quizzes(fork_requests(t), t.posts, t.quizzes, t.questions, t.options)[0].drop("subject_id")
+    return learning.fork_quizzes(fork_requests(t), t.posts, described(t.quizzes), t.questions, t.options)[0]
+
+
+def described(df):
+    """Columns that a fork copies, filled from the id."""
+    return df.withColumn("description", F.concat(F.lit("About "), "id")).withColumn("mode", F.expr("case id % 2 when 0 then 'EXAM' else 'PRACTICE' end"))
 
 
 @query("forked_questions", oracle("forks questions", """select f.fork_key, f.fork_key || ':' || q.id as question_key, q.question_order,
-    q.question_text, cast(q.points as double) as points, cast(null as bigint) as source_chunk_id
+    q.question_text, q.explanation, q.difficulty, cast(q.points as double) as points, cast(null as bigint) as source_chunk_id
     from forks f join questions q on q.quiz_id = f.quiz_id""", FORKS))
 def forked_questions(t):
     q = learning.fork_quizzes(fork_requests(t), t.posts, t.quizzes, t.questions, t.options)[1]
-    return double(q, "points").select("fork_key", "question_key", "question_order", "question_text", "points", "source_chunk_id")
+    return double(q, "points").select("fork_key", "question_key", "question_order", "question_text", "explanation", "difficulty", "points",
+                                      "source_chunk_id")
 
 
 @query("forked_options", oracle("forks questions options", """select f.fork_key || ':' || q.id as question_key, o.option_key, o.option_text, o.is_correct,
@@ -443,10 +450,17 @@ def forked_options(t):
     return learning.fork_quizzes(fork_requests(t), t.posts, t.quizzes, t.questions, t.options)[2]
 
 
-@query("forked_cards", oracle("forks cards", """select f.fork_key, c.card_order, c.front_text, c.back_text from forks f
+@query("forked_decks", oracle("forks", """select f.fork_key, f.user_id as owner_id, f.flashcard_deck_id as source_deck_id, d.title || ' (fork)' as title,
+    'DRAFT' as status, 'PRIVATE' as visibility, 'About ' || d.id as description, case d.id % 2 when 0 then 'EXAM' else 'PRACTICE' end as mode
+    from forks f join (select p_partkey // 10 as id, min(p_name) as title from part group by 1) d on d.id = f.flashcard_deck_id where f.quiz_id is null""", FORKS))
+def forked_decks(t):
+    return learning.fork_decks(fork_requests(t), t.posts, described(t.decks), t.cards)[0]
+
+
+@query("forked_cards", oracle("forks cards", """select f.fork_key, c.card_order, c.front_text, c.back_text, cast(null as bigint) as source_chunk_id from forks f
     join cards c on c.deck_id = f.flashcard_deck_id where f.quiz_id is null""", FORKS))
 def forked_cards(t):
-    return learning.fork_decks(fork_requests(t), t.posts, t.decks, t.cards)[1].drop("source_chunk_id")
+    return learning.fork_decks(fork_requests(t), t.posts, t.decks, t.cards)[1]
 
 
 # ------------------------------------------------------------------------------------ J7, J13, J14, W13, S7

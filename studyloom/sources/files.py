@@ -14,25 +14,32 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole .txt and .md files as (path, content); bytes that are no UTF-8 are dropped."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,TXT,MD}")
            .option("recursiveFileLookup", "true").load(path))
-    return raw.select("path", decode_lossy("content").alias("content"))
+    text = F.col("content").cast("string")
+    broken = F.when(~F.is_valid_utf8(text), F.col("content"))  # only such files go to Python
+    return raw.select("path", F.coalesce(decode_lossy(broken), text).alias("content"))
 
 
 @F.pandas_udf(T.StringType())
 def decode_lossy(content: pd.Series) -> pd.Series:
     """UTF-8 without the bytes that do not decode; JVM decoding would put a replacement character instead."""
-    return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"))
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
 
 def register_files(files: DataFrame) -> DataFrame:
-    """(path, content, length) to the upload register; ``reason`` says why a file is refused."""
+    """(path, content, length) to the upload register; ``reason`` says why a file is refused.
+
+    Only accepted files are read and hashed.  The stored name is made of the upload's path and its checksum, so two
+    uploads of the same bytes and name are stored apart.
+    """
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    sha = F.sha2("content", 256)
     stem = F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
     reason = (F.when(~ext.isin(*EXTENSIONS), F.concat(F.lit("unsupported file type: "), ext))
               .when(F.col("length") > MAX_BYTES, "file exceeds 30 MB"))
+    sha = F.when(reason.isNull(), F.sha2("content", 256))
+    place = F.substring(F.sha2(F.concat("path", F.lit(":"), sha).cast("binary"), 256), 1, 32)
     return files.select("path", name.alias("original_name"), ext.alias("file_extension"), F.col("length").alias("file_size_bytes"),
-                        sha.alias("checksum_sha256"), F.concat(F.substring(sha, 1, 32), F.lit("_"), stem).alias("stored_name"),
+                        sha.alias("checksum_sha256"), F.concat(place, F.lit("_"), stem).alias("stored_name"),
                         reason.alias("reason"), F.when(reason.isNull(), "UPLOADED").alias("status"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def publish_chunk_set(staged: DataFrame, current: DataFrame, at: Column) -> DataFrame:
+def publish_chunk_set(staged: DataFrame, current: DataFrame, at: Column, issues: DataFrame | None = None) -> DataFrame:
     """Rows after the switch: the staged set of a document active, its older rows superseded at ``at``.
 
-    Documents without a staged set keep their state.
+    Documents without a staged set keep their state, and so do those with a row in ``issues`` (``chunk_set_issues`` of the
+    staged rows): a set that fails its checks never goes live.
     """
+    if issues is not None:
+        staged = staged.join(issues.select("document_id").distinct(), "document_id", "left_anti").select(staged.columns)
     switched = staged.select("document_id").distinct().withColumn("_new", F.lit(True))
     old = current.join(switched, "document_id", "left")
     replaced = F.coalesce("_new", F.lit(False)) & F.col("is_active")
@@ -21,18 +25,21 @@ def publish_chunk_set(staged: DataFrame, current: DataFrame, at: Column) -> Data
 
 
 def write_chunk_version(rows: DataFrame, root: str, version: int) -> None:
-    """S5 on storage: write a complete new version, then switch by appending its number to the pointer table.
+    """S5 on storage: write a complete new version into a folder of this attempt, then switch by appending number and
+    folder to the pointer table.
 
-    A reader sees the old version until the one-row pointer file is committed; a failed write leaves no trace.
+    A reader sees the old version until the one-row pointer file is committed.  A failed write leaves a folder that
+    nothing points to, and the same number may be written again.
     """
-    rows.write.mode("errorifexists").partitionBy("is_active").parquet(f"{root}/version={version}")
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").partitionBy("is_active").parquet(f"{root}/{folder}")
     spark = rows.sparkSession
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/_pointer")
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{root}/_pointer")
 
 
 def read_chunk_version(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version int").parquet(f"{root}/_pointer").agg(F.max("version")).first()[0]
-    rows = spark.read.parquet(f"{root}/version={version}")
+    last = spark.read.schema("version int, folder string").parquet(f"{root}/_pointer").agg(F.max(F.struct("version", "folder")).alias("p")).first()["p"]
+    rows = spark.read.parquet(f"{root}/{last['folder']}")
     return rows.withColumn("is_active", F.col("is_active").cast("boolean"))  # a folder name gives its value as text
 
 
