@@ -75,7 +75,18 @@ def book_chunks(t):
     return chunking.chunk_documents(books(t), outline(t))
 
 
-@query("packed_paragraphs")
+PACKED = f"""with recursive line as (select doc_id, i, {s_strip('l')} as p from (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as l from (select doc_id, string_split(text, chr(10)) as l from documents))),
+  piece as (select doc_id, i, 0 as k, p, false as alone from line where p <> '' and length(p) <= {chunking.SIZE} union all
+    select doc_id, i, k, {s_strip(f'substr(p, cast(k as bigint) + 1, {chunking.SIZE})')}, true from line, lateral (select unnest(range(0, length(p), {chunking.SIZE - chunking.OVERLAP})) as k) where length(p) > {chunking.SIZE}),
+  numbered as materialized (select *, row_number() over (partition by doc_id order by i, k) as n from piece where p <> ''),
+  packed as (select doc_id, n, 0 as c, length(p) as size, alone from numbered where n = 1 union all
+    select x.doc_id, x.n, y.c + case when y.alone or x.alone or y.size + 2 + length(x.p) > {chunking.SIZE} then 1 else 0 end,
+      case when y.alone or x.alone or y.size + 2 + length(x.p) > {chunking.SIZE} then length(x.p) else y.size + 2 + length(x.p) end, x.alone
+    from packed y join numbered x on x.doc_id = y.doc_id and x.n = y.n + 1)
+select doc_id as document_id, c as chunk_index, string_agg(p, chr(10) || chr(10) order by n) as content from packed join numbered using (doc_id, n) group by 1, 2"""
+
+
+@query("packed_paragraphs", PACKED)
 def packed_paragraphs(t):
     return chunking.pack_paragraphs(texts(t).select(F.col("doc_id").alias("document_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content")))
 
@@ -156,16 +167,37 @@ def text_search(t):
 
 @query("substring_search", oracle("stop", "select question_id, chunk_id, document_id, score, rank_order from stop", SEARCH))
 def substring_search(t):
-    q = asked(t).withColumn("query", F.col("q2"))
+    """A third of the questions start with a backslash, which makes the letter after it stand for itself."""
+    q = asked(t).withColumn("query", F.when(F.col("question_id") % 3 == 1, F.concat(F.lit("\\"), "q2")).otherwise(F.col("q2")))
     return rt.substring_search(q, wide_chunks(t), t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
 
 
+WHOLE = {**SEARCH, "asked": ((), """select item_id as question_id, item_id % 7 as owner_id, cast(null as bigint) as subject_id, cast([] as bigint[]) as document_ids,
+      text as q3, text as q2 from benchmark""")}
+
+
+def asked_whole(t):
+    """Whole benchmark texts as questions."""
+    return t.raw("benchmark").selectExpr("item_id as question_id", "item_id % 7 as owner_id", "text as query")
+
+
+@query("text_search_whole", oracle("ttop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from ttop", WHOLE))
+def text_search_whole(t):
+    out = rt.text_search(asked_whole(t), wide_chunks(t), t.documents)
+    return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
+
+
+@query("substring_search_whole", oracle("stop", "select question_id, chunk_id, document_id, score, rank_order from stop", WHOLE))
+def substring_search_whole(t):
+    return rt.substring_search(asked_whole(t), wide_chunks(t), t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
+
+
 @query("retrieval", oracle("vtop ttop stop asked", """, v as (select question_id, chunk_id, document_id, score, rank_order from vtop where question_id % 2 = 0),
     x as (select question_id, chunk_id, document_id, score, rank_order from ttop where question_id not in (select question_id from v)),
     y as (select question_id, chunk_id, document_id, score, rank_order from stop3 where question_id not in (select question_id from v union select question_id from x))
     select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from (select * from v where score >= 0.05 union all select * from x union all select * from y)""", {
     **SEARCH, "stop": (("inscope",), "select 1 as one")}).replace(", v as (select question_id", """, stop3 as (select * from (select question_id, chunk_id, document_id, 0.01::double as score,
-      row_number() over (partition by question_id order by chunk_id) as rank_order from inscope where content ilike '%' || substr(q3, 1, 120) || '%') where rank_order <= 5), v as (select question_id""", 1))
+      row_number() over (partition by question_id order by chunk_id) as rank_order from inscope where content ilike '%' || q3 || '%') where rank_order <= 5), v as (select question_id""", 1))
 def retrieval(t):
     """Even questions have a vector; the others start at text search."""
     q = with_vectors(t, "left").withColumn("vector", F.when(F.col("question_id") % 2 == 0, F.col("vector")))
