@@ -28,9 +28,9 @@ UNIT_BYTES = 16_000_000
 # Shards of the word table, at most; fewer where there are fewer units.
 SHARDS = 4096
 # Encoded words that a shard remembers; beyond, it forgets them all and meets them anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # Tokens that are decoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -116,15 +116,17 @@ def _post(shards: int):
 
 
 def _encode(path: str):
-    """Ids of posted words, block by block; a task holds whole shards, so a word met before is known."""
+    """Ids of posted words, block by block; the blocks of a shard come one after the other, so a word met before is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
+        last = None
         for b in batches:
             for unit, shard, block in zip(b.column("unit").to_pylist(), b.column("shard").to_pylist(), b.column("words")):
                 words = unpacked_list(block)
-                if len(known) > REMEMBERED:
+                if shard != last or len(known) > REMEMBERED:
                     known.clear()
+                last = shard
                 fresh = [w for w in words if w not in known]
                 known.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in encode_words(path, fresh))))
                 ids = packed_list([known[w] for w in words])
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, path: str, unit_bytes: int = UNIT_BYTES) -> DataFram
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int").alias("unit"), "doc_id", "text")
     blocks = dealt.mapInArrow(_blocks, "unit int, block binary").repartition("unit")
     posted = blocks.groupBy("unit").applyInArrow(_post(shards), "unit int, shard int, words binary")
-    known = posted.repartition("shard").mapInArrow(_encode(path), "unit int, shard int, ids binary")
+    known = posted.repartition("shard").sortWithinPartitions("shard").mapInArrow(_encode(path), "unit int, shard int, ids binary")
     return blocks.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(_assemble(shards), shape(docs, ids="binary"))
 
 
@@ -172,12 +174,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
         for b in batches:
-            ids = [x or b"" for x in b.column("ids").to_pylist()]
-            ends = np.cumsum([len(x) // 4 for x in ids])
+            sizes = pc.fill_null(pc.binary_length(b.column("ids")), 0).to_numpy(zero_copy_only=False) // 4
+            ends = np.cumsum(sizes)
             a = 0
-            while a < len(ids):
+            while a < len(b):
                 z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
-                numbers = np.frombuffer(b"".join(ids[a:z]), "<u4")
+                ids = pc.fill_null(b.column("ids").slice(a, z - a), b"")
+                numbers = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
                 met = table.take(pa.array(numbers, mask=numbers >= len(table)))
                 bounds = pa.array(np.concatenate([[0], ends[a:z] - (ends[a - 1] if a else 0)]), pa.int32())
                 if met.null_count:
@@ -185,7 +188,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     bounds = pa.array(np.concatenate([[0], np.cumsum(there)])[bounds.to_numpy()], pa.int32())
                     met = met.drop_null()
                 text = pc.binary_join(pa.ListArray.from_arrays(bounds, met), " ")
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(ids[a:z], pa.binary()), text], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), ids, text], ["doc_id", "ids", "text"])
                 a = z
 
     return encoded.select("doc_id", "ids").mapInArrow(run, shape(encoded, ids="binary", text="string"))
