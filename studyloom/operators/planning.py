@@ -180,11 +180,18 @@ def order_by_section_rank(chunks: DataFrame, ranks: DataFrame | None = None, chu
     return numbered(head, ["request_id"], bucket, order, "idx").withColumn("idx", F.col("idx") - 1).drop("_rank")
 
 
+def source_tier(content: Column) -> Column:
+    """W9 for one text: 1 for a long chunk that is no table of contents, 2 for one of 200 characters, else 3."""
+    size = F.length(strip(F.coalesce(content, F.lit(""))))
+    return F.when((size >= LONG_CHUNK) & ~is_toc(content), 1).when(size >= SHORT_CHUNK, 2).otherwise(3)
+
+
 def candidate_chunks(chunks: DataFrame) -> DataFrame:
-    """Long chunks that are no table of contents; if a request has none, chunks of 200; else all."""
-    size = F.length(strip(F.coalesce("content", F.lit(""))))
-    tier = F.when((size >= LONG_CHUNK) & ~is_toc(F.col("content")), 1).when(size >= SHORT_CHUNK, 2).otherwise(3)
-    marked = chunks.withColumn("_tier", tier)
+    """The chunks of a request's best tier that has any, and better ones.
+
+    Chunks come with their text, or with ``_tier`` in its place where only ranks are wanted.
+    """
+    marked = chunks if "_tier" in chunks.columns else chunks.withColumn("_tier", source_tier(F.col("content")))
     best = marked.groupBy("request_id").agg(F.min("_tier").alias("_best"))
     return marked.join(best, "request_id").filter(F.col("_tier") <= F.col("_best")).drop("_tier", "_best")
 

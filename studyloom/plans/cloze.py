@@ -11,7 +11,7 @@ from studyloom.operators.contexts import crop_boundary, evidence_spans, micro_co
 from studyloom.operators.items import answer_catalogue, distractor_pool
 from studyloom.operators.numbering import unfold
 from studyloom.operators.planning import (allocate, assign_contexts, candidate_chunks, dedupe_questions,
-                                          order_by_section_rank, preselect_answers, spread_sample)
+                                          order_by_section_rank, preselect_answers, source_tier, spread_sample)
 from studyloom.session import cut
 
 
@@ -20,10 +20,15 @@ POOL_TERMS = 80
 
 
 def question_slots(chunks: DataFrame, requests: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
-    """W10 -> W9 -> W7 -> W8: one row per question to write, with its source chunk."""
-    read = order_by_section_rank(chunks, ranks)
-    return allocate(spread_sample(candidate_chunks(read), requests)).select(
-        "request_id", "slot", "turn", F.col("id").alias("chunk_id"), "section_id", "content")
+    """W10 -> W9 -> W7 -> W8: one row per question to write, with its source chunk.
+
+    Ranks and picks are made without the texts; these are joined to the picked chunks only.
+    """
+    narrow = chunks.select("request_id", "id", "document_id", "chunk_index", "section_id", source_tier(F.col("content")).alias("_tier"))
+    picked = allocate(spread_sample(candidate_chunks(order_by_section_rank(narrow, ranks)), requests)).select(
+        "request_id", "slot", "turn", F.col("id").alias("chunk_id"), "section_id")
+    body = chunks.select("request_id", F.col("id").alias("chunk_id"), "content")
+    return picked.join(body, ["request_id", "chunk_id"]).select("request_id", "slot", "turn", "chunk_id", "section_id", "content")
 
 
 def slot_contexts(slots: DataFrame) -> DataFrame:
