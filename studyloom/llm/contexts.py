@@ -21,7 +21,7 @@ PAD = 0x0A
 class ContextMachine:
     symbol: np.ndarray  # byte -> symbol
     order: int
-    child: np.ndarray  # [nodes, symbols]
+    child: np.ndarray  # [nodes that may have longer ones, symbols]
     cost: np.ndarray  # [nodes, symbols, columns]
 
     @property
@@ -48,7 +48,7 @@ class ContextMachine:
         known = np.ones(len(node), bool)
         flat = self.child.ravel()
         for back in range(1, self.order + 1):
-            nxt = flat[node * width + symbols[self.order - back:len(symbols) - back]]
+            nxt = flat[np.where(known, node, 0) * width + symbols[self.order - back:len(symbols) - back]]
             known &= nxt >= 0
             node = np.where(known, nxt, node)
         paid = self.cost.reshape(-1, self.cost.shape[2])[node.astype(np.int64) * width + symbols[self.order:]]
@@ -112,14 +112,15 @@ def summed(found: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def node_table(contexts: list[np.ndarray], symbol: np.ndarray, symbols: int) -> tuple[np.ndarray, list[int]]:
-    """``child`` for sorted context codes by length (index 0 is the empty context), and the first node of each length.
+    """``child`` for sorted context codes by length (index 0 is the empty context), and the first node of each length.  The longest
+    contexts have no row.
 
     The suffix of every context must be a context too.  The oldest byte of a context is its highest.
     """
     first = [0]
     for codes in contexts:
         first.append(first[-1] + len(codes))
-    child = np.full((first[-1], symbols), -1, np.int32)
+    child = np.full((max(1, first[-2]), symbols), -1, np.int32)
     for k in range(1, len(contexts)):
         codes = contexts[k]
         parent = first[k - 1] + np.searchsorted(contexts[k - 1], codes & ((1 << 8 * (k - 1)) - 1))

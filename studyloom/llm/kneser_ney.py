@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.common import cut
+from studyloom.llm.common import cut, stored
 from studyloom.llm.contexts import PAD, ContextMachine, grams, node_table
 from studyloom.llm.ppm import count_grams
 
@@ -75,9 +76,9 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         probabilities.append(below)
         weights.append(totals.select("lang", F.lit(k - 1).alias("size"), "context", "gamma"))
         if k < order:
-            below = probabilities[-1] = cut(below)
+            below = probabilities[-1] = stored(below)
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return cut(union(probabilities)), cut(union(weights))
+    return stored(union(probabilities)), stored(union(weights))
 
 
 def machine_of(p: pd.DataFrame, gamma: pd.DataFrame, order: int) -> ContextMachine:
@@ -93,7 +94,7 @@ def machine_of(p: pd.DataFrame, gamma: pd.DataFrame, order: int) -> ContextMachi
     for k in range(order - 1, 0, -1):
         contexts[k - 1] = np.unique(np.concatenate([contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1)]))
     child, first = node_table(contexts, symbol, width)
-    cost = np.zeros((first[-1], width), np.float32)
+    cost = np.zeros((first[-1], width), np.float16)  # a text's cost is a sum of many, to about three digits each
     lower = np.full((1, width), 1 / 256)
     for k in range(order):
         codes = contexts[k]
@@ -109,25 +110,44 @@ def machine_of(p: pd.DataFrame, gamma: pd.DataFrame, order: int) -> ContextMachi
     return ContextMachine(symbol, order - 1, child, cost[:, :, None])
 
 
+_BUILT: dict[tuple, ContextMachine] = {}
+
+
+def _models(shipped: tuple, order: int):
+    """Machine of a language, laid out once in a worker; only those of the tables in use are held."""
+    name, grams_, contexts_ = shipped
+    for key in [k for k in _BUILT if k[0] != name]:
+        del _BUILT[key]
+
+    def of(lang: str) -> ContextMachine:
+        if (name, lang) not in _BUILT:
+            frames = [pd.DataFrame(dict(zip(("size", code, value), part[lang]))) for part, code, value in ((grams_, "gram", "p"), (contexts_, "context", "gamma"))]
+            _BUILT[name, lang] = machine_of(*frames, order)
+        return _BUILT[name, lang]
+
+    return of
+
+
 def score(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> DataFrame:
     """``docs`` (with columns lang and text) plus n_bytes and nats, the cost of the whole text; nats is null where the language has no model."""
     if p.count() + gamma.count() > max_rows:
         return score_by_join(docs, p, gamma, order)
     ps, gs = p.toPandas(), gamma.toPandas()
-    models = {lang: machine_of(ps[ps["lang"] == lang], gs[gs["lang"] == lang], order) for lang in sorted(ps["lang"].unique())}
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
+    known = set(ps["lang"].unique())
+    packed = lambda frame, code, value: {lang: (part["size"].to_numpy("i1"), part[code].to_numpy("i8"), part[value].to_numpy("f4")) for lang, part in frame.groupby("lang")}
+    shipped = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed(ps, "gram", "p"), packed(gs, "context", "gamma")))
     names = [c for c in docs.columns if c != "text"]
     fields = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("nats", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models_ = shipped.value
+        models = _models(shipped.value, order)
         for b in batches:
             texts = [raw(t) for t in b.column("text").to_pylist()]
             langs = np.array(b.column("lang").to_pylist(), object)
             nats = np.full(len(texts), np.nan)
-            for lang in set(langs.tolist()) & set(models_):
+            for lang in set(langs.tolist()) & known:
                 at = np.flatnonzero(langs == lang)
-                nats[at] = models_[lang].charge([texts[i] for i in at])[:, 0]
+                nats[at] = models(lang).charge([texts[i] for i in at])[:, 0]
             added = [pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.float64(), from_pandas=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *added], [*names, "n_bytes", "nats"])
 
@@ -177,9 +197,9 @@ def judge(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: flo
     """
     named = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null")
     fold = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
-    p, gamma = tables(cut(count_grams(named.where(fold != 0), order, raw)), order)
+    p, gamma = tables(stored(count_grams(named.where(fold != 0), order, raw)), order)
     read = docs.select("doc_id", F.col("lang").alias("_lang"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    checked = cut(score(named.where(fold == 0), p, gamma, order, max_rows).where("n_bytes > 0 and nats is not null"))
+    checked = stored(score(named.where(fold == 0), p, gamma, order, max_rows).where("n_bytes > 0 and nats is not null"))
     scored = score(read, p, gamma, order, max_rows)
     means = checked.groupBy("lang").agg((F.sum("nats") / F.sum("n_bytes")).alias("mean"))
     smooth = (F.col("nats") + prior * F.col("mean")) / (F.col("n_bytes") + prior)
