@@ -17,7 +17,11 @@ from studyloom.llm.common import cut
 UNKNOWN = "unknown"
 # Documents whose paragraphs are trained on, about, chosen by a hash of the text.
 SAMPLE_DOCS = 1500
-ROUNDS, RATE, SPARSE = 12, 3.0, 0.0005
+ROUNDS, RATE, SPARSE = 10, 3.0, 0.0005
+# Weights under this share of the largest one are dropped at the end.
+LEAST_WEIGHT = 0.1
+# Tasks that the small training tables are dealt to.
+TRAINERS = 4
 # Share of a paragraph's word triples that must be in a template of the family.
 CONFIRM = 0.5
 LOOKS_LIKE = 0.5
@@ -42,10 +46,12 @@ def words_of(text: F.Column) -> F.Column:
 
 
 def features_of(words: F.Column) -> F.Column:
-    """Distinct hashes of words and word pairs."""
-    ones = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(F.concat(ones, F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda h: h.isNotNull())))
+    """Distinct hashes of words and word pairs; the last word is paired with nothing."""
+    return F.array_distinct(_hashes(words))
+
+
+def _hashes(words: F.Column) -> F.Column:
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit("")))))
 
 
 def triples_of(words: F.Column) -> F.Column:
@@ -102,8 +108,9 @@ def train(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, sparse: flo
         moved = slope.join(weights, ["feature", "family"], "left").select("feature", "family", (F.coalesce("weight", F.lit(0.0)) + rate * 10 * F.col("slope")).alias("w"))
         pull = F.when(F.col("feature") == 0, 0.0).otherwise(rate * 10 * sparse)
         soft = F.signum("w") * F.greatest(F.abs("w") - pull, F.lit(0.0))
-        weights = cut(moved.select("feature", "family", soft.alias("weight")).where("weight <> 0"))
-    return weights
+        weights = cut(moved.select("feature", "family", soft.alias("weight")).where("weight <> 0").coalesce(TRAINERS))
+    least = (weights.where("feature <> 0").agg(F.max(F.abs("weight"))).first()[0] or 0.0) * LEAST_WEIGHT
+    return weights.where((F.col("feature") == 0) | (F.abs("weight") >= least))
 
 
 def probability(margin: F.Column) -> F.Column:
@@ -141,9 +148,11 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFI
     # The largest sum of weights a paragraph needs is positive, so it holds a feature of positive weight.
     positive = [r["feature"] for r in weights.where("weight > 0 and feature <> 0").select("feature").distinct().orderBy("feature").collect()]
     general = F.col("text").rlike(r"(?i)\b(licen[cs]ed? |licen[cs]e\b|copyright\b|all rights\b)")
-    lines = paragraphs(docs.select("doc_id", "text"))
-    gate = F.arrays_overlap(features_of(words_of(F.col("text"))), F.lit(positive) if positive else F.expr("cast(array() as array<long>)"))
-    held = cut(lines.where(gate | general).withColumn("row", F.xxhash64("text")))
+    lines = paragraphs(docs.select("doc_id", "text")).select("doc_id", "paragraph", "text", words_of(F.col("text")).alias("words"))
+    gate = F.arrays_overlap(_hashes(F.col("words")), F.lit(positive)) if positive else F.lit(False)
+    # An array of the text or of nothing: a filter would be pushed below the words and split the text once for each use of them.
+    found = F.when(gate | general, F.array("text")).otherwise(F.expr("cast(array() as array<string>)"))
+    held = cut(lines.select("doc_id", "paragraph", F.explode(found).alias("text")).withColumn("row", F.xxhash64("text")))
     texts = held.groupBy("row").agg(F.min("text").alias("text")).select("row", "text", features_of(words_of(F.col("text"))).alias("features"), triples_of(words_of(F.col("text"))).alias("triples"))
     judged = best_family(texts.select("row", "features"), weights)
     named = templates(docs.sparkSession).select("family", triples_of(words_of(F.col("text"))).alias("of"))
