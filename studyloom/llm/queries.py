@@ -39,8 +39,8 @@ def simhash_groups(read):
 
 
 OP2_SQL = """
-with recursive v as (select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
-                     where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+                     where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
 reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join link l on r.b = l.a),
 least as (select a, min(b) as component_id from reach group by a), degree as (select a, count(*) as n from link group by a)
