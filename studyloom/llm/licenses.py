@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import cut
+from studyloom.llm.common import cut, stored
 
 UNKNOWN = "unknown"
 # Documents whose paragraphs are trained on, about, chosen by a hash of the text.
@@ -152,10 +152,10 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFI
     gate = F.arrays_overlap(_hashes(F.col("words")), F.lit(positive)) if positive else F.lit(False)
     # An array of the text or of nothing: a filter would be pushed below the words and split the text once for each use of them.
     found = F.when(gate | general, F.array("text")).otherwise(F.expr("cast(array() as array<string>)"))
-    held = cut(lines.select("doc_id", "paragraph", F.explode(found).alias("text")).withColumn("row", F.xxhash64("text")))
+    held = stored(lines.select("doc_id", "paragraph", F.explode(found).alias("text")).withColumn("row", F.xxhash64("text")))
     # Cut twice: inside a lambda an expression that is not a stored column is evaluated for every element.
-    split = cut(held.groupBy("row").agg(F.min("text").alias("text")).withColumn("words", words_of(F.col("text"))))
-    texts = cut(split.select("row", "text", features_of(F.col("words")).alias("features"), triples_of(F.col("words")).alias("triples")))
+    split = stored(held.groupBy("row").agg(F.min("text").alias("text")).withColumn("words", words_of(F.col("text"))))
+    texts = stored(split.select("row", "text", features_of(F.col("words")).alias("features"), triples_of(F.col("words")).alias("triples")))
     judged = best_family(texts.select("row", "features"), weights)
     named = templates(docs.sparkSession).select("family", triples_of(words_of(F.col("text"))).alias("of"))
     likely = texts.join(judged, "row").where((F.col("probability") >= needed) | general)
