@@ -8,7 +8,7 @@ own; a group yields a spanning star of its close members, never its pairs.  Star
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,11 +30,11 @@ PART = 1024
 SLICE = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text as a signed 64-bit number; a bit is set if it is set in over half of the shingle hashes."""
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in slices; none of a text without words."""
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
@@ -43,12 +43,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         start, end = start[: 1 - shingle], end[shingle - 1:]
     else:
         start, end = start[:1], end[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(start), SLICE):
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(start[at:at + SLICE].tolist(), end[at:at + SLICE].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(start), bitorder="little").view("<i8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(start[at:at + SLICE].tolist(), end[at:at + SLICE].tolist())], "<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text as a signed 64-bit number; a bit is set if it is set in over half of the shingle hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -149,20 +155,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """
     rows = cut(fingerprints(docs, shingle))
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    linked = components(link_fingerprints(prints, distance, blocks, part))
+    return named(rows, prints, components(link_fingerprints(prints, distance, blocks, part)))
+
+
+def named(rows: DataFrame, prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fingerprint) with the smallest id of their component; ``prints`` has the smallest id of each fingerprint."""
     rooted = (prints.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
               .select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    names = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
+    return rows.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each component, the one with the smallest id; all columns stay.
+def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """The rows of ``docs`` with one document of each component that ``find`` gives, the one with the smallest id; all columns stay.
 
     Of rows that share that id one stays.
     """
-    found = near_duplicates(docs, **options)
+    found = find(docs, **options)
     kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
     one = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return one.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else one

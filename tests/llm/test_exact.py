@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 import pytest
 import xxhash
 
-from studyloom.llm import common, graph, simhash, suffix_automaton, transducer, url_cascade, word_bpe
+import corpus_pipeline
+from studyloom.llm import common, graph, overlap, simhash, suffix_automaton, transducer, url_cascade, word_bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " \n\t", "One two  three. It's THE <|endoftext|> end<|endoftext|>", "Äpfel é  x y 中文字 12345 !!! don't", "a" * 3000,
@@ -115,6 +116,34 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def near_copies(rng, n):
+    """Texts and copies with 1 to 8 words replaced, and what brute force links at five-word similarity 0.8."""
+    texts = []
+    for i in range(n):
+        base = [f"v{rng.randint(0, 5000)}" for _ in range(rng.randint(100, 400))]
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randint(1, 8)):
+            copy[at] = f"r{rng.randint(0, 10**6)}"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    return texts, [i for i in range(n) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
+
+
+@pytest.mark.parametrize("part", [overlap.PART, 8])
+def test_pipeline_finds_similarity_of_four_fifths(spark, part):
+    texts, wanted = near_copies(random.Random(11), 300)
+    hot = "one common start " * 3 + " ".join(f"h{i}" for i in range(150))
+    texts += [hot + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in overlap.near_duplicates(docs, part=part).collect()}
+    linked = {i for i in range(300) if got[2 * i + 1] == 2 * i}
+    assert linked <= set(wanted) and len(linked) >= 0.99 * len(wanted) and 100 < len(wanted) < 300
+    assert {got[i] for i in range(600, 640)} == {600}
+    if part == overlap.PART:
+        kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+        assert kept == {i for i, c in got.items() if i == c}
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2, 1)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
