@@ -6,6 +6,12 @@ vectors are one entry with a weight.  A list is cut into parts, and every two pa
 are verified by exact cosines; a group gives link counts and a spanning star, never its pairs.
 
 The reference points are the vectors with the lowest hashes, ``4 * sqrt(n)`` of them within bounds; every vector is indexed.
+
+Dense regions are exact.  Where many reference points lie inside one region, the nearest eight of two of its vectors depend on noise, so
+prefixes decide nothing there.  A net of reference points is chosen, no two of which have a cosine of ``HOME`` or more.  A vector within
+``HOME`` of its nearest net point has that point as its home and is in no prefix list.  Whatever links with it lies within the sum of both
+angles of the home, so every vector is listed under each net point within that angle.  A pair of which one vector at least has a home is
+verified, without a look at prefixes, in the list of the lowest home of the two; prefixes decide between vectors without a home only.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ THRESHOLD = 0.9
 PREFIX = 8
 SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 32, 4096
+# Cosine to the nearest net point from which on a vector belongs to its region.
+HOME = 0.85
+NO_HOME = 1 << 30
 # Vectors of one list in a part; a group holds two parts.
 PART = 512
 
@@ -48,7 +57,21 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
-def _describe(pivots: np.ndarray, prefix: int):
+def net_points(pivots: np.ndarray, home: float = HOME) -> np.ndarray:
+    """Numbers of pivots, in order, of which no two have a cosine of ``home`` or more; every pivot is that near to one of them."""
+    open_, chosen = np.ones(len(pivots), bool), []
+    for i in range(len(pivots)):
+        if open_[i]:
+            chosen.append(i)
+            open_ &= pivots @ pivots[i] < home
+    return np.array(chosen, np.int64)
+
+
+def _describe(pivots: np.ndarray, prefix: int, threshold: float):
+    """Prefix, home and lists of every vector; lists of net points are numbered -1 - point."""
+    net = net_points(pivots)
+    within = min(math.pi, math.acos(HOME) + math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 4096):
@@ -58,8 +81,14 @@ def _describe(pivots: np.ndarray, prefix: int):
                 take = min(prefix, len(pivots))
                 top = np.argpartition(-near, take - 1, axis=1)[:, :take]
                 top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * take, pa.int32()), pa.array(top.ravel().astype("i4")))
-                yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("weight"), b.column("embedding"), lists], ["entry", "weight", "embedding", "prefix"])
+                around = near[:, net]
+                best = around.argmax(1)
+                home = np.where(np.take_along_axis(around, best[:, None], 1)[:, 0] >= HOME, net[best], NO_HOME)
+                met = around >= math.cos(within)
+                lists = [[*(-1 - net[m]).tolist(), *(t.tolist() if h == NO_HOME else ())] for m, t, h in zip(met, top, home)]
+                prefixes = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * take, pa.int32()), pa.array(top.ravel().astype("i4")))
+                yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("weight"), b.column("embedding"), prefixes, pa.array(home.astype("i4")),
+                                                  pa.array(lists, pa.list_(pa.int32()))], ["entry", "weight", "embedding", "prefix", "home", "lists"])
 
     return run
 
@@ -78,7 +107,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray, pivot: int, shared: int) -> np.n
 
 def _verify(threshold: float, shared: int):
     def run(table: pa.Table) -> pa.Table:
-        entry, weight, own = (table[c].to_numpy() for c in ("entry", "weight", "own"))
+        entry, weight, own, home = (table[c].to_numpy() for c in ("entry", "weight", "own", "home"))
         pivot, one, two = (table[c][0].as_py() for c in ("pivot", "one", "two"))
         column = table["embedding"].combine_chunks()
         x = _matrix(column, len(column[0]))
@@ -86,7 +115,10 @@ def _verify(threshold: float, shared: int):
         left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
         links, root = np.zeros(len(x), np.int64), np.arange(len(x))
         if len(left) and len(right):
-            near = _first_shared(prefix[left], prefix[right], pivot, shared)
+            if pivot < 0:
+                near = np.minimum.outer(home[left], home[right]) == -1 - pivot
+            else:
+                near = _first_shared(prefix[left], prefix[right], pivot, shared)
             near &= x[left] @ x[right].T >= threshold
             if one == two:
                 np.fill_diagonal(near, False)
@@ -127,13 +159,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, prefix: in
         pivots = np.stack([np.asarray(v, np.float64) for v in chosen["embedding"]])
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
         kind = entries.schema["embedding"].dataType.simpleString()
-        described = same.mapInArrow(_describe(pivots, prefix), f"entry long, weight long, embedding {kind}, prefix array<int>")
+        described = same.mapInArrow(_describe(pivots, prefix, threshold), f"entry long, weight long, embedding {kind}, prefix array<int>, home int, lists array<int>")
         described = cut(described)
-        posted = described.select("*", F.explode("prefix").alias("pivot"))
+        posted = described.select("*", F.explode("lists").alias("pivot")).drop("lists")
         sizes = posted.groupBy("pivot").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
         dealt = posted.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("entry", "pivot"), F.col("parts")).cast("int"))
         met = (dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-               .select("entry", "weight", "embedding", "prefix", "pivot", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")))
+               .select("entry", "weight", "embedding", "prefix", "home", "pivot", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")))
         found = met.groupBy("pivot", "one", "two").applyInArrow(_verify(threshold, min(shared, len(pivots))), "entry long, links long, to long")
         counted = found if counted is None else counted.union(found)
     if counted is None:

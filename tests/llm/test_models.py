@@ -224,6 +224,23 @@ def test_pivot_index(spark, part):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 3000, 9000])
+def test_pivot_index_in_a_dense_region(spark, n):
+    """One group of near copies, cosine about 0.95, holds a third of the rows."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[: n // 3] = x[0] + 0.23 * x[: n // 3]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    docs = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    got = pivots.near_duplicates(docs).toPandas().set_index("vec_id").sort_index()
+    found = got["n_links"].to_numpy()
+    assert links.sum() > (n // 3) ** 2 // 2 and (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert (got["component_id"][: n // 3] == 0).all()
+
+
 def test_pipeline_stages(spark, tmp_path):
     read = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("score", F.lit("mine"))
     odd = spark.createDataFrame([(9001, None, None, None, None, "mine"), (9002, "", "en", "s", 0, "mine"), (9003, "12 34", "en", "s", 5, "mine")], read.schema)
