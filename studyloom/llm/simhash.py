@@ -167,12 +167,22 @@ def named(rows: DataFrame, prints: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _column(docs: DataFrame, name: str) -> F.Column:
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
 def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each component that ``find`` gives, the one with the smallest id; all columns stay.
+    """The rows of ``docs`` with one row of each component that ``find`` gives, that of the smallest id; all columns stay.
 
-    Of rows that share that id one stays.
+    Rows are told apart by id and a hash of the whole row, so null and repeated ids never stand for each other.  A null id comes last.
+    Of rows equal in every column, which are copies of each other, one stays.
     """
-    found = find(docs, **options)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    one = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else one
+    columns = [_column(docs, c) for c in docs.columns]
+    whole = F.xxhash64(*columns, *[c.isNull() for c in columns])  # nulls leave a hash as it is
+    keyed = docs.select(F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), whole.alias("row")).alias("doc_id"), docs["text"])
+    found = find(keyed, **options)
+    kept = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).agg(F.count("*").alias("_n")))
+    marked = docs.select("*", whole.alias("_row"))
+    chosen = kept.select(F.col("_id").alias("_kept"), F.col("_row").alias("_kept_row"))
+    one = marked.join(chosen, (F.col("_row") == F.col("_kept_row")) & F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return (one.dropDuplicates(["doc_id", "_row"]) if kept.where("_n > 1").limit(1).count() else one).drop("_row")

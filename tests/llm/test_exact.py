@@ -144,6 +144,19 @@ def test_pipeline_finds_similarity_of_four_fifths(spark, part):
         assert kept == {i for i, c in got.items() if i == c}
 
 
+def test_null_and_repeated_ids_stand_for_themselves(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(400)) for x in "abc")
+    rows = [(None, a, None, "x"), (None, b, "x", None), (7, c, "x", "x"), (7, "quite another text", "x", "x"), (3, c + "more", "x", "x"), (3, "alone", "x", "x"),
+            (9, "equal rows", "x", None), (9, "equal rows", "x", None), (None, a + "more", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `n``odd.name` string, more string")
+    for stage in (simhash.keep_one, lambda d: corpus_pipeline.one_of_each(spark, d, "")):
+        got = stage(docs)
+        kept = sorted((tuple(r) for r in got.collect()), key=str)
+        assert got.columns == docs.columns and len([r for r in kept if r[0] is None and r[1].startswith("a")]) == 1
+        rest = [r for r in kept if not r[1].startswith("a0")]
+        assert rest == sorted([rows[1], rows[3], rows[4], rows[5], rows[6]], key=str)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2, 1)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
