@@ -9,6 +9,7 @@ size passes; each round adds its spans and items to those found before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 import pickle
 import re
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyloom.llm.common import LOWER, UPPER, cut, text_bytes
 
@@ -180,7 +182,11 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, round_byt
     Null and wordless texts have no words and no hits; an empty benchmark hits nothing.  Items of fewer words than the window are one
     window.  Repeated items count once, by id.  ``text`` is null unless ``keep_text``.
     """
-    spark = docs.sparkSession
+    return _match(docs, *_in_rounds(benchmark, window, round_bytes, block_chars), keep_text)
+
+
+def _in_rounds(benchmark: DataFrame, window: int, round_bytes: int, block_chars: int) -> tuple[DataFrame, list[list[int]]]:
+    """The automata, and their blocks by round."""
     blobs = cut(automata(benchmark, window, block_chars))
     rounds, room = [[]], round_bytes
     for block, n in blobs.select("block", F.length("automaton")).orderBy("block").toLocalIterator():
@@ -189,13 +195,20 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, round_byt
             room = round_bytes
         rounds[-1].append(block)
         room -= n
+    return blobs, rounds
+
+
+def _shipped(blobs: DataFrame, blocks: list[int]):
+    found = blobs.where(F.col("block").isin(blocks)).collect() if blocks else []
+    return blobs.sparkSession.sparkContext.broadcast([bytes(r["automaton"]) for r in found])
+
+
+def _match(docs: DataFrame, blobs: DataFrame, rounds: list[list[int]], keep_text: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"),
                       F.expr("cast(array() as array<string>)").alias("items"))
     for i, blocks in enumerate(rounds):
-        found = blobs.where(F.col("block").isin(blocks)).collect() if blocks else []
-        shipped = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in found])
-        out = out.mapInArrow(_matcher(shipped, keep_text or i < len(rounds) - 1), FOUND.format(kind))
+        out = out.mapInArrow(_matcher(_shipped(blobs, blocks), keep_text or i < len(rounds) - 1), FOUND.format(kind))
     return out
 
 
@@ -222,46 +235,84 @@ def _matcher(shipped, keep_text: bool):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, min_span: int = 1) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, min_span: int = 1,
+          round_bytes: int = ROUND_BYTES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns kept, without hit spans of ``min_span`` words or more; a document hit on more than ``max_coverage``
     of its words goes.  Documents without hits are not touched; null texts stay.  The cut text is joined by a line break; ``n_chars`` follows.
+
+    Automata of more than one round are passed in rounds: the spans of all rounds, then one cut, for documents that were cut again until none is.
     """
-    spark = docs.sparkSession
-    blobs = cut(automata(benchmark, window))
-    size = blobs.agg(F.sum(F.length("automaton"))).first()[0] or 0
-    if size > ROUND_BYTES:
-        raise ValueError(f"the automata take {size} bytes, over {ROUND_BYTES}: clean against parts of the benchmark, one after the other")
-    shipped = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in blobs.collect()])
+    blobs, rounds = _in_rounds(benchmark, window, round_bytes, block_chars)
     names, at = docs.columns, docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [pickle.loads(x) for x in shipped.value]
-        for b in batches:
-            keep, texts, sizes = [], [], []
-            for text in text_bytes(b):
-                kept, total = text, 0
-                while True:  # what is left may meet across a cut
-                    words = words_of(kept)
-                    total = total or len(words)
-                    spans = [(x, y) for x, y in merged([s for m in machines for s in m.match(words)[0]]) if y - x >= min_span]
-                    if not spans:
-                        break
-                    if kept is text and sum(y - x for x, y in spans) > max_coverage * total:
-                        kept = None
-                        break
-                    kept = without(kept, spans)
-                keep.append(text is None or kept is not None)
-                texts.append(None if kept is None else kept.decode())
-                sizes.append(0 if kept is None else len(texts[-1]))
-            columns = list(b.columns)
-            columns[at] = pa.array(texts, b.schema.field(at).type)
-            if "n_chars" in names:
-                n = names.index("n_chars")
-                changed = pa.array([old if x is None or t == x else s for old, x, t, s in zip(columns[n].to_pylist(), b.column(at).to_pylist(), texts, sizes)])
-                columns[n] = changed.cast(b.schema.field(n).type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def columns_of(b: pa.RecordBatch, texts: list[bytes | None]) -> list[pa.Array]:
+        """The columns of ``docs`` with other texts."""
+        columns = [b.column(i) for i in range(len(names))]
+        cast = [None if t is None else t.decode() for t in texts]
+        columns[at] = pa.array(cast, b.schema.field(at).type)
+        if "n_chars" in names:
+            n = names.index("n_chars")
+            changed = pa.array([old if x is None or t == x else len(t or "") for old, x, t in zip(columns[n].to_pylist(), b.column(at).to_pylist(), cast)])
+            columns[n] = changed.cast(b.schema.field(n).type)
+        return columns
+
+    def long_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(x, y) for x, y in merged(spans) if y - x >= min_span]
+
+    def too_much(spans: list[tuple[int, int]], total: int) -> bool:
+        return sum(y - x for x, y in spans) > max_coverage * total
+
+    def in_one_round(shipped):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machines = [pickle.loads(x) for x in shipped.value]
+            for b in batches:
+                keep, texts = [], []
+                for text in text_bytes(b):
+                    kept = text
+                    while True:  # what is left may meet across a cut
+                        words = words_of(kept)
+                        spans = long_spans([s for m in machines for s in m.match(words)[0]])
+                        if not spans:
+                            break
+                        if kept is text and too_much(spans, len(words)):
+                            kept = None
+                            break
+                        kept = without(kept, spans)
+                    keep.append(text is None or kept is not None)
+                    texts.append(kept)
+                yield pa.RecordBatch.from_arrays(columns_of(b, texts), names).filter(pa.array(keep))
+
+        return run
+
+    def one_cut(first: bool):
+        """Rows with their spans and words behind them become rows cut once, with a mark on those that were cut."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep, texts, marks = [], [], []
+                for text, had, total in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()):
+                    spans = long_spans([(x["a"], x["b"]) for x in had])
+                    keep.append(not (first and spans and too_much(spans, total)))
+                    texts.append(without(text, spans) if spans and keep[-1] else text)
+                    marks.append(bool(spans))
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns_of(b, texts), names), pa.array(marks)], ["row", "again"]).filter(pa.array(keep))
+
+        return run
+
+    if len(rounds) == 1:
+        return docs.mapInArrow(in_one_round(_shipped(blobs, rounds[0])), docs.schema)
+    first, done = True, []
+    left = docs.select(F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in names]).alias("row"))
+    while True:
+        met = _match(left.select(F.col("row").alias("doc_id"), F.col("row").getField("text").alias("text")), blobs, rounds, False)
+        flat = met.select(*[F.col("doc_id").getField(c).alias(c) for c in names], F.col("spans").alias("_spans"), F.col("n_words").alias("_words"))
+        once = cut(flat.mapInArrow(one_cut(first), T.StructType([T.StructField("row", docs.schema), T.StructField("again", T.BooleanType())])))
+        done.append(once.where("not again"))
+        left, first = once.where("again").select("row"), False
+        if not left.limit(1).count():
+            break
+    rows = reduce(DataFrame.unionAll, done)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

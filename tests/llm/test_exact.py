@@ -208,6 +208,18 @@ def test_windows(spark, limits):
         assert hit or cleaned[i] == t
 
 
+def test_cleaning_in_rounds(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    benchmark = spark.createDataFrame([(i, some(rng.randint(3, 16))) for i in range(40)], "item_id long, text string")
+    texts = [None, "", *[some(rng.randint(1, 80)) for _ in range(60)], *["x " * 30 + r["text"] + " y" * 30 for r in benchmark.collect()]]
+    docs = spark.createDataFrame([(i if i % 5 else None, t, len(t or ""), i) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, row long")
+    whole, parts = (sorted(map(tuple, suffix_automaton.clean(docs, benchmark, window=6, **limits).collect()), key=lambda r: r[3])
+                    for limits in ({}, {"block_chars": 100, "round_bytes": 3000}))
+    assert whole == parts and sum(r[1] != texts[r[3]] for r in whole) > 30 and len(whole) < len(texts)
+    assert len(suffix_automaton._in_rounds(benchmark, 6, 3000, 100)[1]) > 2
+
+
 def test_windows_without_rows(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert {tuple(r["items"]) for r in suffix_automaton.match(documents(spark), benchmark).collect()} == {()}
