@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from studyloom.functions.questions import (HIGH_RISK, KEYS, answer_candidates, candidate_score, correct_key, let,
                                            pick_distractors, relation, repair_high_risk, short_answer_issue,
                                            standalone_issue, strict_support)
-from studyloom.functions.text import BULLET, front_key, norm_compare, norm_evidence, one_of, strip
+from studyloom.functions.text import BULLET, collapse, front_key, norm_compare, norm_evidence, one_of, strip
 from studyloom.operators.contexts import evidence_array
 from studyloom.operators.numbering import numbered, top_per_key, unfold
 
@@ -208,13 +208,16 @@ def resolve_slots(items: DataFrame, slots: DataFrame, chosen: DataFrame | None =
                       F.col("_i.c").alias("c"), F.col("_i.d").alias("d"), F.col("_i.o").alias("o"))
 
 
+RUNS = "array<struct<n:int,ids:string,text:string,norm:string>>"
+
+
 def resolve_evidence(items: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The evidence an item names, as spans of its slot.
 
     By id; else one span with equal text; else the one shortest span that contains the literal (24 characters
     or more); else the one shortest run of consecutive spans.  Ambiguous or unknown evidence gets a reason.
-    ``catalogue``: request_id, slot, span_no, evidence_id, span; a slot has at most 8 spans, so at most 36
-    runs are tried per item.
+    ``catalogue``: request_id, slot, span_no, evidence_id, span, any number of spans a slot.  Runs are tried
+    shortest first, only where all spans together hold the literal, and up to the number of spans it can touch.
     """
     spans = catalogue.groupBy("request_id", F.col("slot").cast("string").alias("slot")).agg(F.array_sort(F.collect_list(
         F.struct("span_no", "evidence_id", "span", norm_evidence(F.col("span")).alias("norm")))).alias("_spans"))
@@ -232,10 +235,14 @@ def resolve_evidence(items: DataFrame, catalogue: DataFrame) -> DataFrame:
                         text.alias("text"), norm_evidence(text).alias("norm"))
 
     def by_run(live, norm, long_enough):
-        turns = F.when(F.size(live) > 0, F.sequence(F.lit(1), F.size(live))).otherwise(F.array().cast("array<int>"))
-        runs = F.flatten(F.transform(turns, lambda i: F.transform(
-            F.sequence(F.lit(1), F.size(live) - i + 1), lambda n: run(live, i, n))))
-        fit = F.filter(runs, lambda r: (r.norm == norm) | (long_enough & F.contains(r.norm, norm)))
+        # A span of a run adds a character and a space at least; the two outer ones may reach beyond the literal.
+        most = F.least(F.size(live), (F.length(norm) / 2).cast("int") + 3)
+        held = F.contains(collapse(F.lower(F.array_join(F.transform(live, lambda e: e.span), " "))), strip(norm))
+        of = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.size(live) - n + 1), lambda i: run(live, i, n)),
+                                lambda r: (r.norm == norm) | (long_enough & F.contains(r.norm, norm)))
+        none = F.array().cast(RUNS)
+        fit = F.when((F.size(live) > 0) & held, F.aggregate(F.sequence(F.lit(1), most), none, lambda met, n: F.when(
+            F.size(met) > 0, met).otherwise(of(n)).cast(RUNS))).otherwise(none)
         size = lambda r: F.struct(r.n.alias("n"), F.length(r.norm).alias("len"))
         tied = let(fit, lambda f: let(F.array_min(F.transform(f, size)), lambda top: F.filter(f, lambda r: size(r) == top)))
         return let(tied, lambda x: F.when(F.size(x) == 1, answer(F.get(x, 0).ids, F.get(x, 0).text, None))

@@ -385,7 +385,7 @@ EVID = {**TEXT, "cat": (("lines",), f"select doc_id, line_no as n, 'E' || line_n
 @query("resolved_evidence", oracle("evid", "select request_id, evidence_ids from evid", EVID))
 def resolved_evidence(t):
     l = lines(t)
-    cat = l.filter("line_no < 8").selectExpr("doc_id as request_id", "'0' as slot", "line_no as span_no", "concat('E', line_no) as evidence_id", "line as span")
+    cat = l.selectExpr("doc_id as request_id", "'0' as slot", "line_no as span_no", "concat('E', line_no) as evidence_id", "line as span")
     two = l.filter("line_no < 2").groupBy("doc_id").agg(F.max(F.when(F.col("line_no") == 0, F.col("line"))).alias("l0"),
                                                        F.max(F.when(F.col("line_no") == 1, F.col("line"))).alias("l1"))
     e = F.expr("case doc_id % 5 when 0 then 'e1' when 1 then concat('  ', l1, ' ') when 2 then substr(l1, 3, 40) when 3 then concat(l0, '  ', l1) else 'zz not there in any of the sources' end")
@@ -408,7 +408,7 @@ def checked_cards(t):
 @query("assembled_items")
 def assembled_items(t):
     """N31 -> N32 -> N36 on items that name the first answer of the first line of every document."""
-    span = lines(t).filter("line_no < 8").selectExpr("doc_id as request_id", "'0' as slot", "line_no as span_no", "concat('E', line_no) as evidence_id", "line as span")
+    span = lines(t).selectExpr("doc_id as request_id", "'0' as slot", "line_no as span_no", "concat('E', line_no) as evidence_id", "line as span")
     source = span.withColumn("source_ref", F.col("request_id"))
     answers = it.answer_catalogue(source).selectExpr("source_ref as request_id", "'0' as slot", "answer_id", "evidence_id", "answer")
     raw = texts(t).selectExpr("doc_id as request_id", "0 as position", "concat('{\"slot\":\"0\",\"q\":\"Which term is meant in text ', doc_id, '?\",\"e\":\"E0\",\"a\":\"A0\",\"d\":[\"Alpha ray\",\"Beta ray\",\"Gamma ray\"]}') as item")

@@ -282,6 +282,39 @@ def test_resolve_evidence(spark):
                    5: ("E0,E1", None)}
 
 
+def test_evidence_of_many_spans(spark):
+    """Runs against brute force where the evidence lies beyond the eighth span."""
+    spans = [f'"Line {i} says word{i % 7}' + (" and more" if i % 3 else "") + '".' for i in range(30)]
+    spans[12] = " \t"
+    cat = spark.createDataFrame([(1, "0", i, f"E{i}", x) for i, x in enumerate(spans)], "request_id long, slot string, span_no int, evidence_id string, span string")
+    asked = [spans[20], " ".join(spans[18:21]), spans[10] + " " + spans[11] + " " + spans[13], " ".join(spans[9:29])[9:-7], spans[25][9:] + " " + spans[26][:12], "x " * 20, "word4"]
+    rows_ = spark.createDataFrame([(1, "0", i, e, None) for i, e in enumerate(asked)], "request_id long, slot string, n int, e string, reason string")
+    norm = lambda x: " ".join(x.strip().lower().strip("\"“”'‘’").split())
+    live = [i for i, x in enumerate(spans) if norm(x)]
+
+    def wanted(e):
+        runs = []
+        for a in range(len(live)):
+            for b in range(a, len(live)):
+                text = norm(" ".join(spans[i] for i in live[a:b + 1]))
+                if text == norm(e) or len(norm(e)) >= it.LITERAL_MIN and norm(e) in text:
+                    runs.append((b - a, len(text), ",".join(f"E{i}" for i in live[a:b + 1])))
+        best = [r for r in runs if r[:2] == min(runs)[:2]]
+        return best[0][2] if len(best) == 1 else None
+
+    out = {r.n: r.evidence_ids for r in it.resolve_evidence(rows_, cat).collect()}
+    assert out == {i: wanted(e) for i, e in enumerate(asked)} and sum(x is not None for x in out.values()) == 5
+
+
+def test_evidence_queries_read_every_line(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    again = "A line that comes again, word for word."
+    text = "\n".join(["A first line of this text here.", again, *[f"Line number {i} of the text." for i in range(9)], again])
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.evidence_ids for r in entry.queries()["resolved_evidence"](spark, str(tmp_path)).collect()] == [None]  # two lines are equal
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(1, i, "{}") for i in range(3)] + [(2, 0, '{"slot":0}'), (2, 1, "{}"), (3, 0, '{"slot_id":"0"}'), (4, 0, '{"slot":"0"}')],
                                "request_id long, position int, item string")
