@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from studyloom.llm import crf, kneser_ney, licenses, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, word_bpe
-from studyloom.llm.common import LOWER, UPPER, fold_of
+from studyloom.llm import anchors, crf, kneser_ney, licenses, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, word_bpe
+from studyloom.llm.common import LOWER, UPPER, fold_of, stored
 from studyloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -138,3 +138,28 @@ def toxic_documents(read):
     labels = read("labels").where(fold_of("doc_id", 5) != 0).select("doc_id", "toxic")
     found = crf.toxicity(read("documents"), labels)
     return found.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _op13_sql() -> str:
+    """The rounds written out: nearest entry of every part, then the floor of the mean of what it owns."""
+    near = """{name} as materialized (select part, n, v, arg_min(entry, struct_pack(d := d, entry := entry)) as entry, min(d) as d from (
+        select p.part, p.n, p.v, b.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) ** 2))::bigint as d from parts p join {book} b using (part)) group by all)"""
+    new = """{name} as materialized (select part, entry, coalesce(m.v, o.v) as v from {book} o left join (select part, entry, list(floor(s / c)::bigint order by i) as v from (
+        select part, entry, i, sum(v[i])::hugeint as s, count(*) as c from {near}, (select unnest(range(1, (select max(len(v)) from parts) + 1)) as i) group by part, entry, i) group by part, entry) m using (part, entry))"""
+    ctes = ["""kept as materialized (select row_number() over (order by vec_id, embedding) as n, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+            "parts as materialized (select n, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as v from kept, (select unnest(range(8)) as part))",
+            "b0 as (select part, n - 1 as entry, v from parts where n <= 16)"]
+    for r in range(anchors.ROUNDS):
+        ctes += [near.format(name=f"a{r}", book=f"b{r}"), new.format(name=f"b{r + 1}", near=f"a{r}", book=f"b{r}")]
+    last = f"b{anchors.ROUNDS}"
+    ctes += [near.format(name="fin", book=last), "coded as (select n, string_agg(lpad(format('{:x}', entry), 2, '0'), '' order by part) as code, sum(d)::bigint as error from fin group by n)",
+             f"digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from {last})"]
+    return "with " + ", ".join(ctes) + """ select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from kept join coded using (n), digest"""
+
+
+@query("op13_anchors_codes", _op13_sql())
+def vector_codes(read):
+    """Code and error of every vector, and the error of its label."""
+    coded = stored(anchors.compress(read("embeddings")))
+    return anchors.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
