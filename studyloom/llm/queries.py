@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators; each applies its operator to its whole table."""
+"""Registered queries of the operators; each applies its operator to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from studyloom.llm import anchors, crf, kneser_ney, licenses, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, word_bpe
+from studyloom.llm import anchors, crf, kneser_ney, licenses, packing, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, variants, word_bpe
 from studyloom.llm.common import LOWER, UPPER, fold_of, stored
 from studyloom.llm.registry import ORACLES, QUERIES, query
 
@@ -163,3 +163,15 @@ def vector_codes(read):
     """Code and error of every vector, and the error of its label."""
     coded = stored(anchors.compress(read("embeddings")))
     return anchors.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op11_sum_of_squares_packing")
+def packed_sequences(read):
+    """Sequence and place of every piece of every document."""
+    return packing.pack(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_variable_grams")
+def spelling_variants(read):
+    """Form and root of every word."""
+    return variants.group_variants(read("documents"))
