@@ -7,16 +7,15 @@ query, and for vector search ``vector``.  No step forms question-chunk pairs oth
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from studyloom.functions.text import words
 from studyloom.operators.numbering import unfold
-from studyloom.operators.lists import citations, top_k
+from studyloom.operators.lists import cascade, citations, top_k
 from studyloom.session import cut, fits
+from studyloom.sources.search_index import tokens
 
 # Fixed values of retrieval.
 TOP_K, MIN_SCORE, SUBSTRING_SCORE = 5, 0.05, 0.01
@@ -34,7 +33,7 @@ def scoped_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
             .join(d, "document_id"))
 
 
-def _in_scope(subject: Column, document: Column, q_subject: Column | None = None, q_documents: Column | None = None) -> Column:
+def in_scope(subject: Column, document: Column, q_subject: Column | None = None, q_documents: Column | None = None) -> Column:
     """Chunk columns against the question's scope: document list, else subject, else everything of the owner."""
     q_subject = F.col("q_subject") if q_subject is None else q_subject
     q_documents = F.col("q_documents") if q_documents is None else q_documents
@@ -43,7 +42,7 @@ def _in_scope(subject: Column, document: Column, q_subject: Column | None = None
         q_subject.isNull() | F.coalesce(subject == q_subject, F.lit(False)))
 
 
-def _scope_columns(questions: DataFrame) -> DataFrame:
+def scope_columns(questions: DataFrame) -> DataFrame:
     have = questions.columns
     subject = F.col("subject_id") if "subject_id" in have else F.lit(None)
     listed = F.col("document_ids") if "document_ids" in have else F.lit(None)
@@ -90,7 +89,7 @@ def vector_hits(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame,
     per question.  A question batch of checked size is shipped to the tasks; a larger one is cut into blocks
     that meet the vector blocks of the same owner, cell by cell, each cell of bounded size.
     """
-    q = _scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents", "vector")
+    q = scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents", "vector")
     e = (embeddings.filter("embedding is not null").select("chunk_id", "embedding")
          .join(scoped_chunks(chunks, docs).drop("content"), "chunk_id"))
     e = e.select("chunk_id", "document_id", "owner_id", "subject_id", "embedding")
@@ -122,31 +121,31 @@ def vector_search(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame
     return vector_hits(questions, embeddings, chunks, docs, k).filter(F.col("score") >= min_score)
 
 
-def tokens(text: Column) -> Column:
-    return words(F.lower(F.coalesce(text, F.lit(""))))
-
-
-def cover_density(text_tokens: Column, terms: Column) -> Column:
+def covers_of(met: Column, terms: Column) -> Column:
     """Sum over the minimal covers of all terms of 0.1 / (1 + other words inside the cover).
 
-    One pass over the positions of query terms keeps, per term, its last occurrence; a cover is minimal
-    when its left end moves.
+    ``met`` are the occurrences (p, t) of the terms in order of their place p.  One pass keeps, per term, its last occurrence and its
+    number; a cover is minimal when its left end moves.
     """
-    occ = F.filter(F.transform(text_tokens, lambda t, i: F.struct(i.alias("p"), t.alias("t"))),
-                   lambda o: F.array_contains(terms, o.t))
-    start = F.struct(F.transform(terms, lambda _: F.lit(-1)).alias("at"), F.lit(-1).alias("n"),
+    start = F.struct(F.transform(terms, lambda _: F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("p"))).alias("at"), F.lit(-1).alias("n"),
                      F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
 
     def step(s, o):
         n = s.n + 1
-        at = F.transform(s["at"], lambda old, i: F.when(F.get(terms, i) == o.t, n).otherwise(old))
+        at = F.transform(s["at"], lambda old, i: F.when(F.get(terms, i) == o.t, F.struct(n.alias("n"), o.p.alias("p"))).otherwise(old))
         first = F.array_min(at)
-        left = F.when(first < 0, -1).otherwise(F.get(occ, first).getField("p"))
-        noise = (o.p - left) - (n - first)
+        left = F.when(first.n < 0, -1).otherwise(first.p)
+        noise = (o.p - left) - (n - first.n)
         gain = F.when(left > s.left, 0.1 / (1.0 + noise)).otherwise(0.0)
         return F.struct(at.alias("at"), n.alias("n"), left.alias("left"), (s.score + gain).alias("score"))
 
-    return F.aggregate(occ, start, step, lambda s: s.score)
+    return F.aggregate(met, start, step, lambda s: s.score)
+
+
+def cover_density(text_tokens: Column, terms: Column) -> Column:
+    """``covers_of`` the terms of a text."""
+    met = F.filter(F.transform(text_tokens, lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda o: F.array_contains(terms, o.t))
+    return covers_of(met, terms)
 
 
 def text_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def text_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataF
     Only the rarest term of a question is joined to the postings; the other terms are checked on the
     chunk's own tokens, so frequent words never meet in a join.
     """
-    q = _scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents",
+    q = scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents",
                                          F.array_distinct(tokens(F.col("query"))).alias("terms")).filter(F.size("terms") > 0)
     asked = q.select("question_id", "owner_id", F.explode("terms").alias("term"))
     c = scoped_chunks(chunks, docs)
@@ -168,7 +167,7 @@ def text_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataF
     cand = (rarest.join(q, ["question_id", "owner_id"]).filter(F.col("known") == F.size("terms"))
             .join(posts, ["owner_id", "term"]).select("question_id", "chunk_id", "terms", "q_subject", "q_documents"))
     body = c.select("chunk_id", "document_id", "subject_id", "content")
-    hits = (cand.join(body, "chunk_id").filter(_in_scope(F.col("subject_id"), F.col("document_id")))
+    hits = (cand.join(body, "chunk_id").filter(in_scope(F.col("subject_id"), F.col("document_id")))
             .withColumn("_t", tokens(F.col("content")))
             .filter(F.size(F.array_except("terms", "_t")) == 0))
     return hits.select("question_id", "chunk_id", "document_id", "content",
@@ -188,24 +187,27 @@ def like_pattern(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([^%_\\])|(\\[%_\\])", "$1$2")
 
 
+def contains_pattern(low: Column, like: Column) -> Column:
+    """Does a text in lower case match ``%like%``?  A pattern without wild cards and backslashes needs no pattern engine."""
+    wild = F.rlike(like, F.lit(r"[%_\\]"))
+    return F.when(wild, F.like(low, F.concat(F.lit("%"), like_pattern(like), F.lit("%")))).otherwise(F.contains(low, like))
+
+
 def substring_hits(questions: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """X3 before the limit: case-insensitive LIKE of the whole question; % and _ stay wild cards.
 
     The questions of an owner meet its chunks as arrays of bounded length, spread over as many salted
     arrays as their number asks for; scope is tested before the text, and only matches become rows.
     """
-    q = _scope_columns(questions)
+    q = scope_columns(questions)
     salts = q.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_ARRAY).alias("_salts"))
     arrays = (q.join(salts, "owner_id")
               .withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.col("_salts")))
               .groupBy("owner_id", "_salt").agg(F.collect_list(F.struct(
                   "question_id", "q_subject", "q_documents", F.lower("query").alias("like"))).alias("_qs")))
     c = scoped_chunks(chunks, docs).withColumn("_low", F.lower("content"))
-    wild = lambda x: F.rlike(x["like"], F.lit(r"[%_\\]"))
-    found = lambda x: F.when(wild(x), F.like(F.col("_low"), F.concat(F.lit("%"), like_pattern(x["like"]), F.lit("%")))).otherwise(
-        F.contains(F.col("_low"), x["like"]))
-    inside = lambda x: _in_scope(F.col("subject_id"), F.col("document_id"), x["q_subject"], x["q_documents"])
-    match = F.filter("_qs", lambda x: F.when(inside(x), found(x)).otherwise(False))
+    inside = lambda x: in_scope(F.col("subject_id"), F.col("document_id"), x["q_subject"], x["q_documents"])
+    match = F.filter("_qs", lambda x: F.when(inside(x), contains_pattern(F.col("_low"), x["like"])).otherwise(False))
     hits = unfold(c.join(arrays, "owner_id"), ["chunk_id", "document_id", "content"], match, "_i", "_q")
     return hits.select(F.col("_q.question_id").alias("question_id"), "chunk_id", "document_id", "content",
                        F.lit(SUBSTRING_SCORE).alias("score"))
@@ -217,29 +219,31 @@ def substring_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None,
-             k: int = TOP_K) -> DataFrame:
-    """Vector search, then text, then substring for the questions still without an answer.
+             k: int = TOP_K, index=None) -> DataFrame:
+    """X4 + U-3: vector search, then text, then substring for the questions still without an answer.
 
-    A question whose vector search returned rows stops there, even if all were below the minimum score.
+    A question whose vector search returned rows stops there, even if all were below the minimum score.  With a stored ``index`` of the
+    chunks (``sources.search_index``) text and substring search read its lists instead of the texts.
     """
-    columns = ["question_id", "chunk_id", "document_id", "score", "rank_order"]
-    left, tiers = questions, []
+    from studyloom.operators import indexed_search
 
-    def serve(rows, answered):
-        nonlocal left
-        tiers.append((rows, answered))
-        left = left.join(answered.select("question_id").distinct(), "question_id", "left_anti")
-
-    # Every tier is at most k rows per question; it is kept so that the next one runs on open questions only.
+    columns = ["question_id", "chunk_id", "document_id", "score", "rank_order"]
+    open_, tiers = questions, []
+    # Every tier is at most k rows per question; it is kept so that the next one is asked the open questions only.
     if embeddings is not None and "vector" in questions.columns:
         hits = cut(vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k).select(columns))
-        serve(hits.filter(F.col("score") >= MIN_SCORE), hits)
-    text = cut(text_search(left, chunks, docs, k).select(columns))
-    serve(text, text)
-    like = substring_search(left, chunks, docs, k).select(columns)
-    found = reduce(DataFrame.unionByName, [rows for rows, _ in [*tiers, (like, like)]])
-    body = chunks.select(F.col("id").alias("chunk_id"), "content")
-    return found.join(body, "chunk_id")
+        tiers.append((hits.filter(F.col("score") >= MIN_SCORE), hits))
+        open_ = open_.join(hits.select("question_id").distinct(), "question_id", "left_anti")
+    found = text_search(open_, chunks, docs, k) if index is None else indexed_search.text_search(open_, index, chunks, docs, k)
+    text = cut(found.select(columns))
+    tiers.append((text, text))
+    open_ = cut(open_.join(text.select("question_id").distinct(), "question_id", "left_anti"))
+    like = substring_search(open_, chunks, docs, k) if index is None else indexed_search.substring_search(open_, index, chunks, docs, k)
+    tiers.append((like.select(columns), like))
+    served = cascade(tiers, "question_id")
+    if index is not None:
+        return served.join(index.lookup("texts", served, ["chunk_id"], ["content"]), "chunk_id")
+    return served.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
 
 
 def retrieve_citations(*args, **kwargs) -> DataFrame:

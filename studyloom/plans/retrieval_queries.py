@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from studyloom.functions import questions as qn, text as tx
-from studyloom.operators import access, chunking, contexts as ctx, items as it, lists, planning, retrieval as rt
+from studyloom.operators import access, chunking, contexts as ctx, indexed_search as ix, items as it, lists, planning, retrieval as rt
 from studyloom.operators.numbering import unfold
 from studyloom.plans import cloze
 from studyloom.plans.registry import query
 from studyloom.plans.text_queries import BOOK, TEXT, books, lines, pairs, re_, s, s_cmp, s_ev, s_squeeze, s_strip, texts
 from studyloom.plans.views import oracle
-from studyloom.session import spread
+from studyloom.session import checkpoint_dir, spread
+from studyloom.sources.search_index import SearchIndex
 
 # ------------------------------------------------------------------------------------ C3-C6
 # One step of the sizing rule per round: the last break inside the window, then the aligned overlap.
@@ -159,9 +162,23 @@ def vector_search(t):
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
+_INDEXED: dict[tuple[str, str], SearchIndex] = {}
+
+
+def index_of(t):
+    """The stored index of a folder's chunks, written once a session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXED:
+        index = SearchIndex(t.spark, f"{checkpoint_dir(t.spark)}/search-{uuid.uuid4().hex}")
+        owned = wide_chunks(t).join(t.documents.select(F.col("id").alias("document_id"), "owner_id"), "document_id")
+        index.append(owned.select("owner_id", F.col("id").alias("chunk_id"), "content"), "all")
+        _INDEXED[key] = index
+    return _INDEXED[key]
+
+
 @query("text_search", oracle("ttop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from ttop", SEARCH))
 def text_search(t):
-    out = rt.text_search(asked(t), wide_chunks(t), t.documents)
+    out = ix.text_search(asked(t), index_of(t), t.chunks, t.documents)
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
@@ -169,7 +186,7 @@ def text_search(t):
 def substring_search(t):
     """A third of the questions start with a backslash, which makes the letter after it stand for itself."""
     q = asked(t).withColumn("query", F.when(F.col("question_id") % 3 == 1, F.concat(F.lit("\\"), "q2")).otherwise(F.col("q2")))
-    return rt.substring_search(q, wide_chunks(t), t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
+    return ix.substring_search(q, index_of(t), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
 
 
 WHOLE = {**SEARCH, "asked": ((), """select item_id as question_id, item_id % 7 as owner_id, cast(null as bigint) as subject_id, cast([] as bigint[]) as document_ids,
@@ -183,13 +200,13 @@ def asked_whole(t):
 
 @query("text_search_whole", oracle("ttop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from ttop", WHOLE))
 def text_search_whole(t):
-    out = rt.text_search(asked_whole(t), wide_chunks(t), t.documents)
+    out = ix.text_search(asked_whole(t), index_of(t), t.chunks, t.documents)
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
 @query("substring_search_whole", oracle("stop", "select question_id, chunk_id, document_id, score, rank_order from stop", WHOLE))
 def substring_search_whole(t):
-    return rt.substring_search(asked_whole(t), wide_chunks(t), t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
+    return ix.substring_search(asked_whole(t), index_of(t), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
 
 
 @query("retrieval", oracle("vtop ttop stop asked", """, v as (select question_id, chunk_id, document_id, score, rank_order from vtop where question_id % 2 = 0),
@@ -201,7 +218,7 @@ def substring_search_whole(t):
 def retrieval(t):
     """Even questions have a vector; the others start at text search."""
     q = with_vectors(t, "left").withColumn("vector", F.when(F.col("question_id") % 2 == 0, F.col("vector")))
-    return rt.retrieve(q, wide_chunks(t), t.documents, t.vectors).select(
+    return rt.retrieve(q, t.chunks, t.documents, t.vectors, index=index_of(t)).select(
         "question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
