@@ -21,6 +21,11 @@ def unfold(df: DataFrame, keep: Sequence[str | Column], items: Column, pos: str,
     return (df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull()))
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that ``df`` can be grouped together with something made of the same rows."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """First ``k`` rows per key.  Spark prunes to k rows per key before the shuffle (WindowGroupLimit)."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -6,23 +6,24 @@ query, and for vector search ``vector``.  No step forms question-chunk pairs oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from studyloom.operators.numbering import unfold
+from studyloom.operators.numbering import fresh, top_per_key, unfold
 from studyloom.operators.lists import cascade, citations, top_k
-from studyloom.session import cut, fits
+from studyloom.session import checkpoint_dir, cut
 from studyloom.sources.search_index import tokens
+from studyloom.sources.vector_cells import VectorCells, matrix, units
 
 # Fixed values of retrieval.
 TOP_K, MIN_SCORE, SUBSTRING_SCORE = 5, 0.05, 0.01
 
-# Questions whose vectors are shipped to every task; larger batches are joined block by block.
-SHIPPED_QUESTIONS = 4_000
-BLOCK_ROWS = 4_000
+# Questions that meet a part of a cell at once; cells a question visits before it has a score to beat.
+BLOCK_ROWS, FIRST = 1024, 4
 QUERIES_PER_ARRAY = 500
 
 
@@ -49,76 +50,107 @@ def scope_columns(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"q_subject": subject.cast("long"), "q_documents": listed.cast("array<long>")})
 
 
-HITS = "question_id long, chunk_id long, document_id long, score double"
-
-
-def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size == 0, np.nan, size)
-
-
-def _best(questions: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Top ``k`` rows of one Arrow batch for each question of the same owner, by one matrix product."""
-    out = []
-    for owner, qs in questions.groupby("owner_id"):
-        cand = rows[rows["owner_id"] == owner].sort_values("chunk_id")
-        for dim, part in cand.groupby(cand["embedding"].map(len)) if len(cand) else ():
-            same = qs[qs["vector"].map(len) == dim]
-            if not len(same):
-                continue
-            scores = _unit(same["vector"]) @ _unit(part["embedding"]).T
-            for (qid, subject, listed), line in zip(same[["question_id", "q_subject", "q_documents"]].itertuples(
-                    index=False, name=None), scores):
-                ok = ~np.isnan(line)
-                if listed is not None and len(listed):
-                    ok &= part["document_id"].isin(listed).to_numpy()
-                elif subject is not None and not pd.isna(subject):
-                    ok &= (part["subject_id"] == subject).to_numpy()
-                at = np.flatnonzero(ok)
-                at = at[np.argsort(-line[at], kind="stable")[:k]]
-                out.append(pd.DataFrame({"question_id": qid, "chunk_id": part["chunk_id"].to_numpy()[at],
-                                         "document_id": part["document_id"].to_numpy()[at], "score": line[at]}))
-    return pd.concat(out) if out else pd.DataFrame({"question_id": [], "chunk_id": [], "document_id": [], "score": []})
-
-
-def vector_hits(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
+def _bounds(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Best cosine that a vector of each cell of the owner can have with each question of the block."""
+    width = key[1].as_py()
+    cosine = matrix(left["unit"], width) @ matrix(right["unit"], width).T if left.num_rows and right.num_rows else np.zeros((left.num_rows, right.num_rows))
+    angle = np.arccos(np.clip(cosine, -1, 1)) - right["reach"].to_numpy()
+    best = np.cos(np.maximum(angle, 0)).ravel()
+    q, c = (pa.array(x.ravel()) for x in np.indices(cosine.shape))
+    return pa.table({"question_id": left["question_id"].take(q), **{n: right[n].take(c) for n in ("owner_id", "dim", "cell", "segment", "parts")}, "bound": pa.array(best)})
+
+
+def cell_bounds(asked: DataFrame, cells: VectorCells) -> DataFrame:
+    """(question_id, owner_id, dim, cell, segment, parts, bound) for every question and cell of its owner; vectors do not travel."""
+    centres = cells.lookup("centres", asked, ["owner_id"], ["dim", "cell", "segment", "unit", "reach", "parts"])
+    key = ["owner_id", "dim"]
+    sizes = asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+    left = asked.join(sizes, key).select(*key, F.pmod(F.xxhash64("question_id"), F.col("_blocks")).cast("int").alias("_block"), "question_id", "unit")
+    right = unfold(centres.join(sizes, key), centres.columns, F.sequence(F.lit(0), F.col("_blocks") - 1), "_i", "_block").drop("_i")
+    kind = asked.schema["question_id"].dataType.simpleString()
+    return left.groupBy(*key, "_block").cogroup(fresh(right).groupBy(*key, "_block")).applyInArrow(
+        _bounds, f"question_id {kind}, owner_id long, dim int, cell long, segment string, parts int, bound double")
+
+
+def _best(k: int):
+    """Top ``k`` chunks of one part of a cell for each question of a block, by one matrix product."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("question_id"), right.sort_by("chunk_id")
+        width = key[1].as_py()
+        score = matrix(left["unit"], width) @ matrix(right["unit"], width).T if left.num_rows and right.num_rows else np.zeros((left.num_rows, right.num_rows))
+        listed, sizes = left["q_documents"], pc.fill_null(pc.list_value_length(left["q_documents"]), 0).to_numpy()
+        documents, code = np.unique(right["document_id"].to_numpy(), return_inverse=True)
+        wanted = pc.list_flatten(listed).to_numpy(zero_copy_only=False).astype(np.float64)  # null elements become NaN and match nothing
+        at = np.searchsorted(documents, wanted)
+        there = (at < len(documents)) & (documents[np.minimum(at, len(documents) - 1)] == wanted) if len(documents) else np.zeros(len(wanted), bool)
+        allowed = np.zeros((len(sizes), len(documents)), bool)
+        allowed[np.repeat(np.arange(len(sizes)), sizes)[there], at[there]] = True
+        subject, q_subject = (t[c].to_numpy(zero_copy_only=False).astype(np.float64) for t, c in ((right, "subject_id"), (left, "q_subject")))
+        by_subject = np.isnan(q_subject)[:, None] | (q_subject[:, None] == subject[None])
+        ok = np.where((sizes > 0)[:, None], allowed[:, code], by_subject)
+        order = np.argsort(np.where(ok, -score, np.inf), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(order)), order.shape[1])
+        column = order.ravel()
+        hit = ok[row, column]
+        q, c = pa.array(row[hit]), pa.array(column[hit])
+        return pa.table({"question_id": left["question_id"].take(q), "chunk_id": right["chunk_id"].take(c), "document_id": right["document_id"].take(c), "score": pa.array(score[row, column][hit])})
+
+    return run
+
+
+def meet_cells(pairs: DataFrame, asked: DataFrame, cells: VectorCells, live: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, document_id, score): the best of every visited cell.  A question's vector goes to the cells it visits only; cells
+    meet the questions part by part, block by block."""
+    key = ["owner_id", "dim", "cell", "segment"]
+    members = cells.lookup("members", pairs, ["owner_id", "cell"], ["dim", "segment", "part", "chunk_id", "unit"]).join(live, "chunk_id")
+    sizes = pairs.groupBy(*key, "parts").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+    left = pairs.select("question_id", *key, "parts").join(sizes.drop("parts"), key).join(asked.drop("owner_id", "dim"), "question_id")
+    block = F.pmod(F.xxhash64("question_id"), F.col("_blocks")).cast("int")
+    left = unfold(left, ["question_id", *key, "q_subject", "q_documents", "unit", block.alias("_block")], F.sequence(F.lit(0), F.col("parts") - 1), "_i", "_part").drop("_i")
+    right = members.join(sizes, key).withColumn("_part", F.col("part") % F.col("parts"))
+    right = unfold(right, [*key, "_part", "chunk_id", "document_id", "subject_id", "unit"], F.sequence(F.lit(0), F.col("_blocks") - 1), "_i", "_block").drop("_i")
+    by = [*key, "_part", "_block"]
+    kind = asked.schema["question_id"].dataType.simpleString()
+    return left.groupBy(*by).cogroup(fresh(right).groupBy(*by)).applyInArrow(_best(k), f"question_id {kind}, chunk_id long, document_id long, score double")
+
+
+def stored_cells(embeddings: DataFrame, chunks: DataFrame, docs: DataFrame, version: str = "all") -> VectorCells:
+    """Cells of the vectors (chunk_id, embedding) in the session's shared folder, by the owner of their document."""
+    spark = embeddings.sparkSession
+    owner = docs.select(F.col("id").alias("document_id"), "owner_id")
+    owned = chunks.select(F.col("id").alias("chunk_id"), "document_id").join(owner, "document_id").select("chunk_id", "owner_id")
+    cells = VectorCells(spark, f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}")
+    cells.append(embeddings.select("chunk_id", "embedding").join(owned, "chunk_id"), version)
+    return cells
+
+
+def vector_hits(questions: DataFrame, embeddings: DataFrame | None, chunks: DataFrame, docs: DataFrame, k: int = TOP_K,
+                cells: VectorCells | None = None) -> DataFrame:
     """X1 before the minimum score: exact top ``k`` by cosine similarity per question.
 
-    Every Arrow batch of chunk vectors is multiplied with the question vectors and gives at most ``k`` rows
-    per question.  A question batch of checked size is shipped to the tasks; a larger one is cut into blocks
-    that meet the vector blocks of the same owner, cell by cell, each cell of bounded size.
+    Each question visits the FIRST cells that could hold the best, then only those whose bound reaches its k-th score so far.  One way for
+    any number of questions; ``cells`` are the stored ones of the embeddings, else they are made first.
     """
-    q = scope_columns(questions).select("question_id", "owner_id", "q_subject", "q_documents", "vector")
-    e = (embeddings.filter("embedding is not null").select("chunk_id", "embedding")
-         .join(scoped_chunks(chunks, docs).drop("content"), "chunk_id"))
-    e = e.select("chunk_id", "document_id", "owner_id", "subject_id", "embedding")
-    if fits(q, SHIPPED_QUESTIONS):
-        shipped = questions.sparkSession.sparkContext.broadcast(q.toPandas())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                yield _best(shipped.value, rows, k)
-
-        partial = e.mapInPandas(run, HITS)
-    else:
-        asked = q.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
-        # Questions and vectors meet inside an owner only: its question blocks with its vector blocks.
-        held = e.groupBy("owner_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts"))
-        both = asked.join(held, "owner_id")
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        cells_q = q.join(both, "owner_id").withColumn("qb", block("question_id", "_blocks")).withColumn("eb", each("_parts")).drop("_blocks", "_parts")
-        cells_e = e.join(both, "owner_id").withColumn("eb", block("chunk_id", "_parts")).withColumn("qb", each("_blocks")).drop("_blocks", "_parts")
-        key = ["owner_id", "qb", "eb"]
-        partial = cells_q.groupBy(*key).cogroup(cells_e.groupBy(*key)).applyInPandas(lambda left, right: _best(left, right, k), HITS)
-    return top_k(partial, "question_id", k)
-
-
-def vector_search(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP_K,
-                  min_score: float = MIN_SCORE) -> DataFrame:
+    cells = cells or stored_cells(embeddings, chunks, docs)
+    q = scope_columns(questions).withColumn("owner_id", F.col("owner_id").cast("long"))
+    asked = cut(units(q, ["question_id", "owner_id", "q_subject", "q_documents"], "vector"))
+    live = scoped_chunks(chunks, docs).select("chunk_id", "document_id", "subject_id")
+    bounds = cut(top_per_key(cell_bounds(asked, cells), ["question_id"], [F.desc("bound"), F.asc("cell"), F.asc("segment")], 1 << 30, "_visit"))
+    first = cut(top_k(meet_cells(bounds.filter(F.col("_visit") <= FIRST), asked, cells, live, k), "question_id", k))
+    least = first.groupBy("question_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_least"))
+    more = bounds.filter(F.col("_visit") > FIRST).join(least, "question_id", "left").filter(F.coalesce(F.col("bound") >= F.col("_least") - 1e-9, F.lit(True)))
+    more = cut(more.select(*bounds.columns))
+    found = first.drop("rank_order")
+    if more.limit(1).count():
+        found = found.unionByName(meet_cells(more, asked, cells, live, k))
+    return top_k(found, "question_id", k)
+
+
+def vector_search(questions: DataFrame, embeddings: DataFrame | None, chunks: DataFrame, docs: DataFrame, k: int = TOP_K,
+                  min_score: float = MIN_SCORE, cells: VectorCells | None = None) -> DataFrame:
     """The minimum score applies after the top ``k``."""
-    return vector_hits(questions, embeddings, chunks, docs, k).filter(F.col("score") >= min_score)
+    return vector_hits(questions, embeddings, chunks, docs, k, cells).filter(F.col("score") >= min_score)
 
 
 def covers_of(met: Column, terms: Column) -> Column:
@@ -219,19 +251,19 @@ def substring_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None,
-             k: int = TOP_K, index=None) -> DataFrame:
+             k: int = TOP_K, index=None, cells: VectorCells | None = None) -> DataFrame:
     """X4 + U-3: vector search, then text, then substring for the questions still without an answer.
 
     A question whose vector search returned rows stops there, even if all were below the minimum score.  With a stored ``index`` of the
-    chunks (``sources.search_index``) text and substring search read its lists instead of the texts.
+    chunks (``sources.search_index``) text and substring search read its lists instead of the texts; ``cells`` are those of the embeddings.
     """
     from studyloom.operators import indexed_search
 
     columns = ["question_id", "chunk_id", "document_id", "score", "rank_order"]
     open_, tiers = questions, []
     # Every tier is at most k rows per question; it is kept so that the next one is asked the open questions only.
-    if embeddings is not None and "vector" in questions.columns:
-        hits = cut(vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k).select(columns))
+    if (embeddings is not None or cells is not None) and "vector" in questions.columns:
+        hits = cut(vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k, cells).select(columns))
         tiers.append((hits.filter(F.col("score") >= MIN_SCORE), hits))
         open_ = open_.join(hits.select("question_id").distinct(), "question_id", "left_anti")
     found = text_search(open_, chunks, docs, k) if index is None else indexed_search.text_search(open_, index, chunks, docs, k)

@@ -15,6 +15,7 @@ from studyloom.plans.text_queries import BOOK, TEXT, books, lines, pairs, re_, s
 from studyloom.plans.views import oracle
 from studyloom.session import checkpoint_dir, spread
 from studyloom.sources.search_index import SearchIndex
+from studyloom.sources.vector_cells import VectorCells
 
 # ------------------------------------------------------------------------------------ C3-C6
 # One step of the sizing rule per round: the last break inside the window, then the aligned overlap.
@@ -151,22 +152,32 @@ def wide_chunks(t):
     return spread(t.chunks)
 
 
+# Stored indexes of a folder, written once a session.
+_INDEXED: dict[tuple[str, str], SearchIndex] = {}
+_CELLS: dict[tuple[str, str], VectorCells] = {}
+
+
+def cells_of(t):
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _CELLS:
+        _CELLS[key] = rt.stored_cells(t.vectors, t.chunks, t.documents)
+    return _CELLS[key]
+
+
 def vector_top(t):
-    hits = rt.vector_hits(with_vectors(t), t.vectors, t.chunks, t.documents)
+    hits = rt.vector_hits(with_vectors(t), t.vectors, t.chunks, t.documents, cells=cells_of(t))
     return hits.join(t.chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
 
 
 @query("vector_search", oracle("vtop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from vtop where score >= 0.05", SEARCH))
 def vector_search(t):
-    out = rt.vector_search(with_vectors(t), t.vectors, t.chunks, t.documents)
+    out = rt.vector_search(with_vectors(t), t.vectors, t.chunks, t.documents, cells=cells_of(t))
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
-_INDEXED: dict[tuple[str, str], SearchIndex] = {}
 
 
 def index_of(t):
-    """The stored index of a folder's chunks, written once a session."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _INDEXED:
         index = SearchIndex(t.spark, f"{checkpoint_dir(t.spark)}/search-{uuid.uuid4().hex}")
@@ -218,7 +229,7 @@ def substring_search_whole(t):
 def retrieval(t):
     """Even questions have a vector; the others start at text search."""
     q = with_vectors(t, "left").withColumn("vector", F.when(F.col("question_id") % 2 == 0, F.col("vector")))
-    return rt.retrieve(q, t.chunks, t.documents, t.vectors, index=index_of(t)).select(
+    return rt.retrieve(q, t.chunks, t.documents, index=index_of(t), cells=cells_of(t)).select(
         "question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 

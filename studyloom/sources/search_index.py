@@ -1,9 +1,7 @@
 """Stored search index of chunks: word postings with positions, character trigrams and texts.
 
-Every append writes one segment under a name of its own and then a one-row note that makes it count, so a reader sees whole segments only
-and a repeated append replaces itself.  Tables are cut into buckets by what they are looked up by (owner and term, owner and trigram, chunk),
-sorted inside a bucket; a question reads the folders of its buckets and no others.  Buckets are written by as many tasks as their size asks
-for, so a frequent term of a large owner is no single task.
+Tables are kept in segments (``sources.segments``), cut into buckets by what they are looked up by: owner and term, owner and trigram, chunk.
+A question reads the folders of its buckets and no others.
 
 Which chunks count is decided when a question is asked (``is_active``, READY documents): a superseded chunk set leaves the index the moment
 its rows say so, and ``compact`` drops its postings from storage later.
@@ -17,36 +15,22 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from studyloom.functions.text import words
+from studyloom.sources.segments import Segments
 
-# Folders a table is cut into.
-BUCKETS = 64
 # Chunk ids that share a part: a trigram's list is kept in parts, so no list grows with an owner.
 PART = 4096
 # Characters in a gram, and the bits of one: code points have 21.
 GRAM, BITS = 3, 21
 
-TABLES = {
-    "postings": "owner_id long, term string, chunk_id long, tf int, positions array<int>, bucket int",
-    "terms": "owner_id long, term string, chunks long, bucket int",
-    "grams": "owner_id long, gram long, part long, ids array<long>, bucket int",
-    "gram_sizes": "owner_id long, gram long, chunks long, bucket int",
-    "texts": "chunk_id long, content string, bucket int",
-}
-NOTE = "version string, segment string, replaces array<string>"
-
 
 def tokens(text: Column) -> Column:
     """Words of a text as searches compare them."""
     return words(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def bucket_of(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-
-
 def gram_codes(text: str) -> np.ndarray:
     """Distinct trigrams of a text, sorted, three code points in one number each."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -103,11 +87,16 @@ def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["owner_id", "gram", "part", "ids"])
 
 
-class SearchIndex:
+class SearchIndex(Segments):
     """The index under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    TABLES = {
+        "postings": "owner_id long, term string, chunk_id long, tf int, positions array<int>, bucket int",
+        "terms": "owner_id long, term string, chunks long, bucket int",
+        "grams": "owner_id long, gram long, part long, ids array<long>, bucket int",
+        "gram_sizes": "owner_id long, gram long, chunks long, bucket int",
+        "texts": "chunk_id long, content string, bucket int",
+    }
 
     # ------------------------------------------------------------------------------ writing
     def append(self, chunks: DataFrame, version: str) -> None:
@@ -125,11 +114,6 @@ class SearchIndex:
         self._count(segment)
         self._note(version, segment, [])
 
-    def _write(self, segment: str, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
-        dealt = rows.withColumn("bucket", bucket_of(*keys)).hint("rebalance", "bucket")
-        (dealt.sortWithinPartitions("bucket", *keys, *order).write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
-         .partitionBy("bucket").parquet(f"{self.root}/{segment}/{table}"))
-
     def _count(self, segment: str) -> None:
         """Numbers of chunks by term and by trigram, from the written lists."""
         terms = self._of(segment, "postings").groupBy("owner_id", "term").agg(F.count(F.lit(1)).alias("chunks"))
@@ -137,10 +121,6 @@ class SearchIndex:
         sizes = self._of(segment, "grams").groupBy("owner_id", "gram").agg(F.sum(F.size("ids")).alias("chunks"))
         self._write(segment, "gram_sizes", sizes, ["owner_id", "gram"], [])
 
-    def _note(self, version: str, segment: str, replaces: list[str]) -> None:
-        note = self.spark.createDataFrame([(version, segment, replaces)], NOTE)
-        note.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_notes/{uuid.uuid5(uuid.NAMESPACE_OID, version).hex}")
-
     def compact(self, live: DataFrame, version: str) -> None:
         """One segment of the chunks in ``live`` (chunk_id) from all that count now; the old ones stop counting with the new one's note."""
         old, segment = self._notes(), f"segment-{uuid.uuid4().hex}"
@@ -154,34 +134,6 @@ class SearchIndex:
         self._note(version, segment, [n["version"] for n in old if n["version"] != version])
 
     # ------------------------------------------------------------------------------ reading
-    def _notes(self) -> list[dict]:
-        """Notes that count: one small row a version, less those that a later one replaces."""
-        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_notes")
-        if not files.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-            return []
-        notes = [r.asDict() for r in self.spark.read.schema(NOTE).parquet(f"{self.root}/_notes/*").collect()]
-        gone = {v for n in notes for v in n["replaces"]}
-        return [n for n in notes if n["version"] not in gone]
-
-    def versions(self) -> list[str]:
-        return sorted(n["version"] for n in self._notes())
-
-    def _of(self, segment: str, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{segment}/{table}")
-
-    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of all segments, of some buckets only."""
-        parts = [self._of(n["segment"], name) for n in self._notes()]
-        total = parts[0] if parts else self.spark.createDataFrame([], TABLES[name])
-        for more in parts[1:]:
-            total = total.unionByName(more)
-        return total if buckets is None else total.where(F.col("bucket").isin(buckets))
-
-    def lookup(self, name: str, wanted: DataFrame, keys: list[str], columns: list[str], stored_by: list[str] | None = None) -> DataFrame:
-        """Rows of a table with keys in ``wanted``: reads the folders of the wanted buckets, of which there are at most BUCKETS."""
-        buckets = sorted(r["bucket"] for r in wanted.select(bucket_of(*(stored_by or keys)).alias("bucket")).distinct().collect())
-        return self.table(name, buckets).select(*keys, *columns).join(wanted.select(*keys).distinct(), keys, "left_semi")
-
     def counts(self, name: str, wanted: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, chunks) over all segments, superseded chunks included: good enough to tell rare from frequent."""
         return self.lookup(name, wanted, keys, ["chunks"]).groupBy(*keys).agg(F.sum("chunks").alias("chunks"))

@@ -134,31 +134,6 @@ def test_cover_density(spark):
     assert score("a a", ["a", "b"]) == 0
 
 
-def test_vector_blocks_equal_shipped(spark, monkeypatch):
-    import random
-
-    rng = random.Random(3)
-    emb = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "chunk_id long, embedding array<float>")
-    chunks = spark.createDataFrame([(i, i % 5, True, f"t{i}") for i in range(60)], "id long, document_id long, is_active boolean, content string")
-    docs = spark.createDataFrame([(i, i % 2, i % 3, "READY" if i < 4 else "FAILED") for i in range(5)], "id long, owner_id long, subject_id long, status string")
-    q = spark.createDataFrame([(i, i % 2, (1 if i % 3 == 0 else None), ([0, 1] if i % 3 == 1 else None), [rng.random() for _ in range(4)]) for i in range(9)],
-                              "question_id long, owner_id long, subject_id long, document_ids array<long>, vector array<float>")
-    key = ["question_id", "chunk_id", "rank_order"]
-    a = sorted(tuple(r) for r in rt.vector_hits(q, emb, chunks, docs).select(key).collect())
-    monkeypatch.setattr(rt, "SHIPPED_QUESTIONS", 2)
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 4)
-    b = sorted(tuple(r) for r in rt.vector_hits(q, emb, chunks, docs).select(key).collect())
-    assert a == b and len(a) > 20
-    import numpy as np
-    E = {r.chunk_id: np.array(r.embedding) for r in emb.collect()}
-    for r in q.collect():
-        ok = [c for c in E if c % 5 < 4 and (c % 5) % 2 == r.owner_id and (
-            c % 5 in r.document_ids if r.document_ids else r.subject_id is None or (c % 5) % 3 == r.subject_id)]
-        v = np.array(r.vector)
-        best = sorted(ok, key=lambda c: (-(v @ E[c]) / np.linalg.norm(v) / np.linalg.norm(E[c]), c))[:5]
-        assert [x[1] for x in a if x[0] == r.question_id] == sorted(best)
-
-
 def test_cascade_stops_at_low_vector_scores(spark):
     d = lambda r: spark.createDataFrame(r, "question_id long, chunk_id long")
     out = lists.cascade([(d([(1, 1)]), d([(1, 1), (2, 9)])), (d([(1, 5), (2, 5), (3, 5)]), d([(3, 5)])), (d([(3, 7), (4, 7)]), d([(4, 7)]))], "question_id")
