@@ -11,9 +11,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from studyloom.operators.numbering import fresh, top_per_key, unfold
+from studyloom.operators.numbering import fresh, unfold
 from studyloom.operators.lists import cascade, citations, top_k
 from studyloom.session import checkpoint_dir, cut
 from studyloom.sources.search_index import tokens
@@ -22,8 +22,8 @@ from studyloom.sources.vector_cells import VectorCells, matrix, units
 # Fixed values of retrieval.
 TOP_K, MIN_SCORE, SUBSTRING_SCORE = 5, 0.05, 0.01
 
-# Questions that meet a part of a cell at once; cells a question visits before it has a score to beat.
-BLOCK_ROWS, FIRST = 1024, 4
+# Questions that meet a part of a cell at once; vectors a question meets, about, before it has a score to beat.
+BLOCK_ROWS, FIRST = 1024, 4096
 QUERIES_PER_ARRAY = 500
 
 
@@ -57,19 +57,19 @@ def _bounds(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     angle = np.arccos(np.clip(cosine, -1, 1)) - right["reach"].to_numpy()
     best = np.cos(np.maximum(angle, 0)).ravel()
     q, c = (pa.array(x.ravel()) for x in np.indices(cosine.shape))
-    return pa.table({"question_id": left["question_id"].take(q), **{n: right[n].take(c) for n in ("owner_id", "dim", "cell", "segment", "parts")}, "bound": pa.array(best)})
+    return pa.table({"question_id": left["question_id"].take(q), **{n: right[n].take(c) for n in ("owner_id", "dim", "cell", "segment", "vectors", "parts")}, "bound": pa.array(best)})
 
 
 def cell_bounds(asked: DataFrame, cells: VectorCells) -> DataFrame:
-    """(question_id, owner_id, dim, cell, segment, parts, bound) for every question and cell of its owner; vectors do not travel."""
-    centres = cells.lookup("centres", asked, ["owner_id"], ["dim", "cell", "segment", "unit", "reach", "parts"])
+    """(question_id, owner_id, dim, cell, segment, vectors, parts, bound) for every question and cell of its owner; vectors do not travel."""
+    centres = cells.lookup("centres", asked, ["owner_id"], ["dim", "cell", "segment", "unit", "reach", "vectors", "parts"])
     key = ["owner_id", "dim"]
     sizes = asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
     left = asked.join(sizes, key).select(*key, F.pmod(F.xxhash64("question_id"), F.col("_blocks")).cast("int").alias("_block"), "question_id", "unit")
     right = unfold(centres.join(sizes, key), centres.columns, F.sequence(F.lit(0), F.col("_blocks") - 1), "_i", "_block").drop("_i")
     kind = asked.schema["question_id"].dataType.simpleString()
     return left.groupBy(*key, "_block").cogroup(fresh(right).groupBy(*key, "_block")).applyInArrow(
-        _bounds, f"question_id {kind}, owner_id long, dim int, cell long, segment string, parts int, bound double")
+        _bounds, f"question_id {kind}, owner_id long, dim int, cell long, segment string, vectors long, parts int, bound double")
 
 
 def _best(k: int):
@@ -129,21 +129,22 @@ def vector_hits(questions: DataFrame, embeddings: DataFrame | None, chunks: Data
                 cells: VectorCells | None = None) -> DataFrame:
     """X1 before the minimum score: exact top ``k`` by cosine similarity per question.
 
-    Each question visits the FIRST cells that could hold the best, then only those whose bound reaches its k-th score so far.  One way for
+    Each question visits the likeliest cells, FIRST vectors of them, then only those whose bound reaches its k-th score so far.  One way for
     any number of questions; ``cells`` are the stored ones of the embeddings, else they are made first.
     """
     cells = cells or stored_cells(embeddings, chunks, docs)
     q = scope_columns(questions).withColumn("owner_id", F.col("owner_id").cast("long"))
     asked = cut(units(q, ["question_id", "owner_id", "q_subject", "q_documents"], "vector"))
     live = scoped_chunks(chunks, docs).select("chunk_id", "document_id", "subject_id")
-    bounds = cut(top_per_key(cell_bounds(asked, cells), ["question_id"], [F.desc("bound"), F.asc("cell"), F.asc("segment")], 1 << 30, "_visit"))
-    first = cut(top_k(meet_cells(bounds.filter(F.col("_visit") <= FIRST), asked, cells, live, k), "question_id", k))
+    earlier = W.partitionBy("question_id").orderBy(F.desc("bound"), "cell", "segment").rowsBetween(W.unboundedPreceding, -1)
+    bounds = cut(cell_bounds(asked, cells).withColumn("_before", F.coalesce(F.sum("vectors").over(earlier), F.lit(0))))
+    first = cut(top_k(meet_cells(bounds.filter(F.col("_before") < FIRST), asked, cells, live, k), "question_id", k))
     least = first.groupBy("question_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_least"))
-    more = bounds.filter(F.col("_visit") > FIRST).join(least, "question_id", "left").filter(F.coalesce(F.col("bound") >= F.col("_least") - 1e-9, F.lit(True)))
-    more = cut(more.select(*bounds.columns))
+    more = bounds.filter(F.col("_before") >= FIRST).join(least, "question_id", "left").filter(F.coalesce(F.col("bound") >= F.col("_least") - 1e-9, F.lit(True)))
+    more = more.select(*bounds.columns)
     found = first.drop("rank_order")
     if more.limit(1).count():
-        found = found.unionByName(meet_cells(more, asked, cells, live, k))
+        found = found.unionByName(meet_cells(cut(more), asked, cells, live, k))
     return top_k(found, "question_id", k)
 
 
@@ -251,11 +252,12 @@ def substring_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embeddings: DataFrame | None = None,
-             k: int = TOP_K, index=None, cells: VectorCells | None = None) -> DataFrame:
+             k: int = TOP_K, words=None, grams=None, cells: VectorCells | None = None) -> DataFrame:
     """X4 + U-3: vector search, then text, then substring for the questions still without an answer.
 
-    A question whose vector search returned rows stops there, even if all were below the minimum score.  With a stored ``index`` of the
-    chunks (``sources.search_index``) text and substring search read its lists instead of the texts; ``cells`` are those of the embeddings.
+    A question whose vector search returned rows stops there, even if all were below the minimum score.  With stored indexes of
+    the chunks (``sources.search_index``; one may serve as both) text and substring search read their lists instead of the texts; ``cells``
+    are those of the embeddings.
     """
     from studyloom.operators import indexed_search
 
@@ -266,15 +268,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedding
         hits = cut(vector_hits(questions.filter("vector is not null"), embeddings, chunks, docs, k, cells).select(columns))
         tiers.append((hits.filter(F.col("score") >= MIN_SCORE), hits))
         open_ = open_.join(hits.select("question_id").distinct(), "question_id", "left_anti")
-    found = text_search(open_, chunks, docs, k) if index is None else indexed_search.text_search(open_, index, chunks, docs, k)
+    found = text_search(open_, chunks, docs, k) if words is None else indexed_search.text_search(open_, words, chunks, docs, k)
     text = cut(found.select(columns))
     tiers.append((text, text))
     open_ = cut(open_.join(text.select("question_id").distinct(), "question_id", "left_anti"))
-    like = substring_search(open_, chunks, docs, k) if index is None else indexed_search.substring_search(open_, index, chunks, docs, k)
+    like = substring_search(open_, chunks, docs, k) if grams is None else indexed_search.substring_search(open_, grams, chunks, docs, k)
     tiers.append((like.select(columns), like))
     served = cascade(tiers, "question_id")
-    if index is not None:
-        return served.join(index.lookup("texts", served, ["chunk_id"], ["content"]), "chunk_id")
+    if words is not None:
+        return served.join(words.lookup("texts", served, ["chunk_id"], ["content"]), "chunk_id")
     return served.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
 
 

@@ -153,7 +153,7 @@ def wide_chunks(t):
 
 
 # Stored indexes of a folder, written once a session.
-_INDEXED: dict[tuple[str, str], SearchIndex] = {}
+_INDEXED: dict[tuple[str, str, str], SearchIndex] = {}
 _CELLS: dict[tuple[str, str], VectorCells] = {}
 
 
@@ -177,19 +177,44 @@ def vector_search(t):
 
 
 
-def index_of(t):
-    key = (t.spark.sparkContext.applicationId, t.folder)
+def index_of(t, kind):
+    """Index of words or of trigrams; each is written when it is asked first."""
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
     if key not in _INDEXED:
         index = SearchIndex(t.spark, f"{checkpoint_dir(t.spark)}/search-{uuid.uuid4().hex}")
         owned = wide_chunks(t).join(t.documents.select(F.col("id").alias("document_id"), "owner_id"), "document_id")
-        index.append(owned.select("owner_id", F.col("id").alias("chunk_id"), "content"), "all")
+        index.append(owned.select("owner_id", F.col("id").alias("chunk_id"), "content"), "all", (kind,))
         _INDEXED[key] = index
     return _INDEXED[key]
 
 
+@query("indexed_terms", oracle("chunks ldocs", """select owner_id, term, count(*) as chunks, sum(n)::bigint as places from (select d.owner_id, c.id, unnest(regexp_extract_all(lower(c.content), '[\\p{L}\\p{N}_]+')) as term, 1 as n
+    from chunks c join ldocs d on d.id = c.document_id) x group by owner_id, term""").replace("count(*) as chunks", "count(distinct id) as chunks"))
+def indexed_terms(t):
+    """Chunks and places of every term of an owner, from the stored postings."""
+    held = index_of(t, "words").table("postings")
+    return held.groupBy("owner_id", "term").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("positions")).alias("places"))
+
+
+@query("indexed_grams", oracle("chunks ldocs", """select owner_id, gram, count(distinct id) as chunks from (select d.owner_id, c.id, substr(lower(c.content), i, 3) as gram
+    from chunks c join ldocs d on d.id = c.document_id, lateral (select unnest(range(1, length(lower(c.content)) - 1)) as i)) x group by owner_id, gram"""))
+def indexed_grams(t):
+    """Chunks with every trigram of an owner, from the stored lists."""
+    held = index_of(t, "grams").table("grams").groupBy("owner_id", "gram").agg(F.sum(F.size("ids")).alias("chunks"))
+    text = lambda shift: F.decode(F.unhex(F.lpad(F.hex(F.shiftright("gram", shift).bitwiseAND(F.lit((1 << 21) - 1))), 8, "0")), "UTF-32")
+    return held.select("owner_id", F.concat(text(42), text(21), text(0)).alias("gram"), "chunks")
+
+
+@query("celled_vectors", oracle("chunks ldocs vectors", """select d.owner_id, count(*) as vectors from vectors v join chunks c on c.id = v.chunk_id join ldocs d on d.id = c.document_id
+    where len(list_filter(v.embedding, lambda x: x <> 0)) > 0 group by 1"""))
+def celled_vectors(t):
+    """Vectors of every owner, from the stored cells."""
+    return cells_of(t).table("centres").groupBy("owner_id").agg(F.sum("vectors").alias("vectors"))
+
+
 @query("text_search", oracle("ttop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from ttop", SEARCH))
 def text_search(t):
-    out = ix.text_search(asked(t), index_of(t), t.chunks, t.documents)
+    out = ix.text_search(asked(t), index_of(t, "words"), t.chunks, t.documents)
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
@@ -197,7 +222,7 @@ def text_search(t):
 def substring_search(t):
     """A third of the questions start with a backslash, which makes the letter after it stand for itself."""
     q = asked(t).withColumn("query", F.when(F.col("question_id") % 3 == 1, F.concat(F.lit("\\"), "q2")).otherwise(F.col("q2")))
-    return ix.substring_search(q, index_of(t), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
+    return ix.substring_search(q, index_of(t, "grams"), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
 
 
 WHOLE = {**SEARCH, "asked": ((), """select item_id as question_id, item_id % 7 as owner_id, cast(null as bigint) as subject_id, cast([] as bigint[]) as document_ids,
@@ -211,13 +236,13 @@ def asked_whole(t):
 
 @query("text_search_whole", oracle("ttop", "select question_id, chunk_id, document_id, round(score, 6) as score, rank_order from ttop", WHOLE))
 def text_search_whole(t):
-    out = ix.text_search(asked_whole(t), index_of(t), t.chunks, t.documents)
+    out = ix.text_search(asked_whole(t), index_of(t, "words"), t.chunks, t.documents)
     return out.select("question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 
 @query("substring_search_whole", oracle("stop", "select question_id, chunk_id, document_id, score, rank_order from stop", WHOLE))
 def substring_search_whole(t):
-    return ix.substring_search(asked_whole(t), index_of(t), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
+    return ix.substring_search(asked_whole(t), index_of(t, "grams"), t.chunks, t.documents).select("question_id", "chunk_id", "document_id", "score", "rank_order")
 
 
 @query("retrieval", oracle("vtop ttop stop asked", """, v as (select question_id, chunk_id, document_id, score, rank_order from vtop where question_id % 2 = 0),
@@ -229,7 +254,7 @@ def substring_search_whole(t):
 def retrieval(t):
     """Even questions have a vector; the others start at text search."""
     q = with_vectors(t, "left").withColumn("vector", F.when(F.col("question_id") % 2 == 0, F.col("vector")))
-    return rt.retrieve(q, t.chunks, t.documents, index=index_of(t), cells=cells_of(t)).select(
+    return rt.retrieve(q, t.chunks, t.documents, words=index_of(t, "words"), grams=index_of(t, "grams"), cells=cells_of(t)).select(
         "question_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank_order")
 
 

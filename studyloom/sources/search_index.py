@@ -99,39 +99,45 @@ class SearchIndex(Segments):
     }
 
     # ------------------------------------------------------------------------------ writing
-    def append(self, chunks: DataFrame, version: str) -> None:
+    def append(self, chunks: DataFrame, version: str, kinds: tuple[str, ...] = ("words", "grams")) -> None:
         """Index ``chunks`` (owner_id, chunk_id, content) as one segment.  The same version again replaces what it wrote before.
 
-        Null texts have no words; a chunk belongs to one version.
+        Null texts have no words; a chunk belongs to one version.  ``kinds`` says what the index is for, the same in every append.
         """
         rows = chunks.select(F.col("owner_id").cast("long").alias("owner_id"), F.col("chunk_id").cast("long").alias("chunk_id"), "content").where("owner_id is not null and chunk_id is not null")
         segment = f"segment-{uuid.uuid4().hex}"
-        postings = rows.select("owner_id", "chunk_id", tokens(F.col("content")).alias("tokens")).mapInArrow(_postings, "owner_id long, term string, chunk_id long, tf int, positions array<int>")
-        self._write(segment, "postings", postings, ["owner_id", "term"], ["chunk_id"])
-        low = rows.select("owner_id", "chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
-        self._write(segment, "grams", low.mapInArrow(_gram_lists, "owner_id long, gram long, part long, ids array<long>"), ["owner_id", "gram"], ["part"])
+        if "words" in kinds:
+            postings = rows.select("owner_id", "chunk_id", tokens(F.col("content")).alias("tokens")).mapInArrow(_postings, "owner_id long, term string, chunk_id long, tf int, positions array<int>")
+            self._write(segment, "postings", postings, ["owner_id", "term"], ["chunk_id"])
+        if "grams" in kinds:
+            low = rows.select("owner_id", "chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+            self._write(segment, "grams", low.mapInArrow(_gram_lists, "owner_id long, gram long, part long, ids array<long>"), ["owner_id", "gram"], ["part"])
         self._write(segment, "texts", rows.select("chunk_id", "content"), ["chunk_id"], [])
-        self._count(segment)
+        self._count(segment, kinds)
         self._note(version, segment, [])
 
-    def _count(self, segment: str) -> None:
+    def _count(self, segment: str, kinds: tuple[str, ...]) -> None:
         """Numbers of chunks by term and by trigram, from the written lists."""
-        terms = self._of(segment, "postings").groupBy("owner_id", "term").agg(F.count(F.lit(1)).alias("chunks"))
-        self._write(segment, "terms", terms, ["owner_id", "term"], [])
-        sizes = self._of(segment, "grams").groupBy("owner_id", "gram").agg(F.sum(F.size("ids")).alias("chunks"))
-        self._write(segment, "gram_sizes", sizes, ["owner_id", "gram"], [])
-
-    def compact(self, live: DataFrame, version: str) -> None:
+        if "words" in kinds:
+            terms = self._of(segment, "postings").groupBy("owner_id", "term").agg(F.count(F.lit(1)).alias("chunks"))
+            self._write(segment, "terms", terms, ["owner_id", "term"], [])
+        if "grams" in kinds:
+            sizes = self._of(segment, "grams").groupBy("owner_id", "gram").agg(F.sum(F.size("ids")).alias("chunks"))
+            self._write(segment, "gram_sizes", sizes, ["owner_id", "gram"], [])
+
+    def compact(self, live: DataFrame, version: str, kinds: tuple[str, ...] = ("words", "grams")) -> None:
         """One segment of the chunks in ``live`` (chunk_id) from all that count now; the old ones stop counting with the new one's note."""
-        old, segment = self._notes(), f"segment-{uuid.uuid4().hex}"
+        old, segment = self.versions(), f"segment-{uuid.uuid4().hex}"
         alive = live.select("chunk_id").distinct()
-        self._write(segment, "postings", self.table("postings").drop("bucket").join(alive, "chunk_id", "left_semi"), ["owner_id", "term"], ["chunk_id"])
-        ids = self.table("grams").select("owner_id", "gram", "part", F.explode("ids").alias("chunk_id")).join(alive, "chunk_id", "left_semi")
-        lists = ids.groupBy("owner_id", "gram", "part").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
-        self._write(segment, "grams", lists, ["owner_id", "gram"], ["part"])
+        if "words" in kinds:
+            self._write(segment, "postings", self.table("postings").drop("bucket").join(alive, "chunk_id", "left_semi"), ["owner_id", "term"], ["chunk_id"])
+        if "grams" in kinds:
+            ids = self.table("grams").select("owner_id", "gram", "part", F.explode("ids").alias("chunk_id")).join(alive, "chunk_id", "left_semi")
+            lists = ids.groupBy("owner_id", "gram", "part").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+            self._write(segment, "grams", lists, ["owner_id", "gram"], ["part"])
         self._write(segment, "texts", self.table("texts").drop("bucket").join(alive, "chunk_id", "left_semi"), ["chunk_id"], [])
-        self._count(segment)
-        self._note(version, segment, [n["version"] for n in old if n["version"] != version])
+        self._count(segment, kinds)
+        self._note(version, segment, [v for v in old if v != version])
 
     # ------------------------------------------------------------------------------ reading
     def counts(self, name: str, wanted: DataFrame, keys: list[str]) -> DataFrame:

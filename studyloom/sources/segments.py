@@ -11,8 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Folders a table is cut into.
-BUCKETS = 64
+# Folders a table is cut into; up to 32 are listed by the driver itself.
+BUCKETS = 32
 NOTE = "version string, segment string, replaces array<string>"
 
 
@@ -21,12 +21,20 @@ def bucket_of(*columns: str) -> Column:
 
 
 class Segments:
-    """Segments of the tables in ``TABLES`` (name -> schema, the last column being the bucket) under ``root``."""
+    """Segments of the tables in ``TABLES`` (name -> schema, the last column being the bucket) under ``root``.
+
+    Notes and file lists are read once; ``refresh`` makes later changes by others visible.
+    """
 
     TABLES: dict[str, str] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.refresh()
+
+    def refresh(self) -> None:
+        self._noted: list[dict] | None = None
+        self._frames: dict[tuple[str, str], DataFrame] = {}
 
     def _write(self, segment: str, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
         dealt = rows.withColumn("bucket", bucket_of(*keys)).hint("rebalance", "bucket")
@@ -36,9 +44,15 @@ class Segments:
     def _note(self, version: str, segment: str, replaces: list[str]) -> None:
         note = self.spark.createDataFrame([(version, segment, replaces)], NOTE)
         note.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_notes/{uuid.uuid5(uuid.NAMESPACE_OID, version).hex}")
+        self.refresh()
 
     def _notes(self) -> list[dict]:
         """Notes that count: one small row a version, less those that a later one replaces."""
+        if self._noted is None:
+            self._noted = self._read_notes()
+        return self._noted
+
+    def _read_notes(self) -> list[dict]:
         files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_notes")
         if not files.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
             return []
@@ -50,7 +64,9 @@ class Segments:
         return sorted(n["version"] for n in self._notes())
 
     def _of(self, segment: str, table: str) -> DataFrame:
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/{segment}/{table}")
+        if (segment, table) not in self._frames:
+            self._frames[segment, table] = self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/{segment}/{table}")
+        return self._frames[segment, table]
 
     def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """Rows of all segments, of some buckets only."""

@@ -61,7 +61,7 @@ class VectorCells(Segments):
     """The cells under ``root``; a cell is named by the chunk of its centre."""
 
     TABLES = {
-        "centres": "owner_id long, dim int, cell long, segment string, unit array<double>, reach double, parts int, bucket int",
+        "centres": "owner_id long, dim int, cell long, segment string, unit array<double>, reach double, vectors long, parts int, bucket int",
         "members": "owner_id long, dim int, cell long, segment string, part int, chunk_id long, unit array<double>, bucket int",
     }
 
@@ -85,7 +85,7 @@ class VectorCells(Segments):
         self._write(segment, "members", held, ["owner_id", "cell"], ["part", "chunk_id"])
         # How far a cell reaches and how many parts it has is known only now; members keep a fine number that parts are made of.
         written = self.spark.read.schema("owner_id long, dim int, cell long, angle double, bucket int").parquet(f"{self.root}/{segment}/members")
-        reach = written.groupBy(*key, "cell").agg(F.max("angle").alias("reach"), F.least(F.lit(BLOCK), F.ceil(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
+        reach = written.groupBy(*key, "cell").agg(F.max("angle").alias("reach"), F.count(F.lit(1)).alias("vectors"), F.least(F.lit(BLOCK), F.ceil(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
         self._write(segment, "centres", centres.drop("blocks").join(reach, [*key, "cell"]).withColumn("segment", F.lit(segment)), ["owner_id"], ["cell"])
         self._note(version, segment, replaces or [])
 

@@ -47,9 +47,10 @@ def clustered(n, seed, width=8):
 @pytest.mark.parametrize("kind", ["isotropic", "clustered"])
 def test_equals_all_cosines(spark, monkeypatch, kind):
     """Owners of many cells, cells of many parts, questions of many blocks."""
-    for name, value in (("BLOCK", 64), ("PART", 16)):
+    for name, value in (("BLOCK", 128), ("PART", 16)):
         monkeypatch.setattr(vc, name, value)
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(rt, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(rt, "FIRST", 30)
     rng = np.random.default_rng(1)
     vectors = clustered(400, 2) if kind == "clustered" else rng.normal(size=(400, 8)).tolist()
     asked = [(i, 1 + i % 2, (i % 3 if i % 4 == 0 else None), ([0, 1, 8, 77] if i % 5 == 0 else None), v) for i, v in enumerate(clustered(20, 3) if kind == "clustered" else rng.normal(size=(20, 8)).tolist())]
@@ -72,6 +73,7 @@ def test_odd_vectors(spark):
 
 def test_cells_are_skipped_and_appended(spark, monkeypatch):
     """On clustered vectors most cells cannot hold a better one; sets that are appended or superseded count at once."""
+    monkeypatch.setattr(rt, "FIRST", 30)
     vectors = clustered(600, 5)
     emb, chunks, docs = tables(spark, vectors)
     cells = rt.stored_cells(emb.where("chunk_id < 400"), chunks, docs, "1")
