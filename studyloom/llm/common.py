@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,6 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a lost executor costs a read, not the work."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -35,10 +35,36 @@ def fold_of(doc_id: F.Column | str, folds: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
+# Bits of a filter of ids at most: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose id is in ``ids``: a left semi join whose larger side is thinned first by a bit for each hash of an id.
+
+    The filter is bounded whatever the number of ids; with very many it only lets more rows through to the join.
+    """
+    bits = min(FILTER_BITS, max(64, 16 * ids.count()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.where(F.col(key).isNotNull()).select((spot(key) / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot(key) % 64).cast("int")).alias("bit"))
+    set_ = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(-(-bits // 64), np.int64)
+    table[set_["word"].to_numpy()] = set_["bits"].to_numpy()
+    shipped = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(place: pd.Series) -> pd.Series:
+        at = place.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series((shipped.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    # The ids grow with the rows, so they are never shipped themselves, not even where they would fit today.
+    return rows.where(F.col(key).isNotNull()).where(may_be(spot(key))).join(ids.select(key).distinct().hint("merge"), key, "left_semi")
+
+
 def shape(docs: DataFrame, *kept: str, **added: str) -> T.StructType:
     """Schema of doc_id and other columns kept from ``docs``, whatever their types, followed by added ones."""
     fields = [T.StructField(c, docs.schema[c].dataType) for c in ("doc_id", *kept)]
     return T.StructType([*fields, *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
 
 
-__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "cut", "fold_of", "shape", "stored", "text_bytes"]
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "among", "cut", "fold_of", "shape", "stored", "text_bytes"]

@@ -102,6 +102,28 @@ def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return summed(found, times)
 
 
+def coded(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code of the n-gram that ends at every byte, first place of each text, number of the text), slice by slice; as ``grams`` reads them."""
+    pad = bytes([PAD]) * (n - 1)
+    for picked in slices(texts):
+        parts, first, at = [], [], 0
+        for i, a, b in picked:
+            parts += [pad if a == 0 else texts[i][max(0, a - n + 1):a].rjust(n - 1, bytes([PAD])), texts[i][a:b]]
+            first.append(at)
+            at += n - 1 + b - a
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        size = len(data) - n + 1
+        code = np.zeros(size, np.int64)
+        for k in range(n):
+            code <<= 8
+            code |= data[k:k + size]
+        keep = np.ones(size, bool)
+        for begin in first[1:]:
+            keep[begin - n + 1:begin] = False
+        starts = np.array(first) - np.arange(len(first)) * (n - 1)
+        yield code[keep], starts, np.array([i for i, _, _ in picked])
+
+
 def summed(found: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -4,30 +4,34 @@ Counts: every task sums its n-grams, then one shuffle by (language, n-gram).  Sh
 distinct bytes before a gram.  Discounts come from the counts of counts of a language and order.  Probabilities come from joins of the
 count tables, sharded by (language, context): a gram with the totals of its context, then with its own suffix one order below.
 
-Scoring: the table is bounded by the alphabet and the order, not by the corpus.  While it has at most ``max_rows`` rows it is shipped as
-arrays and texts are walked in place; beyond, ``score_by_join`` joins the n-grams of every document with the sharded tables.
+Scoring: documents are dealt into units of bounded size, whose texts travel once, in compressed blocks.  A unit posts its distinct n-grams, sorted,
+to the shards of the tables; a shard finds the cost of each by the longest gram it holds, and sends the costs back by position.  Tables are
+sharded by language and the last bytes of the context, which a gram shares with all its suffixes and contexts; the few grams that are too
+short for that are in every shard.  Nothing of the model or of the texts passes the driver, whatever their sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 import math
-import uuid
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.common import cut, stored
-from studyloom.llm.contexts import PAD, ContextMachine, grams, node_table
+from studyloom.llm.common import cut, stored, text_bytes
+from studyloom.llm.contexts import coded
 from studyloom.llm.ppm import count_grams
+from studyloom.llm.word_bpe import packed, unpacked
 
 ORDER = 5
-# Rows of the model that may be shipped: under 100 MB of arrays for four orders of five.
-MAX_ROWS = 6_000_000
+# Bytes of text in a unit, about; shards of the tables at most, fewer where there are fewer units.
+UNIT_BYTES, SHARDS = 16_000_000, 1024
+# Last bytes of a context that choose its shard.
+SHARED = 2
 # Texts are judged as if this many bytes of average trusted text stood beside them, so a few odd bytes do not decide a short text.
 PRIOR_BYTES = 40
 # A text goes if its rate is over this quantile of the language's trusted texts by more than the margin (nats a byte).
@@ -59,8 +63,9 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         usual = [0.5, 1.0, 1.5]  # where a language has too few grams for the estimate
         found = [1 - 2 * y * F.try_divide(n2, n1), 2 - 3 * y * F.try_divide(n3, n2), 3 - 4 * y * F.try_divide(n4, n3)]
         safe = [F.when(F.least(n1, n2, n3, n4) > 0, F.greatest(F.lit(0.05), F.least(d, F.lit(i + 0.95)))).otherwise(F.lit(u)) for i, (d, u) in enumerate(zip(found, usual))]
+        # One row a language.
         off = by_order[k].groupBy("lang").agg(*[number(i).alias(f"n{i}") for i in range(1, 5)]).select("lang", *[d.alias(f"d{i + 1}") for i, d in enumerate(safe)])
-        rows = by_order[k].join(off, "lang").withColumn("context", F.shiftright("gram", 8))
+        rows = by_order[k].join(F.broadcast(off), "lang").withColumn("context", F.shiftright("gram", 8))
         cut_off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("off", F.least(cut_off, F.col("c").cast("double")))
         totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma"))
@@ -81,131 +86,220 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     return stored(union(probabilities)), stored(union(weights))
 
 
-def machine_of(p: pd.DataFrame, gamma: pd.DataFrame, order: int) -> ContextMachine:
-    """Nats of every byte after every context of one language; byte symbols that training never met share one column."""
-    last = p["gram"].to_numpy("i8") & 255
-    met = np.unique(np.concatenate([[PAD], last]))
-    symbol = np.zeros(256, np.uint8)
-    symbol[met] = np.arange(1, len(met) + 1)
-    width = len(met) + 1
-    weight = [gamma[gamma["size"] == k].sort_values("context") for k in range(order)]
-    contexts = [w["context"].to_numpy("i8") for w in weight]
-    # A context that only holds pads may be missing as the end of a gram; the node table needs every suffix.
-    for k in range(order - 1, 0, -1):
-        contexts[k - 1] = np.unique(np.concatenate([contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1)]))
-    child, first = node_table(contexts, symbol, width)
-    cost = np.zeros((first[-1], width), np.float16)  # a text's cost is a sum of many, to about three digits each
-    lower = np.full((1, width), 1 / 256)
-    for k in range(order):
-        codes = contexts[k]
-        up = np.zeros(len(codes), np.int64) if k == 0 else np.searchsorted(contexts[k - 1], codes & ((1 << 8 * (k - 1)) - 1))
-        g = np.ones(len(codes))
-        g[np.searchsorted(codes, weight[k]["context"].to_numpy("i8"))] = weight[k]["gamma"].to_numpy("f8")
-        row = (g[:, None] * lower[up]).astype(np.float32 if k else np.float64)
-        own = p[p["size"] == k + 1]
-        code = own["gram"].to_numpy("i8")
-        row[np.searchsorted(codes, code >> 8), symbol[code & 255]] = own["p"].to_numpy("f8")
-        cost[first[k]:first[k] + len(codes)] = -np.log(row)
-        lower = row
-    return ContextMachine(symbol, order - 1, child, cost[:, :, None])
-
-
-_BUILT: dict[tuple, ContextMachine] = {}
-
-
-def _models(shipped: tuple, order: int):
-    """Machine of a language, laid out once in a worker; only those of the tables in use are held."""
-    name, grams_, contexts_ = shipped
-    for key in [k for k in _BUILT if k[0] != name]:
-        del _BUILT[key]
-
-    def of(lang: str) -> ContextMachine:
-        if (name, lang) not in _BUILT:
-            frames = [pd.DataFrame(dict(zip(("size", code, value), part[lang]))) for part, code, value in ((grams_, "gram", "p"), (contexts_, "context", "gamma"))]
-            _BUILT[name, lang] = machine_of(*frames, order)
-        return _BUILT[name, lang]
-
-    return of
-
-
-def score(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``docs`` (with columns lang and text) plus n_bytes and nats, the cost of the whole text; nats is null where the language has no model."""
-    if p.count() + gamma.count() > max_rows:
-        return score_by_join(docs, p, gamma, order)
-    ps, gs = p.toPandas(), gamma.toPandas()
-    known = set(ps["lang"].unique())
-    packed = lambda frame, code, value: {lang: (part["size"].to_numpy("i1"), part[code].to_numpy("i8"), part[value].to_numpy("f4")) for lang, part in frame.groupby("lang")}
-    shipped = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed(ps, "gram", "p"), packed(gs, "context", "gamma")))
-    names = [c for c in docs.columns if c != "text"]
-    fields = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("nats", T.DoubleType())])
+def shard_of(lang: str, last: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of the last bytes of a context."""
+    mixed = (last.astype(np.uint64) + np.uint64(zlib.crc32(lang.encode()) << 16)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def _dealt(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of every value of ``key``, in their order."""
+    order = np.argsort(key, kind="stable")
+    values, first = np.unique(key[order], return_index=True)
+    yield from zip(values.tolist(), np.split(order, first[1:]))
+
+
+def _model_blocks(shards: int, shared: int):
+    """Rows (lang, kind, size, code, value) as one compressed block for each shard; those with too short a context go to all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(shipped.value, order)
         for b in batches:
-            texts = [raw(t) for t in b.column("text").to_pylist()]
+            if not len(b):
+                continue
+            context = b.column("size").to_numpy() - (b.column("kind").to_numpy() == 0)
+            code = b.column("code").to_numpy()
+            last = np.where(b.column("kind").to_numpy() == 0, code >> 8, code) & ((1 << 8 * shared) - 1)
+            shard = np.zeros(len(b), np.int64)
             langs = np.array(b.column("lang").to_pylist(), object)
-            nats = np.full(len(texts), np.nan)
-            for lang in set(langs.tolist()) & known:
-                at = np.flatnonzero(langs == lang)
-                nats[at] = models(lang).charge([texts[i] for i in at])[:, 0]
-            added = [pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.float64(), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *added], [*names, "n_bytes", "nats"])
+            for lang in set(langs.tolist()):
+                own = langs == lang
+                shard[own] = shard_of(lang, last[own], shards)
+            shard[context < shared] = -1
+            for s, at in _dealt(shard):
+                block = packed(b.take(pa.array(at)))
+                wanted = list(range(shards)) if s < 0 else [s]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int32()), pa.array([0] * len(wanted), pa.int32()), pa.array([-1] * len(wanted), pa.int32()),
+                                                  pa.array([None] * len(wanted), pa.string()), pa.array([block] * len(wanted), pa.binary())], ["shard", "turn", "unit", "lang", "block"])
 
-    return docs.select(*names, "text").mapInArrow(run, fields)
+    return run
 
 
-def score_by_join(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER) -> DataFrame:
-    """As ``score``, for a model of any size: distinct n-grams of each document meet the sharded tables in joins, longest order first;
-    a gram that is not there pays the weight of its context, if that is there, and goes on one byte shorter."""
-    names = [c for c in docs.columns if c != "text"]
-    rows = cut(docs.select("*", F.monotonically_increasing_id().alias("_row")))
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch as one compressed block for each unit."""
+    for b in batches:
+        for unit, at in _dealt(b.column("unit").to_numpy()):
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([packed(b.drop_columns(["unit"]).take(pa.array(at)))], pa.binary())], ["unit", "block"])
+
+
+def _by_language(blocks: pa.ChunkedArray) -> tuple[list[pa.RecordBatch], dict[str, list[tuple[int, int]]], list[list[bytes]]]:
+    """Batches of a unit, places (batch, row) of the texts of every language, and all texts as bytes."""
+    batches = [rows for block in blocks for rows in unpacked(block)]
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, rows in enumerate(batches):
+        for j, lang in enumerate(rows.column("lang").to_pylist()):
+            if lang is not None:
+                places.setdefault(lang, []).append((i, j))
+    return batches, places, [[t or b"" for t in text_bytes(rows)] for rows in batches]
+
+
+def _post(order: int, shards: int, shared: int):
+    """Distinct n-grams of a unit, sorted, in one block for each language and shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, places, texts = _by_language(table["block"])
+        rows = []
+        for lang, own in places.items():
+            found = [np.unique(code) for code, _, _ in coded([texts[i][j] for i, j in own], order)]
+            if found:
+                grams = np.unique(np.concatenate(found))
+                for shard, at in _dealt(shard_of(lang, grams >> 8 & ((1 << 8 * shared) - 1), shards)):
+                    rows.append((shard, lang, packed(pa.RecordBatch.from_arrays([pa.array(grams[at])], ["gram"]))))
+        unit = table["unit"][0].as_py()
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "turn": pa.array([1] * len(rows), pa.int32()), "unit": pa.array([unit] * len(rows), pa.int32()),
+                         "lang": pa.array([r[1] for r in rows], pa.string()), "block": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+class Shard:
+    """Grams and contexts of one shard by kind, language and size, as sorted arrays."""
+
+    def __init__(self):
+        self.parts: dict[tuple[int, str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.tables: dict[tuple[int, str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        kind, size, code, value = (rows.column(c).to_numpy() for c in ("kind", "size", "code", "value"))
+        langs = np.array(rows.column("lang").to_pylist(), object)
+        for lang in set(langs.tolist()):
+            own = np.flatnonzero(langs == lang)
+            for number, at in _dealt(size[own].astype(np.int64) * 2 + kind[own]):
+                at = own[at]
+                self.parts.setdefault((number % 2, lang, number // 2), []).append((code[at], value[at]))
+
+    def _table(self, key: tuple[int, str, int]) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self.tables:
+            code, value = (np.concatenate(x) for x in zip(*self.parts.pop(key, [(np.zeros(0, np.int64), np.zeros(0))])))
+            order = np.argsort(code)
+            self.tables[key] = code[order], value[order]
+        return self.tables[key]
+
+    def _find(self, key: tuple[int, str, int], code: np.ndarray) -> np.ndarray:
+        """Value of every code, NaN where the shard has none."""
+        codes, values = self._table(key)
+        if not len(codes):
+            return np.full(len(code), np.nan)
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where(codes[at] == code, values[at], np.nan)
+
+    def costs(self, lang: str, grams: np.ndarray, order: int) -> np.ndarray:
+        """Nats of the last byte of every gram: that of the longest gram that is there, after the weights of the contexts that are there;
+        NaN for a language without a model."""
+        if not len(self._table((0, lang, 1))[0]):
+            return np.full(len(grams), np.nan)
+        paid, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(order, 0, -1):
+            gram = grams[left] & ((1 << 8 * k) - 1)
+            p = self._find((0, lang, k), gram)
+            known = ~np.isnan(p)
+            paid[left[known]] -= np.log(p[known])
+            left, gram = left[~known], gram[~known]
+            weight = self._find((1, lang, k - 1), gram >> 8)
+            paid[left] -= np.log(np.where(np.isnan(weight), 1.0, weight))
+        paid[left] += math.log(256)
+        return paid
+
+
+def _answer(order: int):
+    """Costs of posted grams, block by block; the tables of a shard come before what is posted to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = -1, Shard()
         for b in batches:
-            for row, lang, text in zip(b.column("_row").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                codes, times = grams([raw(text)], order)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(codes), pa.int64()), pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(times)],
-                                                 ["_row", "lang", "gram", "times"])
-
-    left = rows.select("_row", "lang", "text").mapInArrow(run, "_row long, lang string, gram long, times long").withColumn("paid", F.lit(0.0))
-    done = []
-    for k in range(order, 0, -1):
-        here = p.where(F.col("size") == k).select("lang", "gram", "p")
-        left = left.join(here, ["lang", "gram"], "left")
-        done.append(left.where("p is not null").select("_row", (F.col("times") * (F.col("paid") - F.log("p"))).alias("nats")))
-        left = left.where("p is null").drop("p").withColumn("context", F.shiftright("gram", 8))
-        left = left.join(gamma.where(F.col("size") == k - 1).select("lang", "context", "gamma"), ["lang", "context"], "left")
-        left = left.select("_row", "lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), "times", (F.col("paid") - F.log(F.coalesce("gamma", F.lit(1.0)))).alias("paid"))
-    known = p.select("lang").distinct()
-    done.append(left.join(known, "lang", "left_semi").select("_row", (F.col("times") * (F.col("paid") + math.log(256))).alias("nats")))
-    total = done[0]
-    for d in done[1:]:
-        total = total.union(d)
-    total = total.groupBy("_row").agg(F.sum("nats").alias("nats"))
-    blank = F.when(F.length(F.coalesce("text", F.lit(""))) == 0, 0.0)
-    sized = rows.join(known.withColumn("_known", F.lit(True)), "lang", "left").join(total, "_row", "left")
-    return sized.select(*names, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.when(F.col("_known"), F.coalesce("nats", blank)).alias("nats"))
+            for s, turn, unit, lang, block in zip(b.column("shard").to_pylist(), b.column("turn").to_pylist(), b.column("unit").to_pylist(), b.column("lang").to_pylist(), b.column("block")):
+                if s != shard:
+                    shard, held = s, Shard()
+                for rows in unpacked(block):
+                    if turn == 0:
+                        held.add(rows)
+                    else:
+                        costs = held.costs(lang, rows.column("gram").to_numpy(), order).astype(np.float32)
+                        answer = packed(pa.RecordBatch.from_arrays([pa.array(costs)], ["cost"]))
+                        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([s], pa.int32()), pa.array([lang], pa.string()), pa.array([answer], pa.binary())],
+                                                         ["unit", "shard", "lang", "costs"])
+
+    return run
+
+
+def _sum_up(order: int, shards: int, shared: int, names: list[str]):
+    """Nats of every text of a unit, from the costs of its distinct n-grams."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches, places, texts = _by_language(left["block"])
+        nats = [np.full(len(t), np.nan) for t in texts]
+        answers: dict[str, list[tuple[int, np.ndarray]]] = {}
+        for lang, shard, block in zip(right["lang"].to_pylist(), right["shard"].to_pylist(), right["costs"]):
+            answers.setdefault(lang, []).append((shard, np.concatenate([rows.column("cost").to_numpy() for rows in unpacked(block)])))
+        for lang, own in places.items():
+            total = np.zeros(len(own))
+            slices_ = [(*np.unique(code, return_inverse=True), starts, numbers) for code, starts, numbers in coded([texts[i][j] for i, j in own], order)]
+            if slices_:
+                grams = np.unique(np.concatenate([s[0] for s in slices_]))
+                cost = np.empty(len(grams))
+                cost[np.argsort(shard_of(lang, grams >> 8 & ((1 << 8 * shared) - 1), shards), kind="stable")] = np.concatenate([c for _, c in sorted(answers[lang], key=lambda x: x[0])])
+                for distinct, inverse, starts, numbers in slices_:
+                    each = cost[np.searchsorted(grams, distinct)][inverse]
+                    np.add.at(total, numbers, np.add.reduceat(each, starts))
+            for (i, j), n in zip(own, total):
+                nats[i][j] = n
+        sizes = [len(t) for own in texts for t in own]
+        columns = {c: pa.chunked_array([rows.column(c) for rows in batches]) for c in names}
+        return pa.table({**columns, "n_bytes": pa.array(sizes, pa.int64()), "nats": pa.array(np.concatenate(nats), pa.float64(), from_pandas=True)})
+
+    return run
+
+
+def score(docs: DataFrame, p: DataFrame, gamma: DataFrame, order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """``docs`` (with columns lang and text) plus n_bytes and nats, the cost of the whole text; nats is null where the language has no model,
+    and zero for null and empty texts of a language that has one."""
+    names = [c for c in docs.columns if c != "text"]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units = max(1, -(-int(size) // unit_bytes))
+    shards, shared = min(units, SHARDS), min(SHARED, order - 1)
+    unit = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(units)).cast("int")
+    blocks = docs.select(*names, "text", unit.alias("unit")).mapInArrow(_text_blocks, "unit int, block binary").repartition("unit")
+    row = "shard int, turn int, unit int, lang string, block binary"
+    posted = blocks.groupBy("unit").applyInArrow(_post(order, shards, shared), row)
+    model = p.select("lang", F.lit(0).alias("kind"), "size", F.col("gram").alias("code"), F.col("p").alias("value")).unionByName(
+        gamma.select("lang", F.lit(1).alias("kind"), "size", F.col("context").alias("code"), F.col("gamma").alias("value")))
+    met = model.mapInArrow(_model_blocks(shards, shared), row).unionByName(posted).repartition("shard").sortWithinPartitions("shard", "turn")
+    answered = met.mapInArrow(_answer(order), "unit int, shard int, lang string, costs binary")
+    fields = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("nats", T.DoubleType())])
+    return blocks.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(_sum_up(order, shards, shared, names), fields)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN,
-          prior: int = PRIOR_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:
+          prior: int = PRIOR_BYTES) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, rate, threshold, keep) of every row of ``docs``.
 
     ``trusted`` is (lang, text).  Perplexity is per byte.  ``threshold`` bounds the smoothed rate (nats a byte): the language's quantile over
-    its held-out trusted texts plus the margin.  A text over it goes.  A null language is judged like any other value; a language without trusted texts has no model, and its texts stay with null
-    perplexity.  A null or empty text has no rate and stays.  Repeated trusted texts count as often as they occur.
+    its held-out trusted texts plus the margin.  A text over it goes, one at it stays.  A null language is judged like any other value; a
+    language without trusted texts has no model, and its texts stay with null perplexity.  A null or empty text has no rate and stays.
+    Repeated rows are judged each, repeated trusted texts count as often as they occur; an empty table gives no rows; other columns are not
+    read.
     """
-    named = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null")
+    named = stored(trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null"))
     fold = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
     p, gamma = tables(stored(count_grams(named.where(fold != 0), order, raw)), order)
     read = docs.select("doc_id", F.col("lang").alias("_lang"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    checked = stored(score(named.where(fold == 0), p, gamma, order, max_rows).where("n_bytes > 0 and nats is not null"))
-    scored = score(read, p, gamma, order, max_rows)
+    checked = stored(score(named.where(fold == 0), p, gamma, order).where("n_bytes > 0 and nats is not null"))
+    scored = score(read, p, gamma, order)
     means = checked.groupBy("lang").agg((F.sum("nats") / F.sum("n_bytes")).alias("mean"))
     smooth = (F.col("nats") + prior * F.col("mean")) / (F.col("n_bytes") + prior)
     bounds = checked.join(means, "lang").groupBy("lang", "mean").agg(F.percentile_approx(smooth, quantile, 10000).alias("q"))
     bounds = cut(bounds.select("lang", "mean", (F.col("q") + margin).alias("threshold")))
-    judged = scored.join(bounds, "lang", "left")
+    # One row a language.
+    judged = scored.join(F.broadcast(bounds), "lang", "left")
     rate = F.when(F.col("n_bytes") > 0, smooth)
     return judged.select("doc_id", F.col("_lang").alias("lang"), "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))).alias("perplexity"),
                          rate.alias("rate"), "threshold", F.coalesce(rate <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from studyloom.llm import anchors, crf, kneser_ney, licenses, packing, pivots, ppm, simhash, suffix_automaton, transducer, url_cascade, variants, word_bpe
-from studyloom.llm.common import LOWER, UPPER, fold_of, stored
+from studyloom.llm.common import LOWER, UPPER, among, fold_of, stored
 from studyloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,9 +57,7 @@ def embedding_groups(read):
 
 def trusted_texts(docs, labels):
     """(lang, text) of the documents whose label says good quality."""
-    # The labels grow with the documents, so their ids are never shipped, not even where they would fit today.
-    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
-    return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select("lang", "text")
+    return among(docs.select("doc_id", "lang", "text"), labels.where("quality = 1")).select("lang", "text")
 
 
 @query("op3_kneser_ney")
