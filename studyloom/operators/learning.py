@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from studyloom.functions.mastery import level, mastery_class
-from studyloom.operators.numbering import fold_in_order, top_per_key
+from studyloom.operators.numbering import fold_segments, full_segments, packed_map, segment_starts, segments, started, top_per_key
+from studyloom.session import cut
 
 
 def topic_performance(answers, attempts, questions, chunks, docs, sections) -> DataFrame:
@@ -201,23 +204,57 @@ def merge_aggregate(target: DataFrame, delta: DataFrame, keys: Sequence[str], su
             .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes]))
 
 
-def _mean_step(state, row):
-    user, subject, at, tie, pct_cents = row
-    n, avg, _ = state or (0, 0, None)
-    n += 1
-    # Half away from zero on whole hundredths: what storing the quotient in numeric(6,2) does.
-    avg = (2 * (avg * (n - 1) + int(pct_cents)) + n) // (2 * n)
-    return (n, avg, at), (user, subject, n, avg / 100.0, at)
+# Means are hundredths of a percentage.
+MEANS = 100 * 100 + 1
+
+
+def _next_mean(mean, n, percentage):
+    """Half away from zero on whole hundredths: what storing the quotient in numeric(6,2) does."""
+    return (2 * (mean * (n - 1) + percentage) + n) // (2 * n)
+
+
+def _mean_map(keys: Sequence[str]):
+    """What a segment makes of every mean before it: its numbers are fixed, so each step is a map of the 10,001 hundredths."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        mean = np.arange(MEANS, dtype=np.int64)
+        for n, percentage in zip(table["_n"].to_pylist(), table["pct"].to_pylist()):
+            mean = _next_mean(mean, n, percentage)
+        return pa.table({**{k: table[k].slice(0, 1) for k in (*keys, "_segment")}, "_map": pa.array([packed_map(mean)], pa.binary())})
+
+    return run
 
 
 def subject_progress_history(attempts) -> DataFrame:
-    """A5 before taking the last row: running count and twice-rounded running mean after each attempt."""
-    rows = attempts.filter(F.col("subject_id").isNotNull()).select(
-        "user_id", "subject_id", "submitted_at", "attempt_id",
-        F.round(F.col("percentage") * 100).cast("long").alias("pct"))
-    return fold_in_order(rows, ["user_id", "subject_id"], ["submitted_at", "attempt_id"], _mean_step,
-                         "user_id long, subject_id long, quizzes_completed long, average_score double,"
-                         f" last_activity_at {rows.schema['submitted_at'].dataType.simpleString()}")
+    """A5 before taking the last row: running count and twice-rounded running mean after each attempt, of percentages from 0 to 100.
+
+    The attempts of one user and subject are any number of segments, each a task's work of its own.
+    """
+    keys = ["user_id", "subject_id"]
+    rows = attempts.filter(F.col("subject_id").isNotNull() & F.col("percentage").isNotNull()).select(
+        *keys, "submitted_at", "attempt_id", F.round(F.col("percentage") * 100).cast("long").alias("pct"))
+    rows = cut(segments(rows, keys, [F.coalesce(F.to_date("submitted_at"), F.lit("0001-01-01").cast("date"))], [F.asc("submitted_at"), F.asc("attempt_id")]))
+    full = full_segments(rows, keys)
+    if full.limit(1).count():
+        maps = full.groupBy(*keys, "_segment").applyInArrow(_mean_map(keys), T.StructType([*[rows.schema[k] for k in (*keys, "_segment")], T.StructField("_map", T.BinaryType())]))
+        rows = started(rows, segment_starts(maps, keys, lambda state: state, 0), keys, _start=0)
+    else:
+        rows = rows.withColumn("_start", F.lit(0).cast("long"))
+
+    def begin(batch: pa.RecordBatch, first: np.ndarray) -> list[np.ndarray]:
+        return [batch.column("_start").to_numpy()[first].copy()]
+
+    def step(state: list[np.ndarray], batch: pa.RecordBatch, at: np.ndarray) -> list[np.ndarray]:
+        return [_next_mean(state[0], batch.column("_n").to_numpy()[at], batch.column("pct").to_numpy()[at])]
+
+    def emit(batch: pa.RecordBatch, before: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [batch.column("user_id"), batch.column("subject_id"), batch.column("_n"), pa.array(after[0] / 100.0), batch.column("submitted_at")]
+        return pa.RecordBatch.from_arrays(columns, ["user_id", "subject_id", "quizzes_completed", "average_score", "last_activity_at"])
+
+    fields = [rows.schema[k] for k in keys] + [T.StructField("quizzes_completed", T.LongType()), T.StructField("average_score", T.DoubleType()),
+                                               T.StructField("last_activity_at", rows.schema["submitted_at"].dataType)]
+    return fold_segments(rows, keys, begin, step, emit, T.StructType(fields))
 
 
 def subject_progress(attempts) -> DataFrame:
