@@ -1,43 +1,75 @@
 """Licence scan: a trained paragraph classifier, all in DataFrame functions.
 
-Paragraphs are lines.  Features are hashed words and word pairs.  One logistic regression for each licence family is trained by proximal
-gradient steps on a bounded sample: the families' templates, paragraphs that name a family, and other paragraphs; soft thresholds keep
-the weights sparse.  A paragraph without any feature of positive weight cannot reach a family, so the others are found by one array test
-in the scan; only they are scored, each distinct text once.  A family needs the probability that held-out rows call for; below it a
-paragraph that still looks like a licence is ``unknown``.  Word triples shared with the family's templates confirm a prediction.
+Paragraphs are lines, read in windows of some words, so a notice inside a long line is seen as one on a line of its own.  Features are hashed
+words and word pairs.  One logistic regression for each licence family is trained by proximal gradient steps on a bounded sample: windows
+of the families' notices, windows that name a family, and others; soft thresholds keep the weights sparse.
+
+A window has a bounded number of features, so without a feature of some least weight it cannot reach a family: only lines that hold such a
+feature, or that speak of licences in general words, leave the scan.  Each distinct window is scored once.  A family needs the probability
+that held-out rows call for; below it a line that speaks of licences is ``unknown``.  A notice whose word triples are in a window to a good
+part confirms the family.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.common import cut, stored
+from studyloom.operators.numbering import unfold
 
 UNKNOWN = "unknown"
 # Documents whose paragraphs are trained on, about, chosen by a hash of the text.
 SAMPLE_DOCS = 1500
-ROUNDS, RATE, SPARSE = 10, 3.0, 0.0005
-# Weights under this share of the largest one are dropped at the end.
-LEAST_WEIGHT = 0.1
+ROUNDS, RATE, SPARSE = 12, 3.0, 0.0005
+# Words of a window, and from one window to the next.
+WINDOW, STRIDE = 16, 8
 # Tasks that the small training tables are dealt to.
 TRAINERS = 4
-# Share of a paragraph's word triples that must be in a template of the family.
+# Share of a notice's word triples that must be in a window to confirm its family.
 CONFIRM = 0.5
-LOOKS_LIKE = 0.5
+GENERAL = r"\b(licen[cs]ed? |licen[cs]e\b|copyright\b|all rights\b)"
 
-# Licence families, a pattern that names each, and texts of its usual notices.
+# Licence families, a pattern over lowered words that names each, and texts of its usual notices.
 FAMILIES = {
-    "apache": (r"\bapache licen[cs]e\b", ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"]),
-    "bsd": (r"\bbsd\b.{0,12}\blicen[cs]e\b", ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"]),
-    "cc-by": (r"\b(cc by|creative commons attribution)( 4\.0| 3\.0|$|[^-a-z])", ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."]),
-    "cc-by-nc": (r"\b(cc by-nc|creative commons attribution-noncommercial)\b", ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."]),
-    "cc-by-sa": (r"\b(cc by-sa|creative commons attribution-sharealike)\b", ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]),
-    "gpl": (r"\bgnu general public licen[cs]e\b", ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"]),
-    "lgpl": (r"\bgnu lesser general public licen[cs]e\b", ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"]),
-    "mit": (r"\bmit licen[cs]e\b", ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"]),
-    "mpl": (r"\bmozilla public licen[cs]e\b", ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."]),
-    "reserved": (r"\ball rights reserved\b", ["All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."]),
+    "apache": (r"\bapache licen[cs]e\b", [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."]),
+    "bsd": (r"\bbsd\b.{0,12}\blicen[cs]e\b", [
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]),
+    "cc-by": (r"\b(cc by|creative commons attribution)\b(?! (nc|sa|nd|noncommercial|sharealike))", [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"]),
+    "cc-by-nc": (r"\b(cc by nc|creative commons attribution noncommercial)\b", [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"]),
+    "cc-by-sa": (r"\b(cc by sa|creative commons attribution sharealike)\b", [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"]),
+    "gpl": (r"\bgnu general public licen[cs]e\b", [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."]),
+    "lgpl": (r"\bgnu lesser general public licen[cs]e\b", [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."]),
+    "mit": (r"\bmit licen[cs]e\b", [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."]),
+    "mpl": (r"\bmozilla public licen[cs]e\b", [
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."]),
+    "reserved": (r"\ball rights reserved\b", [
+        "All rights reserved.",
+        "Copyright. All rights reserved. No part of this work may be reproduced, stored or transmitted in any form or by any means without the prior written permission of the publisher."]),
 }
 
 
@@ -66,23 +98,39 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(r"\p{L}"))
 
 
+def windows(words: F.Column) -> F.Column:
+    """Windows of WINDOW words, one every STRIDE words; the last one has over half of a window, where there is more than one."""
+    last = F.greatest(F.ceil((F.size(words) - WINDOW) / STRIDE), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * STRIDE + 1, WINDOW))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = [(family, text) for family, (_, texts) in FAMILIES.items() for text in texts]
-    return spark.createDataFrame(rows, "family string, text string")
+    """(family, words): windows of the notices."""
+    rows = spark.createDataFrame([(family, text) for family, (_, texts) in FAMILIES.items() for text in texts], "family string, text string")
+    split = rows.select("family", F.explode(F.array(words_of(F.col("text")))).alias("all"))
+    return unfold(split, ["family"], windows(F.col("all")), "_i", "words").drop("_i")
+
+
+def named_family(words: F.Column) -> F.Column:
+    """Family whose pattern fits a window first, null where none does."""
+    text = F.array_join(words, " ")
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(family)) for family, (pattern, _) in FAMILIES.items()])
 
 
 def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(row, family, held, features) of distinct texts: templates, and paragraphs of a sample of documents named by the first pattern that
-    fits; family is null where none does.  About ``sample_docs`` documents are read; templates are never held out."""
+    """(row, family, held, features) of distinct windows: those of the notices, and those of a sample of documents, named by the first
+    pattern that fits; family is null where none does.  About ``sample_docs`` documents are read; notices are never held out."""
     spark, span = docs.sparkSession, 1 << 30
     share = int(span * min(1.0, sample_docs / max(1, docs.count())))
     picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(span)) <= share).select("doc_id", "text")
-    named = F.coalesce(*[F.when(F.lower("text").rlike(pattern), F.lit(family)) for family, (pattern, _) in FAMILIES.items()])
-    found = paragraphs(picked).select(named.alias("family"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")).distinct()
-    # Several copies of a text say nothing new, and one in eight of the many paragraphs that name no family is enough.
-    found = found.where(F.col("family").isNotNull() | (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)) == 0))
-    rows = templates(spark).select("family", "text", F.lit(False).alias("held")).union(found)
-    return rows.select(F.xxhash64("text", "held").alias("row"), "family", "held", features_of(words_of(F.col("text"))).alias("features"))
+    split = unfold(paragraphs(picked), [], F.array(words_of(F.col("text"))), "_i", "all").select("all").distinct()
+    read = unfold(split, [], windows(F.col("all")), "_i", "words").select("words").distinct()
+    mark = F.xxhash64(F.array_join("words", " "))
+    found = read.select(named_family(F.col("words")).alias("family"), "words", (F.pmod(mark, F.lit(5)) == 0).alias("held"))
+    # One in eight of the many windows that name no family is enough.
+    found = found.where(F.col("family").isNotNull() | (F.pmod(F.xxhash64(F.array_join("words", " "), F.lit(1)), F.lit(8)) == 0))
+    rows = templates(spark).select("family", "words", F.lit(False).alias("held")).union(found)
+    return rows.select(F.md5(F.concat_ws(" ", F.col("held").cast("string"), F.array_join("words", " ")).cast("binary")).alias("row"), "family", "held", features_of(F.col("words")).alias("features"))
 
 
 def margins(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -109,8 +157,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, sparse: flo
         pull = F.when(F.col("feature") == 0, 0.0).otherwise(rate * 10 * sparse)
         soft = F.signum("w") * F.greatest(F.abs("w") - pull, F.lit(0.0))
         weights = cut(moved.select("feature", "family", soft.alias("weight")).where("weight <> 0").coalesce(TRAINERS))
-    least = (weights.where("feature <> 0").agg(F.max(F.abs("weight"))).first()[0] or 0.0) * LEAST_WEIGHT
-    return weights.where((F.col("feature") == 0) | (F.abs("weight") >= least))
+    return weights
 
 
 def probability(margin: F.Column) -> F.Column:
@@ -135,31 +182,53 @@ def needed_probability(rows: DataFrame, weights: DataFrame) -> float:
     return (q["low"] + q["high"]) / 2
 
 
+def triggers(weights: DataFrame, needed: float) -> list[int] | None:
+    """Features one of which a window needs to reach the probability in any family; None where no feature is needed.
+
+    A window has at most 2 WINDOW features of one over the root of their number each, so weights under (margin - intercept) / root of
+    2 WINDOW cannot add up to the margin, and a window of fewer features falls short by more.
+    """
+    margin = math.log(max(needed, 1e-9) / max(1 - needed, 1e-9))
+    # One row a family, and the features of a bounded sample.
+    intercept = {r["family"]: r["weight"] for r in weights.where("feature = 0").collect()}
+    least = {family: (margin - intercept.get(family, 0.0)) / math.sqrt(2 * WINDOW) for family in FAMILIES}
+    if min(least.values()) <= 0:
+        return None
+    bound = F.lit(math.inf)
+    for family, value in least.items():
+        bound = F.when(F.col("family") == family, value).otherwise(bound)
+    found = weights.where((F.col("feature") != 0) & (F.col("weight") >= bound)).select("feature").distinct().orderBy("feature")
+    return [r["feature"] for r in found.collect()]
+
+
 def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) of every paragraph that is or looks like a licence notice.
+    """(doc_id, paragraph, family, probability, similarity, confirmed) of every paragraph that is, holds or looks like a licence notice.
 
-    ``family`` is ``unknown`` where no family reaches the calibrated probability but the paragraph names a licence in general words.
-    Null, empty and letterless texts have no such paragraphs; repeated rows give their paragraphs each; columns other than doc_id and text are
-    not read.
+    A paragraph is judged by its best window: one of a family before one of none, confirmed before unconfirmed, then by probability.
+    ``family`` is ``unknown`` where no family reaches the calibrated probability but the paragraph speaks of licences in general words.
+    Null, empty and letterless texts have no such paragraphs; lines of any length are read in windows; repeated rows give their paragraphs
+    each; ties go to the last family by name; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     rows = cut(training_rows(docs, sample_docs))
     weights = cut(train(rows))
     needed = needed_probability(rows, weights)
-    # The largest sum of weights a paragraph needs is positive, so it holds a feature of positive weight.
-    positive = [r["feature"] for r in weights.where("weight > 0 and feature <> 0").select("feature").distinct().orderBy("feature").collect()]
-    general = F.col("text").rlike(r"(?i)\b(licen[cs]ed? |licen[cs]e\b|copyright\b|all rights\b)")
-    lines = paragraphs(docs.select("doc_id", "text")).select("doc_id", "paragraph", "text", words_of(F.col("text")).alias("words"))
-    gate = F.arrays_overlap(_hashes(F.col("words")), F.lit(positive)) if positive else F.lit(False)
-    # An array of the text or of nothing: a filter would be pushed below the words and split the text once for each use of them.
-    found = F.when(gate | general, F.array("text")).otherwise(F.expr("cast(array() as array<string>)"))
-    held = stored(lines.select("doc_id", "paragraph", F.explode(found).alias("text")).withColumn("row", F.xxhash64("text")))
-    # Cut twice: inside a lambda an expression that is not a stored column is evaluated for every element.
-    split = stored(held.groupBy("row").agg(F.min("text").alias("text")).withColumn("words", words_of(F.col("text"))))
-    texts = stored(split.select("row", "text", features_of(F.col("words")).alias("features"), triples_of(F.col("words")).alias("triples")))
+    wanted = triggers(weights, needed)
+    general = F.lower("text").rlike(GENERAL)
+    reach = lambda words: F.lit(True) if wanted is None else F.arrays_overlap(_hashes(words), F.lit(wanted)) if wanted else F.lit(False)
+    lines = paragraphs(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"))
+    # The words are bound once for the test and for the result.
+    split = F.filter(F.array(words_of(F.col("text"))), lambda words: general | reach(words))
+    held = stored(unfold(lines, ["doc_id", "paragraph", general.alias("general")], split, "_i", "words").drop("_i"))
+    each = unfold(held, ["doc_id", "paragraph", "general"], windows(F.col("words")), "_i", "words").drop("_i")
+    each = stored(each.withColumn("key", F.md5(F.array_join("words", " ").cast("binary"))))
+    texts = stored(each.groupBy("key").agg(F.min("words").alias("words")))
+    texts = stored(texts.select(F.col("key").alias("row"), features_of(F.col("words")).alias("features"), triples_of(F.col("words")).alias("triples")))
     judged = best_family(texts.select("row", "features"), weights)
-    named = templates(docs.sparkSession).select("family", triples_of(words_of(F.col("text"))).alias("of"))
-    likely = texts.join(judged, "row").where((F.col("probability") >= needed) | general)
-    likely = likely.withColumn("family", F.when(F.col("probability") >= needed, F.col("family")).otherwise(F.lit(UNKNOWN)))
-    alike = F.size(F.array_intersect("triples", "of")) / F.size("triples")
-    compared = likely.join(named, "family", "left").groupBy("row", "family", "probability").agg(F.coalesce(F.max(alike), F.lit(0.0)).alias("similarity"))
-    return held.select("doc_id", "paragraph", "row").join(compared, "row").select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
+    named = templates(docs.sparkSession).select("family", triples_of(F.col("words")).alias("of"))
+    likely = texts.join(judged, "row").withColumn("family", F.when(F.col("probability") >= needed, F.col("family")).otherwise(F.lit(UNKNOWN)))
+    alike = F.size(F.array_intersect("triples", "of")) / F.size("of")
+    compared = likely.join(F.broadcast(named), "family", "left").groupBy("row", "family", "probability").agg(F.coalesce(F.max(alike), F.lit(0.0)).alias("similarity"))
+    met = each.drop("words").join(compared.withColumnRenamed("row", "key"), "key").where((F.col("family") != UNKNOWN) | F.col("general"))
+    rank = F.struct((F.col("family") != UNKNOWN).alias("known"), (F.col("similarity") >= confirm).alias("confirmed"), "probability", "similarity", "family")
+    best = met.groupBy("doc_id", "paragraph").agg(F.max(rank).alias("best"))
+    return best.select("doc_id.doc_id", "paragraph", "best.family", "best.probability", "best.similarity", "best.confirmed")

@@ -231,6 +231,64 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without "
+         "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute copies of the Software")
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+
+
+def test_notices_inside_long_lines_and_without_a_name(spark):
+    """Inline notices, grants that no family's pattern fits, a text without line breaks, and a very long line."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice(["the", "on", "er", "a", "ti", "wh", "at"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    clean = [(i, "\n".join(prose(rng.randint(3, 40)) for _ in range(3)), None) for i in range(300)]
+    odd = [(1000, f"{prose(20)} Released under the MIT License. {prose(25)}", "mit"), (1001, GRANT, "mit"), (1002, f"{prose(9)} {GRANT} {prose(30)}", "mit"), (1003, f"{prose(40)} {BSD} {prose(4)}", "bsd"),
+           (1004, prose(6000) + " Licensed under the Apache License, Version 2.0. " + prose(6000), "apache"), (1005, prose(3000), None)]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, t, _ in clean + odd], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["family"], r["confirmed"]) for r in got) == [(i, f, True) for i, _, f in odd if f]
+
+
+def test_training_is_the_definition(spark, monkeypatch):
+    """Proximal gradient steps, margins and the best family against plain sums over all rows."""
+    monkeypatch.setattr(licenses, "FAMILIES", {k: licenses.FAMILIES[k] for k in ("mit", "gpl")})
+    texts = [("mit", "released under the mit license"), ("gpl", "gnu general public license version 3"), ("gpl", "the general public license"), (None, "the end of a story"), (None, "version 3 of the song"), (None, "a b c")]
+    rows = spark.createDataFrame([(f"r{i}", f, False, t.split()) for i, (f, t) in enumerate(texts)], "row string, family string, held boolean, words array<string>")
+    rows = rows.select("row", "family", "held", licenses.features_of(F.col("words")).alias("features"))
+    feats = {r["row"]: r["features"] for r in rows.collect()}
+    weight = {f: {0: 0.0} for f in licenses.FAMILIES}
+    value = {r: {0: 1 / math.sqrt(len(x) + 1), **{k: 1 / math.sqrt(len(x) + 1) for k in x}} for r, x in feats.items()}
+    for _ in range(4):
+        for family, w in weight.items():
+            inside = sum(f == family for f, _ in texts)
+            slope = Counter()
+            for i, (f, _) in enumerate(texts):
+                margin = sum(v * w.get(k, 0.0) for k, v in value[f"r{i}"].items())
+                share = 0.5 / inside if f == family else 0.5 / (len(texts) - inside)
+                for k, v in value[f"r{i}"].items():
+                    slope[k] += v * share * ((f == family) - 1 / (1 + math.exp(-margin)))
+            for k, s in slope.items():
+                moved = w.get(k, 0.0) + 30 * s
+                w[k] = moved if k == 0 else math.copysign(max(abs(moved) - 30 * 0.0005, 0.0), moved)
+    got = {(r["family"], r["feature"]): r["weight"] for r in licenses.train(rows, rounds=4).collect()}
+    wanted = {(f, k): x for f, w in weight.items() for k, x in w.items() if x != 0}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-9) for k in wanted)
+    best = {r["row"]: (r["family"], r["probability"]) for r in licenses.best_family(rows, spark.createDataFrame([(k, f, x) for (f, k), x in wanted.items()], "feature long, family string, weight double")).collect()}
+    for r, x in value.items():
+        margin, family = max((sum(v * weight[f].get(k, 0.0) for k, v in x.items()), f) for f in weight)
+        assert best[r] == (family, pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9))
+
+
+def test_lines_without_a_trigger_cannot_reach_a_family(spark):
+    """The test in the scan leaves out no window that the classifier would name."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = licenses.cut(licenses.training_rows(docs))
+    weights = licenses.cut(licenses.train(rows))
+    needed = licenses.needed_probability(rows, weights)
+    wanted = licenses.triggers(weights, needed)
+    assert 0 < len(wanted) < 400
+    named = licenses.best_family(rows.select("row", "features"), weights).where(F.col("probability") >= needed).join(rows, "row")
+    assert named.where(~F.arrays_overlap("features", F.lit(wanted))).count() == 0 and named.count() > 10
+
+
 def test_license_lines_of_documents(spark):
     got = QUERIES["op5_license_scan"](spark, SMALL).toPandas()
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
