@@ -40,25 +40,26 @@ FILTER_BITS = 1 << 26
 
 
 def among(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose id is in ``ids``: a left semi join whose larger side is thinned first by a bit for each hash of an id.
+    """Rows whose id is in ``ids``: a left semi join whose larger side is thinned first by three bits for each id.
 
     The filter is bounded whatever the number of ids; with very many it only lets more rows through to the join.
     """
     bits = min(FILTER_BITS, max(64, 16 * ids.count()))
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.where(F.col(key).isNotNull()).select((spot(key) / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot(key) % 64).cast("int")).alias("bit"))
+    spots = lambda c: F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(3)])
+    spot = ids.where(F.col(key).isNotNull()).select(F.explode(spots(key)).alias("spot"))
+    words = spot.select((F.col("spot") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int")).alias("bit"))
     set_ = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(-(-bits // 64), np.int64)
     table[set_["word"].to_numpy()] = set_["bits"].to_numpy()
     shipped = rows.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
-    def may_be(place: pd.Series) -> pd.Series:
-        at = place.fillna(0).to_numpy().astype(np.int64)
-        return pd.Series((shipped.value[at >> 6] >> (at & 63) & 1).astype(bool))
+    def may_be(places: pd.Series) -> pd.Series:
+        at = np.array(places.tolist(), np.int64).reshape(-1, 3)
+        return pd.Series((shipped.value[at >> 6] >> (at & 63) & 1).all(axis=1))
 
     # The ids grow with the rows, so they are never shipped themselves, not even where they would fit today.
-    return rows.where(F.col(key).isNotNull()).where(may_be(spot(key))).join(ids.select(key).distinct().hint("merge"), key, "left_semi")
+    return rows.where(F.col(key).isNotNull()).where(may_be(spots(key))).join(ids.select(key).distinct().hint("merge"), key, "left_semi")
 
 
 def shape(docs: DataFrame, *kept: str, **added: str) -> T.StructType:

@@ -30,6 +30,8 @@ from studyloom.llm.word_bpe import packed, unpacked
 ORDER = 5
 # Bytes of text in a unit, about; shards of the tables at most, fewer where there are fewer units.
 UNIT_BYTES, SHARDS = 16_000_000, 1024
+# How hard blocks are compressed: texts are shuffled once, and that is most of the disk.
+PACKED = 6
 # Last bytes of a context that choose its shard.
 SHARED = 2
 # Texts are judged as if this many bytes of average trusted text stood beside them, so a few odd bytes do not decide a short text.
@@ -80,10 +82,9 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         below = joined.select("lang", F.lit(k).alias("size"), "gram", "p")
         probabilities.append(below)
         weights.append(totals.select("lang", F.lit(k - 1).alias("size"), "context", "gamma"))
-        if k < order:
-            below = probabilities[-1] = stored(below)
+        below = probabilities[-1] = stored(below)
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return stored(union(probabilities)), stored(union(weights))
+    return union(probabilities), stored(union(weights))
 
 
 def shard_of(lang: str, last: np.ndarray, shards: int) -> np.ndarray:
@@ -128,7 +129,7 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a batch as one compressed block for each unit."""
     for b in batches:
         for unit, at in _dealt(b.column("unit").to_numpy()):
-            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([packed(b.drop_columns(["unit"]).take(pa.array(at)))], pa.binary())], ["unit", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([packed(b.drop_columns(["unit"]).take(pa.array(at)), PACKED)], pa.binary())], ["unit", "block"])
 
 
 def _by_language(blocks: pa.ChunkedArray) -> tuple[list[pa.RecordBatch], dict[str, list[tuple[int, int]]], list[list[bytes]]]:
@@ -153,7 +154,7 @@ def _post(order: int, shards: int, shared: int):
             if found:
                 grams = np.unique(np.concatenate(found))
                 for shard, at in _dealt(shard_of(lang, grams >> 8 & ((1 << 8 * shared) - 1), shards)):
-                    rows.append((shard, lang, packed(pa.RecordBatch.from_arrays([pa.array(grams[at])], ["gram"]))))
+                    rows.append((shard, lang, packed(pa.RecordBatch.from_arrays([pa.array(np.diff(grams[at], prepend=0))], ["step"]), PACKED)))
         unit = table["unit"][0].as_py()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "turn": pa.array([1] * len(rows), pa.int32()), "unit": pa.array([unit] * len(rows), pa.int32()),
                          "lang": pa.array([r[1] for r in rows], pa.string()), "block": pa.array([r[2] for r in rows], pa.binary())})
@@ -223,8 +224,8 @@ def _answer(order: int):
                     if turn == 0:
                         held.add(rows)
                     else:
-                        costs = held.costs(lang, rows.column("gram").to_numpy(), order).astype(np.float32)
-                        answer = packed(pa.RecordBatch.from_arrays([pa.array(costs)], ["cost"]))
+                        costs = held.costs(lang, np.cumsum(rows.column("step").to_numpy()), order).astype(np.float32)
+                        answer = packed(pa.RecordBatch.from_arrays([pa.array(costs)], ["cost"]), PACKED)
                         yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([s], pa.int32()), pa.array([lang], pa.string()), pa.array([answer], pa.binary())],
                                                          ["unit", "shard", "lang", "costs"])
 

@@ -61,9 +61,9 @@ def encode_words(path: str, words: list[bytes]) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
 
-def packed(rows: pa.RecordBatch) -> bytes:
+def packed(rows: pa.RecordBatch, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
