@@ -4,8 +4,8 @@ Paragraphs are lines, read in windows of some words, so a notice inside a long l
 words and word pairs.  One logistic regression for each licence family is trained by proximal gradient steps on a bounded sample: windows
 of the families' notices, windows that name a family, and others; soft thresholds keep the weights sparse.
 
-A window has a bounded number of features, so without a feature of some least weight it cannot reach a family: only lines that hold such a
-feature, or that speak of licences in general words, leave the scan.  Each distinct window is scored once.  A family needs the probability
+The largest weights of a window's features, over all families, bound what any family can give it: only lines with a window whose bound is high
+enough, or that speak of licences in general words, leave the scan.  Each distinct window is scored once.  A family needs the probability
 that held-out rows call for; below it a line that speaks of licences is ``unknown``.  A notice whose word triples are in a window to a good
 part confirms the family.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SAMPLE_DOCS = 1500
 ROUNDS, RATE, SPARSE = 12, 3.0, 0.0005
 # Words of a window, and from one window to the next.
 WINDOW, STRIDE = 16, 8
+# Entries of the table of largest weights; features that share an entry share the larger weight.
+ENTRIES = 1 << 16
 # Tasks that the small training tables are dealt to.
 TRAINERS = 4
 # Share of a notice's word triples that must be in a window to confirm its family.
@@ -182,23 +185,32 @@ def needed_probability(rows: DataFrame, weights: DataFrame) -> float:
     return (q["low"] + q["high"]) / 2
 
 
-def triggers(weights: DataFrame, needed: float) -> list[int] | None:
-    """Features one of which a window needs to reach the probability in any family; None where no feature is needed.
+def largest_weights(weights: DataFrame) -> F.Column:
+    """Array of the largest weight, 0 at least, of the features of every entry; the features are those of a bounded sample."""
+    best = weights.where("feature <> 0 and weight > 0").groupBy(F.pmod("feature", F.lit(ENTRIES)).alias("entry")).agg(F.max("weight").alias("weight")).toPandas()
+    table = np.zeros(ENTRIES)
+    table[best["entry"].to_numpy("i8")] = best["weight"].to_numpy("f8")
+    shown = ",".join("0" if x == 0 else f"{math.ceil(x * 1000) / 1000:g}" for x in table)  # never less than the weight
+    return F.split(F.lit(shown), ",").cast("array<float>")
 
-    A window has at most 2 WINDOW features of one over the root of their number each, so weights under (margin - intercept) / root of
-    2 WINDOW cannot add up to the margin, and a window of fewer features falls short by more.
+
+def least_sum(weights: DataFrame, needed: float) -> float:
+    """Sum of weights that a window needs to reach the probability in any family.
+
+    With intercept b and n features a margin is (b + sum) over the root of n + 1, and n is from 1 to 2 WINDOW.
     """
     margin = math.log(max(needed, 1e-9) / max(1 - needed, 1e-9))
-    # One row a family, and the features of a bounded sample.
-    intercept = {r["family"]: r["weight"] for r in weights.where("feature = 0").collect()}
-    least = {family: (margin - intercept.get(family, 0.0)) / math.sqrt(2 * WINDOW) for family in FAMILIES}
-    if min(least.values()) <= 0:
-        return None
-    bound = F.lit(math.inf)
-    for family, value in least.items():
-        bound = F.when(F.col("family") == family, value).otherwise(bound)
-    found = weights.where((F.col("feature") != 0) & (F.col("weight") >= bound)).select("feature").distinct().orderBy("feature")
-    return [r["feature"] for r in found.collect()]
+    intercept = weights.where("feature = 0").agg(F.max("weight")).first()[0] or 0.0
+    return margin * math.sqrt(2 if margin > 0 else 2 * WINDOW + 1) - max(intercept, 0.0 if weights.where("feature = 0").count() < len(FAMILIES) else intercept)
+
+
+def can_reach(words: F.Column, largest: F.Column, least: float) -> F.Column:
+    """Has a line a window whose largest weights add up to ``least``?  A word counts with the pair it begins, or as a window's last word."""
+    of = lambda *x: F.get(largest, F.pmod(F.xxhash64(*x), F.lit(ENTRIES)).cast("int"))
+    bound = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: of(a) + F.greatest(of(a, F.coalesce(b, F.lit(""))), of(a, F.lit(""))))
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+    # The bounds are made once for all windows.
+    return F.exists(F.array(bound), lambda each: F.exists(windows(each), lambda part: total(part) >= least - 1e-6))
 
 
 def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFIRM) -> DataFrame:
@@ -212,12 +224,11 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFI
     rows = cut(training_rows(docs, sample_docs))
     weights = cut(train(rows))
     needed = needed_probability(rows, weights)
-    wanted = triggers(weights, needed)
+    largest, least = largest_weights(weights), least_sum(weights, needed)
     general = F.lower("text").rlike(GENERAL)
-    reach = lambda words: F.lit(True) if wanted is None else F.arrays_overlap(_hashes(words), F.lit(wanted)) if wanted else F.lit(False)
     lines = paragraphs(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"))
     # The words are bound once for the test and for the result.
-    split = F.filter(F.array(words_of(F.col("text"))), lambda words: general | reach(words))
+    split = F.filter(F.array(words_of(F.col("text"))), lambda words: general | can_reach(words, largest, least))
     held = stored(unfold(lines, ["doc_id", "paragraph", general.alias("general")], split, "_i", "words").drop("_i"))
     each = unfold(held, ["doc_id", "paragraph", "general"], windows(F.col("words")), "_i", "words").drop("_i")
     each = stored(each.withColumn("key", F.md5(F.array_join("words", " ").cast("binary"))))

@@ -277,16 +277,24 @@ def test_training_is_the_definition(spark, monkeypatch):
         assert best[r] == (family, pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9))
 
 
-def test_lines_without_a_trigger_cannot_reach_a_family(spark):
-    """The test in the scan leaves out no window that the classifier would name."""
+def test_lines_that_stay_in_the_scan_cannot_reach_a_family(spark):
+    """The bound of a window is never under the sum that any family gives it, so no window that would be named is left out."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = licenses.cut(licenses.training_rows(docs))
     weights = licenses.cut(licenses.train(rows))
-    needed = licenses.needed_probability(rows, weights)
-    wanted = licenses.triggers(weights, needed)
-    assert 0 < len(wanted) < 400
-    named = licenses.best_family(rows.select("row", "features"), weights).where(F.col("probability") >= needed).join(rows, "row")
-    assert named.where(~F.arrays_overlap("features", F.lit(wanted))).count() == 0 and named.count() > 10
+    weight = {}
+    for r in weights.collect():
+        weight.setdefault(r["family"], {})[r["feature"]] = r["weight"]
+    lines = licenses.paragraphs(docs).select(licenses.words_of(F.col("text")).alias("words")).distinct().union(licenses.templates(spark).select("words"))
+    lines = licenses.cut(lines.select("words", F.transform(licenses.windows(F.col("words")), licenses.features_of).alias("of")))
+    largest = licenses.largest_weights(weights)
+    for needed in (0.5, 0.3, 0.8):
+        least = licenses.least_sum(weights, needed)
+        got = lines.select("of", licenses.can_reach(F.col("words"), largest, least).alias("reaches")).collect()
+        best = [max((w.get(0, 0.0) + sum(w.get(f, 0.0) for f in part)) / math.sqrt(len(part) + 1) for part in r["of"] for w in weight.values()) for r in got]
+        named = [1 / (1 + math.exp(-m)) >= needed for m in best]
+        assert all(r["reaches"] for r, n in zip(got, named) if n) and sum(named) > 10
+        assert needed < 0.5 or sum(r["reaches"] for r in got) < len(got) / 2
 
 
 def test_license_lines_of_documents(spark):
