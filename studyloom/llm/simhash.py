@@ -178,11 +178,14 @@ def keep_one(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates,
     Of rows equal in every column, which are copies of each other, one stays.
     """
     columns = [_column(docs, c) for c in docs.columns]
+    mark = "_row"
+    while mark in docs.columns:  # the rows may have a column of any name
+        mark += "_"
     whole = F.xxhash64(*columns, *[c.isNull() for c in columns])  # nulls leave a hash as it is
     keyed = docs.select(F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), whole.alias("row")).alias("doc_id"), docs["text"])
     found = find(keyed, **options)
-    kept = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row")).agg(F.count("*").alias("_n")))
-    marked = docs.select("*", whole.alias("_row"))
-    chosen = kept.select(F.col("_id").alias("_kept"), F.col("_row").alias("_kept_row"))
-    one = marked.join(chosen, (F.col("_row") == F.col("_kept_row")) & F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return (one.dropDuplicates(["doc_id", "_row"]) if kept.where("_n > 1").limit(1).count() else one).drop("_row")
+    kept = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id.id").alias(f"{mark}id"), F.col("doc_id.row").alias(f"{mark}kept")).agg(F.count("*").alias(f"{mark}n")))
+    marked = docs.select("*", whole.alias(mark))
+    chosen = kept.select(f"{mark}id", f"{mark}kept")
+    one = marked.join(chosen, (F.col(mark) == F.col(f"{mark}kept")) & F.col("doc_id").eqNullSafe(F.col(f"{mark}id")), "left_semi")
+    return (one.dropDuplicates(["doc_id", mark]) if kept.where(F.col(f"{mark}n") > 1).limit(1).count() else one).drop(mark)
