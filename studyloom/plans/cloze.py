@@ -15,7 +15,7 @@ from studyloom.operators.planning import (allocate, assign_contexts, candidate_c
 from studyloom.session import cut
 
 
-# Terms of a section that one question picks its distractors from; bounds the array that travels with the question.
+# Fixed value: terms of a section that one question picks its distractors from, unless the caller names another number.
 POOL_TERMS = 80
 
 
@@ -43,11 +43,12 @@ def slot_contexts(slots: DataFrame) -> DataFrame:
     return out.join(facts, "chunk_id").withColumn("source_ref", F.concat_ws("#", "chunk_id", "rank"))
 
 
-def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame | None = None, pool_terms: int = POOL_TERMS) -> DataFrame:
     """One checked question per slot that can be served.
 
     ``chunks``: request_id, id, document_id, chunk_index, section_id, content (see ``usable_chunks``);
     ``requests``: request_id, question_count.  ``verdict`` is "OK" or the reason of rejection.
+    ``pool_terms`` bounds the array of a section's terms that travels with a question.
     """
     slots = cut(question_slots(chunks, requests, ranks))
     placed = cut(slot_contexts(slots))
@@ -58,7 +59,7 @@ def build_cloze_quiz(chunks: DataFrame, requests: DataFrame, ranks: DataFrame |
     picked = preselect_answers(placed.select("request_id", "slot", "chunk_id", "section_id", "source_ref"), answers)
     asked = slots.select("section_id").filter("section_id is not null").distinct()
     wanted = chunks.join(asked, "section_id", "left_semi").select("section_id", "id", "document_id", "chunk_index", "content")
-    pool = distractor_pool(wanted.dropDuplicates(["id"]), POOL_TERMS)
+    pool = distractor_pool(wanted.dropDuplicates(["id"]), pool_terms)
     q = picked.join(near, "source_ref").join(pool, "section_id", "left")
     key = correct_key(F.col("slot").cast("string"))
     keys = one_of(KEYS)

@@ -417,12 +417,23 @@ def resolved_slots(t):
     return it.resolve_slots(rows, slots).select("request_id", "position", "slot", "reason")
 
 
-EVID = {**TEXT, "cat": (("lines",), f"select doc_id, line_no as n, 'E' || line_no as eid, line, {s_ev('line')} as e from lines where line_no < 8"),
-        "first2": (("lines",), "select doc_id, max(line) filter (where line_no = 0) as l0, max(line) filter (where line_no = 1) as l1 from lines where line_no < 2 group by 1"),
+@query("chosen_slots", """select p_partkey // 5 as request_id, cast(p_partkey % 5 as integer) as position, case when p_partkey % 3 = 0 and p_partkey % 2 = 0 then 'E9' else 'E1' end as e,
+    case when p_partkey % 3 = 0 and p_partkey % 2 = 0 then 'A9' else 'A1' end as a, case when p_partkey % 2 = 0 then 'x,y,z' end as d from part""")
+def chosen_slots(t):
+    """N31 with answers chosen beforehand: they override what items with distractors name, and those only."""
+    item = F.expr("""concat('{"slot":"', p_partkey % 5, '","q":"x","e":"E1","a":"A1"', case when p_partkey % 2 = 0 then ',"d":["x","y","z"]' else '' end, '}')""")
+    rows = t.raw("part").select(F.expr("p_partkey div 5").alias("request_id"), F.expr("cast(p_partkey % 5 as int)").alias("position"), item.alias("item"))
+    slots = t.raw("part").selectExpr("p_partkey div 5 as request_id", "cast(p_partkey % 5 as int) as slot")
+    chosen = t.raw("part").filter("p_partkey % 3 = 0").selectExpr("p_partkey div 5 as request_id", "cast(p_partkey % 5 as int) as slot", "'A9' as answer_id", "'E9' as evidence_id")
+    return it.resolve_slots(rows, slots, chosen).select("request_id", "position", "e", "a", F.array_join("d", ",").alias("d"))
+
+
+EVID = {**TEXT, "cat": (("lines",), f"select doc_id, line_no as n, 'E' || line_no as eid, line, {s_ev('line')} as e from lines"),
+        "first2": ((), "select doc_id, string_split(text, chr(10))[-2] as l0, string_split(text, chr(10))[-1] as l1 from documents"),
         "ask": (("first2",), """select doc_id, coalesce(case doc_id % 5 when 0 then 'e1' when 1 then '  ' || l1 || ' ' when 2 then substr(l1, 3, 40) when 3 then l0 || '  ' || l1 else 'zz not there in any of the sources' end, '') as raw from first2"""),
         "ask2": (("ask",), f"select doc_id, upper({s_strip('raw')}) as id, {s_ev('raw')} as r from ask"),
         "runs": (("cat",), f"""select a.doc_id, a.n as f, b.n as t, b.n - a.n + 1 as len, {s_ev("string_agg(c.line, ' ' order by c.n)")} as e, string_agg(c.eid, ',' order by c.n) as ids
-          from cat a join cat b on b.doc_id = a.doc_id and b.n >= a.n join cat c on c.doc_id = a.doc_id and c.n between a.n and b.n and c.e <> '' where a.e <> '' and b.e <> '' group by 1, 2, 3, 4"""),
+          from cat a join cat b on b.doc_id = a.doc_id and b.n between a.n and a.n + 3 join cat c on c.doc_id = a.doc_id and c.n between a.n and b.n and c.e <> '' where a.e <> '' and b.e <> '' group by 1, 2, 3, 4"""),
         "runfit": (("ask2", "runs"), """select a.doc_id, r.ids, rank() over (partition by a.doc_id order by len(string_split(r.ids, ',')), length(r.e)) as rk from ask2 a join runs r on r.doc_id = a.doc_id
           and (r.e = a.r or (length(a.r) >= 24 and contains(r.e, a.r)))"""),
         "hold": (("ask2", "cat"), """select a.doc_id, c.eid, rank() over (partition by a.doc_id order by length(c.e)) as rk from ask2 a join cat c on c.doc_id = a.doc_id and c.e <> ''
@@ -437,10 +448,11 @@ EVID = {**TEXT, "cat": (("lines",), f"select doc_id, line_no as n, 'E' || line_n
 
 @query("resolved_evidence", oracle("evid", "select request_id, evidence_ids from evid", EVID))
 def resolved_evidence(t):
+    """Literals from the last two lines of every text; the check tries runs of up to four lines, more than a literal of two can need."""
     l = lines(t)
     cat = l.selectExpr("doc_id as request_id", "'0' as slot", "line_no as span_no", "concat('E', line_no) as evidence_id", "line as span")
-    two = l.filter("line_no < 2").groupBy("doc_id").agg(F.max(F.when(F.col("line_no") == 0, F.col("line"))).alias("l0"),
-                                                       F.max(F.when(F.col("line_no") == 1, F.col("line"))).alias("l1"))
+    split = F.split("text", "\n")
+    two = texts(t).select("doc_id", F.get(split, F.size(split) - 2).alias("l0"), F.get(split, F.size(split) - 1).alias("l1"))
     e = F.expr("case doc_id % 5 when 0 then 'e1' when 1 then concat('  ', l1, ' ') when 2 then substr(l1, 3, 40) when 3 then concat(l0, '  ', l1) else 'zz not there in any of the sources' end")
     rows = two.select(F.col("doc_id").alias("request_id"), F.lit("0").alias("slot"), e.alias("e"), F.lit(None).cast("string").alias("reason"))
     return it.resolve_evidence(rows, cat).select("request_id", "evidence_ids")

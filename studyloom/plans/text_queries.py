@@ -314,7 +314,7 @@ def formula_options(t):
 
 ITEMS = {**CLOZE, "items0": (("stems",), """select doc_id, line_no, evidence, answer, case (doc_id + line_no) % 3 when 0 then coalesce(stem, 'What is this here?')
         when 1 then evidence else 'Which of the terms fits the source ' || line_no || '?' end as q,
-      'Alpha ' || doc_id as d1, 'Beta ' || line_no as d2, case when line_no % 5 = 0 then array_to_string(string_split(evidence, ' ')[1:3], ' ') else 'the of value' end as d3 from stems"""),
+      case (doc_id + line_no) % 5 when 0 then substr(evidence, 4) else 'Before. ' || evidence || '  after' end as source, 'Alpha ' || doc_id as d1, 'Beta ' || line_no as d2, case when line_no % 5 = 0 then array_to_string(string_split(evidence, ' ')[1:3], ' ') else 'the of value' end as d3 from stems"""),
     "fits": (("items0",), f"""select *, {s_cmp('q')} as qn, {s_cmp('answer')} as an, {s_strip('answer')} as ans, {s_lang('evidence')} as src, {s_lang('q')} as qlang,
       [{s_lang('answer')}, {s_lang('d1')}, {s_lang('d2')}, {s_lang('d3')}] as olang,
       [contains(answer, '=') or {s_strip('answer')} = '', contains(d1, '='), contains(d2, '='), contains(d3, '=') or {s_strip('d3')} = ''] as oskip from items0"""),
@@ -330,7 +330,7 @@ ITEMS = {**CLOZE, "items0": (("stems",), """select doc_id, line_no, evidence, an
     "gate": (("fit",), f"""select *, {s_relation('q')} as rel, {s_ev('evidence')} as evn, list_filter([case when {s_strict('d1', 'evidence')} then '''B''' end, case when {s_strict('d2', 'evidence')} then '''C''' end,
         case when {s_strict('d3', 'evidence')} then '''D''' end], lambda x: x is not null) as sup from fit"""),
     "verdicts": (("gate",), f"""select *, case when {s_strip('evidence')} = '' then 'fast gate missing evidence_quote' when length({s_strip('evidence')}) > 500 then 'fast gate evidence_quote is too long'
-      when length(evn) < 8 then 'fast gate evidence quote does not exist verbatim in SOURCE'
+      when length(evn) < 8 or not contains({s_ev('source')}, evn) then 'fast gate evidence quote does not exist verbatim in SOURCE'
       when rel = 'PURPOSE' and not {s_any('evn', qn.EVIDENCE_MARKERS['PURPOSE'])} or rel = 'REQUIREMENT' and not {s_any('evn', qn.EVIDENCE_MARKERS['REQUIREMENT'])} then 'fast gate evidence does not contain the required semantic relation ' || rel
       when issue is not null then 'fast gate pedagogical fit failed: ' || issue when not {s_strict('answer', 'evidence')} then 'fast gate correct option lacks direct support in evidence'
       when len(sup) > 0 then 'fast gate found distractor(s) also directly supported by evidence: [' || array_to_string(sup, ', ') || ']' else 'OK' end as verdict from gate""")}
@@ -346,7 +346,9 @@ def items(t):
     texts = F.array(a, F.concat(F.lit("Alpha "), F.col("doc_id").cast("string")), F.concat(F.lit("Beta "), F.col("line_no").cast("string")), d3)
     options = F.transform(texts, lambda x, i: F.struct(F.element_at(F.array(*[F.lit(k) for k in qn.KEYS]), i + 1).alias("option_key"),
                                                        x.alias("option_text"), (i == 0).alias("is_correct")))
-    return pairs(t).select("doc_id", "line_no", e, a, stem.alias("q"), options.alias("options"))
+    # Some sources lack the beginning of what is quoted from them.
+    source = F.when((F.col("doc_id") + F.col("line_no")) % 5 == 0, F.expr("substr(evidence, 4)")).otherwise(F.concat(F.lit("Before. "), e, F.lit("  after")))
+    return pairs(t).select("doc_id", "line_no", e, a, stem.alias("q"), options.alias("options"), source.alias("source"))
 
 
 @query("fit_issues", oracle("fit", "select doc_id, line_no, issue from fit", ITEMS))
@@ -354,9 +356,22 @@ def fit_issues(t):
     return items(t).select("doc_id", "line_no", qn.fit_issue(F.col("q"), F.col("options"), F.col("evidence")).alias("issue"))
 
 
+@query("formula_fit_issues", oracle("lines", """select doc_id, line_no, case when (doc_id + line_no) % 4 = 0 then 'formula question is ambiguous because evidence contains multiple formulas for the same symbol'
+    when (doc_id + line_no) % 4 = 3 then 'formula-style question has a non-formula correct answer' end as issue from lines""", TEXT))
+def formula_fit_issues(t):
+    """N26 on formula questions: two formulas of one symbol, two of one symbol with a context, formulas of two symbols, no formula."""
+    n = (F.col("doc_id") + F.col("line_no")) % 4
+    number = F.col("line_no").cast("string")
+    evidence = F.concat(F.lit("W = c + v; "), F.when(n == 2, "T = k + ").otherwise("W = k + "), number)
+    stem = F.when(n == 1, "Sau khi thay, công thức nào là đúng?").otherwise("Công thức nào là đúng?")
+    answer = F.when(n == 3, "c và v").otherwise("W = c + v")
+    options = F.array(*[F.struct(F.lit(k).alias("option_key"), x.alias("option_text"), F.lit(k == "A").alias("is_correct")) for k, x in zip(qn.KEYS, (answer, F.lit("W = c - v"), F.lit("W = c × v"), F.lit("W = c / v")))])
+    return lines(t).select("doc_id", "line_no", qn.fit_issue(stem, options, evidence).alias("issue"))
+
+
 @query("grounding_verdicts", oracle("verdicts", f"""select doc_id, line_no, verdict, {s_any('lower(verdict)', qn.DETERMINISTIC)} as final from verdicts""", ITEMS))
 def grounding_verdicts(t):
-    v = items(t).withColumn("verdict", qn.grounding_verdict(F.col("evidence"), F.col("q"), F.col("options"), F.col("evidence")))
+    v = items(t).withColumn("verdict", qn.grounding_verdict(F.col("source"), F.col("q"), F.col("options"), F.col("evidence")))
     return v.select("doc_id", "line_no", "verdict", qn.is_deterministic_failure(F.col("verdict")).alias("final"))
 
 
@@ -364,7 +379,7 @@ def grounding_verdicts(t):
 def gate_counts(t):
     from studyloom.plans.cloze import gate_summary
 
-    return gate_summary(items(t).select(qn.grounding_verdict(F.col("evidence"), F.col("q"), F.col("options"), F.col("evidence")).alias("verdict")))
+    return gate_summary(items(t).select(qn.grounding_verdict(F.col("source"), F.col("q"), F.col("options"), F.col("evidence")).alias("verdict")))
 
 
 # ------------------------------------------------------------------------------------ C1, C2, C7, C8, C10, A12
