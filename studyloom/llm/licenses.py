@@ -133,7 +133,7 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     # One in eight of the many windows that name no family is enough.
     found = found.where(F.col("family").isNotNull() | (F.pmod(F.xxhash64(F.array_join("words", " "), F.lit(1)), F.lit(8)) == 0))
     rows = templates(spark).select("family", "words", F.lit(False).alias("held")).union(found)
-    return rows.select(F.md5(F.concat_ws(" ", F.col("held").cast("string"), F.array_join("words", " ")).cast("binary")).alias("row"), "family", "held", features_of(F.col("words")).alias("features"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "family", "held", features_of(F.col("words")).alias("features"))
 
 
 def margins(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -231,7 +231,8 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confirm: float = CONFI
     split = F.filter(F.array(words_of(F.col("text"))), lambda words: general | can_reach(words, largest, least))
     held = stored(unfold(lines, ["doc_id", "paragraph", general.alias("general")], split, "_i", "words").drop("_i"))
     each = unfold(held, ["doc_id", "paragraph", "general"], windows(F.col("words")), "_i", "words").drop("_i")
-    each = stored(each.withColumn("key", F.md5(F.array_join("words", " ").cast("binary"))))
+    each = each.where(F.col("general") | can_reach(F.col("words"), largest, least))
+    each = stored(each.withColumn("key", F.unhex(F.md5(F.array_join("words", " ").cast("binary")))))
     texts = stored(each.groupBy("key").agg(F.min("words").alias("words")))
     texts = stored(texts.select(F.col("key").alias("row"), features_of(F.col("words")).alias("features"), triples_of(F.col("words")).alias("triples")))
     judged = best_family(texts.select("row", "features"), weights)
