@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -23,6 +24,15 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def let_go() -> None:
+    """Give memory that a worker no longer needs back to the machine; workers are kept for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a lost executor costs a read, not the work."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -68,4 +78,4 @@ def shape(docs: DataFrame, *kept: str, **added: str) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
 
 
-__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "among", "cut", "fold_of", "shape", "stored", "text_bytes"]
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "among", "cut", "fold_of", "let_go", "shape", "stored", "text_bytes"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.common import cut, stored, text_bytes
+from studyloom.llm.common import cut, let_go, stored, text_bytes
 from studyloom.llm.contexts import coded
 from studyloom.llm.ppm import count_grams
 from studyloom.llm.word_bpe import packed, unpacked
@@ -255,6 +255,7 @@ def _sum_up(order: int, shards: int, shared: int, names: list[str]):
                 nats[i][j] = n
         sizes = [len(t) for own in texts for t in own]
         columns = {c: pa.chunked_array([rows.column(c) for rows in batches]) for c in names}
+        let_go()
         return pa.table({**columns, "n_bytes": pa.array(sizes, pa.int64()), "nats": pa.array(np.concatenate(nats), pa.float64(), from_pandas=True)})
 
     return run

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import shape, text_bytes
+from studyloom.llm.common import let_go, shape, text_bytes
 
 # Bytes of text in a unit, about.
 UNIT_BYTES = 16_000_000
@@ -131,6 +131,8 @@ def _encode(path: str):
                 known.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in encode_words(path, fresh))))
                 ids = packed_list([known[w] for w in words])
                 yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.binary())], ["unit", "shard", "ids"])
+        known.clear()
+        let_go()
 
     return run
 
@@ -148,6 +150,8 @@ def _assemble(shards: int):
             for rows in unpacked(block):
                 doc_ids.append(rows.column("doc_id"))
                 encoded.append(pa.array([b"".join(map(get, (text or b"").split())) for text in text_bytes(rows)], pa.binary()))
+        table.clear()
+        let_go()
         return pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": pa.chunked_array(encoded)})
 
     return run
@@ -190,5 +194,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 text = pc.binary_join(pa.ListArray.from_arrays(bounds, met), " ")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), ids, text], ["doc_id", "ids", "text"])
                 a = z
+        let_go()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, shape(encoded, ids="binary", text="string"))
