@@ -29,7 +29,7 @@ def shipped(plan):
             yield " ".join(lines[i:end])
 
 
-@pytest.mark.parametrize("name", ["forked_options"])
+@pytest.mark.parametrize("name", ["forked_options", "attempt_sheet"])
 def test_options_are_not_shipped(spark, folder, name):
     df = entry.queries()[name](spark, folder)
     assert df.collect()
@@ -37,13 +37,31 @@ def test_options_are_not_shipped(spark, folder, name):
     assert "Generate explode" in plan and not any("Generate explode" in x for x in shipped(plan))
 
 
-def test_other_queries_keep_the_limit_of_the_session(spark, folder):
-    from studyloom import tune
+def test_tasks_of_scores_do_not_grow_with_the_table(spark, folder):
+    """Scores are grouped in tasks of a bounded size, however few partitions the session asks for."""
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in zip(keys, ("1", "false", "64KB")):
+        spark.conf.set(k, v)
+    try:
+        entry.queries()["attempt_sheet"](spark, folder)
+        own = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        before = spark.conf.get(own)
+        spark.conf.set(own, "64KB")
+        tasks = entry.queries()["attempt_sheet"](spark, folder).rdd.getNumPartitions()
+        spark.conf.set(own, before)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tasks > 1
+
+
+def test_other_queries_keep_the_settings_of_the_session(spark):
+    from studyloom.session import MEASURED, tune
 
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    tune(spark, measured=True)
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
-    tune(spark)
     tune(spark)
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in (before, spark.conf.get("spark.studyloom.estimatedBroadcast"))
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    before = {k: spark.conf.get(k, None) for k in MEASURED}
+    tune(tune(spark, measured=True), measured=True)
+    assert {k: spark.conf.get(k) for k in MEASURED} == MEASURED
+    tune(tune(spark))
+    assert {k: spark.conf.get(k, None) for k in MEASURED} == before
