@@ -101,3 +101,22 @@ def test_empty_index(spark, docs, tmp_path):
     none = spark.createDataFrame([], CHUNKS)
     equal(questions(spark, 7, 5), si.SearchIndex(spark, str(tmp_path / "never")), none, docs)
     equal(questions(spark, 7, 5), indexed(spark, tmp_path / "empty", none, docs), none, docs)
+
+
+def test_upper_case_of_questions_is_that_of_the_sql(spark, tmp_path):
+    """Letters whose upper case Java writes as several: a question in capitals still finds its text."""
+    import duckdb
+
+    from studyloom.plans import retrieval_queries as rq
+    from studyloom.plans.views import Learning
+
+    letters = "ßẞŉǰΐΰևẖﬁﬃᾀᾗᾧᾳῃῳᾼέäéığşđŐ"
+    texts = [f"Enlich schß{c}. {c}rest more" for c in letters] + ["", "one", "Straße GROß x y"]
+    spark.createDataFrame([(4 * i, t) for i, t in enumerate(texts)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.question_id: r.q2 for r in rq.asked(Learning(spark, str(tmp_path))).collect()}
+    wanted = duckdb.sql(f"select item_id, upper(array_to_string(string_split(text, ' ')[1:2], ' ')) from '{tmp_path}/benchmark.parquet/*.parquet'").fetchall()
+    assert got == dict(wanted)
+    chunks = spark.createDataFrame([(1, 0, True, "ré enmenteauon Enlich schß. Ö. Das")], CHUNKS)
+    docs = spark.createDataFrame([(0, 1, 1, "READY")], "id long, owner_id long, subject_id long, status string")
+    q = spark.createDataFrame([(1, 1, "Enlich schß.")], "question_id long, owner_id long, query string").withColumn("query", rq.tx.upper_each(F.col("query")))
+    assert [r.chunk_id for r in ix.substring_search(q, indexed(spark, tmp_path / "index", chunks, docs), chunks, docs).collect()] == [1]
