@@ -24,6 +24,8 @@ from studyloom.sources.segments import Segments
 PART = 4096
 # Characters in a gram, and the bits of one: code points have 21.
 GRAM, BITS = 3, 21
+# Characters of text, and words of it, that a worker indexes at once, whatever the size of an Arrow batch.
+CHARACTERS, WORDS = 1 << 22, 1 << 19
 
 
 def tokens(text: Column) -> Column:
@@ -48,9 +50,18 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) whose sizes add up to ``limit`` at most; a larger row is a run of its own."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, end - at
+        at = end
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a chunk and term, from rows (owner_id, chunk_id, tokens)."""
-    for b in batches:
+    for b in (whole.slice(*run) for whole in batches for run in _slices(pc.list_value_length(whole.column("tokens")).to_numpy(), WORDS)):
         listed = b.column("tokens")
         flat = pc.list_flatten(listed)
         if not len(flat):
@@ -71,7 +82,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted chunk ids by owner, trigram and part, from rows (owner_id, chunk_id, low); a list may come in several rows."""
-    for b in batches:
+    for b in (whole.slice(*run) for whole in batches for run in _slices(pc.utf8_length(whole.column("low")).to_numpy(), CHARACTERS)):
         codes = [gram_codes(t.as_py()) for t in b.column("low")]
         size = [len(c) for c in codes]
         if not sum(size):

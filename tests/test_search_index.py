@@ -120,3 +120,18 @@ def test_upper_case_of_questions_is_that_of_the_sql(spark, tmp_path):
     docs = spark.createDataFrame([(0, 1, 1, "READY")], "id long, owner_id long, subject_id long, status string")
     q = spark.createDataFrame([(1, 1, "Enlich schß.")], "question_id long, owner_id long, query string").withColumn("query", rq.tx.upper_each(F.col("query")))
     assert [r.chunk_id for r in ix.substring_search(q, indexed(spark, tmp_path / "index", chunks, docs), chunks, docs).collect()] == [1]
+
+
+def test_large_batches_are_indexed_in_slices():
+    """Postings and trigram lists of one large Arrow batch come in several, with the rows that the whole batch holds."""
+    import pyarrow as pa
+
+    rng, n = random.Random(3), 12_000
+    texts = [" ".join(f"word{rng.randint(0, 999)}" for _ in range(rng.choice([0, 90, 110]))) for _ in range(n)]
+    ids, owner = pa.array(range(n), pa.int64()), pa.array([i % 3 for i in range(n)], pa.int64())
+    rows = lambda name, column: iter([pa.RecordBatch.from_arrays([owner, ids, column], ["owner_id", "chunk_id", name])])
+    posted = list(si._postings(rows("tokens", pa.array([t.split() for t in texts], pa.list_(pa.string())))))
+    assert len(posted) > 1 and sum(b.num_rows for b in posted) == sum(len(set(t.split())) for t in texts)
+    assert sum(len(b.column("positions").flatten()) for b in posted) == sum(len(t.split()) for t in texts)
+    listed = list(si._gram_lists(rows("low", pa.array(texts))))
+    assert len(listed) > 1 and sum(len(b.column("ids").flatten()) for b in listed) == sum(len(si.gram_codes(t)) for t in texts)
