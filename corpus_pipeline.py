@@ -42,7 +42,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more.
 
-    Fingerprints of 64 bits cannot serve here, near copies at 0.80 to 0.85 differ in 8 bits on average and up to 17; op4 alone uses them.
+    SimHash blocks find candidates within 4 bits and the shingle sets verify them.  Near copies at 0.80 to 0.85 differ in 8 bits on average and
+    up to 17, so min-hash bands bring further candidates to the same check.
     """
     return simhash.keep_one(docs, overlap.near_duplicates)
 

@@ -1,8 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: min-hash bands find candidates, shingle sets verify them.
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash blocks and min-hash bands find candidates, shingle sets verify them.
 
-A document is the set of its hashed shingles; equal sets are one entry.  An entry is posted under ``BANDS`` keys of ``ROWS`` min-hashes
+A document is the set of its hashed shingles; equal sets are one entry.  The SimHash of a set is linked to those within ``DISTANCE`` bits by
+``simhash.link_fingerprints``, which loses none; but sets of similarity 0.8 differ in 8 bits on average, so an entry is also posted under ``BANDS`` keys of ``ROWS`` min-hashes
 each, which meet in at least one key with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9993 at 0.8, 0.99999 at 0.85.  Entries that share
-a key form loose regions.  Only the sets of regions of two or more travel; a region is cut into parts, every two parts are one group of
+a key or have linked fingerprints form loose regions.  Only the sets of regions of two or more travel; a region is cut into parts, every two parts are one group of
 bounded size, and a group gives a spanning star of the links that hold exactly, never its pairs.
 """
 
@@ -18,7 +19,7 @@ import xxhash
 
 from studyloom.llm.common import cut, text_bytes
 from studyloom.llm.graph import components
-from studyloom.llm.simhash import SEED, _union, named, shingle_hashes
+from studyloom.llm.simhash import SEED, _union, link_fingerprints, named, set_print, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -57,8 +58,8 @@ def _described(shingle: int):
         for b in batches:
             sets = [shingle_set(t, shingle) for t in text_bytes(b)]
             keys = [band_keys(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([entry_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                             ["doc_id", "fingerprint", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([entry_of(s) for s in sets], pa.int64()), pa.array([set_print([s]) for s in sets], pa.int64()),
+                                              pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "simhash", "keys"])
 
     return run
 
@@ -114,18 +115,28 @@ def _verify(similarity: float):
     return run
 
 
+def simhash_links(prints: DataFrame) -> DataFrame:
+    """(u, v) of entries (fingerprint, simhash) whose SimHashes are equal or linked within a few bits; spanning links, never pairs."""
+    held = prints.groupBy("simhash").agg(F.min("fingerprint").alias("least"))
+    equal = prints.join(held, "simhash").where("fingerprint <> least").select(F.col("fingerprint").alias("u"), F.col("least").alias("v"))
+    near = link_fingerprints(held.select(F.col("simhash").alias("fingerprint")))
+    named_u = near.join(held.select(F.col("simhash").alias("u"), F.col("least").alias("one")), "u")
+    ends = named_u.join(held.select(F.col("simhash").alias("v"), F.col("least").alias("two")), "v")
+    return equal.union(ends.select("one", "two"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc_id, fingerprint long, component_id) of every row, as ``simhash.near_duplicates`` gives it, for links of ``similarity`` or more.
 
     Texts without words are one entry; a text of fewer words than a shingle is one shingle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_described(shingle), f"doc_id {kind}, fingerprint long, keys array<long>"))
-    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+    rows = cut(docs.select("doc_id", "text").mapInArrow(_described(shingle), f"doc_id {kind}, fingerprint long, simhash long, keys array<long>"))
+    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.first("simhash").alias("simhash"), F.first("keys").alias("keys"))
     posted = prints.select("fingerprint", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).where("n > 1")
     stars = posted.join(shared, "key").where("fingerprint <> least").select(F.col("fingerprint").alias("u"), F.col("least").alias("v")).distinct()
-    loose = cut(components(stars)).select(F.col("node").alias("fingerprint"), F.col("component").alias("region"))
+    loose = cut(components(stars.union(simhash_links(prints.where("keys is not null"))))).select(F.col("node").alias("fingerprint"), F.col("component").alias("region"))
     sets = (docs.select("text").mapInArrow(_sets(shingle), "fingerprint long, shingles binary")
             .groupBy("fingerprint").agg(F.first("shingles").alias("shingles")).join(loose, "fingerprint"))  # copies are one before they are dealt
     sets = cut(sets)

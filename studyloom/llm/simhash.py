@@ -8,7 +8,7 @@ own; a group yields a spanning star of its close members, never its pairs.  Star
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,15 +48,20 @@ def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(start[at:at + SLICE].tolist(), end[at:at + SLICE].tolist())], "<u8")
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text as a signed 64-bit number; a bit is set if it is set in over half of the shingle hashes."""
+def set_print(slices: Iterable[np.ndarray]) -> int:
+    """SimHash of hashes as a signed 64-bit number; a bit is set if it is set in over half of them."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+    for hashes in slices:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text's shingles."""
+    return set_print(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint long) for every row; null and blank texts get zero."""
 

@@ -144,6 +144,18 @@ def test_pipeline_finds_similarity_of_four_fifths(spark, part):
         assert kept == {i for i, c in got.items() if i == c}
 
 
+def test_pipeline_links_by_simhash(spark):
+    """Entries whose SimHashes are within 4 bits are candidates, and only links that hold exactly stay."""
+    base = [f"v{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base + ["tail"]), " ".join(f"x{i}" for i in range(300)), "", "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = spark.createDataFrame([(overlap.entry_of(s), simhash.set_print([s])) for s in (overlap.shingle_set(t.encode()) for t in texts[:5] if t)], "fingerprint long, simhash long")
+    a, b = (overlap.entry_of(overlap.shingle_set(t.encode())) for t in texts[:2])
+    assert {(min(r), max(r)) for r in overlap.simhash_links(prints).collect()} == {(min(a, b), max(a, b))}
+    got = {r["doc_id"]: r["component_id"] for r in overlap.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
 def test_null_and_repeated_ids_stand_for_themselves(spark):
     a, b, c = ("".join(f"{x}{i} " for i in range(400)) for x in "abc")
     rows = [(None, a, None, "x"), (None, b, "x", None), (7, c, "x", "x"), (7, "quite another text", "x", "x"), (3, c + "more", "x", "x"), (3, "alone", "x", "x"),
