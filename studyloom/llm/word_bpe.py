@@ -132,6 +132,7 @@ def _encode(path: str):
                 ids = packed_list([known[w] for w in words])
                 yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.binary())], ["unit", "shard", "ids"])
         known.clear()
+        tokenizer.cache_clear()  # a worker that goes on to other work keeps neither words nor tokenizer
         let_go()
 
     return run
@@ -194,6 +195,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 text = pc.binary_join(pa.ListArray.from_arrays(bounds, met), " ")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), ids, text], ["doc_id", "ids", "text"])
                 a = z
+        del table
+        pieces.cache_clear()
         let_go()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, shape(encoded, ids="binary", text="string"))
