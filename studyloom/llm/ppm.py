@@ -12,16 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import cut, shape
+from studyloom.llm.common import cut, let_go
 from studyloom.llm.contexts import PAD, ContextMachine, grams, node_table, summed
 
 ORDER = 3
 # About so many distinct labelled texts of a language are learnt from: those with the lowest hashes.
 SAMPLE_TEXTS = 1500
 MAX_LANGUAGES = 500
+# Bytes of text that are folded and charged at once, whatever the size of an Arrow batch.
+TEXT_BYTES = 1 << 22
 UNKNOWN = "und"
 
 
@@ -61,6 +64,8 @@ def count_grams(texts: DataFrame, n: int, fold=folded) -> DataFrame:
             codes, times = summed(*parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(times, pa.int64())],
                                              ["lang", "gram", "n"])
+        held.clear()
+        let_go()
 
     return texts.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -107,7 +112,7 @@ def machine_of(rows, order: int = ORDER) -> tuple[list[str], ContextMachine]:
     return langs, ContextMachine(symbol, order, child, cost)
 
 
-def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs``, learnt from (lang, text) of ``labelled``.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learnt.  The score is the share of the winner if every
@@ -119,16 +124,24 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, texts: in
         return read.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shipped = docs.sparkSession.sparkContext.broadcast(machine_of(rows, order))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def judged(texts: pa.Array) -> pa.Array:
         langs, machine = shipped.value
         names = np.array([*langs, UNKNOWN], object)
-        for b in batches:
-            texts_ = [folded(t) for t in b.column("text").to_pylist()]
-            bits = machine.charge(texts_)
+        found, ends = [], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + text_bytes, side="right")))
+            part = [folded(t) for t in texts.slice(a, z - a).to_pylist()]
+            bits = machine.charge(part)
             best = bits.argmin(1)
             share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-            empty = np.array([not t for t in texts_], bool)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[np.where(empty, len(langs), best)], pa.string()),
-                                              pa.array(np.where(empty, 0.0, share), pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return read.mapInArrow(run, shape(docs, lang_pred="string", score="double"))
+            empty = np.array([not t for t in part], bool)
+            found.append((names[np.where(empty, len(langs), best)], np.where(empty, 0.0, share)))
+            a = z
+        let_go()
+        lang, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, object), np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    # Only texts go to Python; the rows that doc_id may hold stay with Spark.  Not deterministic: a filter on the result must not judge twice.
+    return read.select("doc_id", judged.asNondeterministic()("text").alias("_found")).select("doc_id", "_found.lang_pred", "_found.score")

@@ -182,6 +182,17 @@ def test_language_of_odd_texts(spark):
     assert ppm.identify(docs.limit(0), learnt).count() == 0
 
 
+def test_language_slices_and_rows_that_stay_with_spark(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the and of", None, "der und die", "", "the thing " * 50, "日本語", "x"])], "n long, text string")
+    whole = docs.select(F.struct("n", "text").alias("doc_id"), "text")
+    learnt = spark.createDataFrame([("en", "the and of the thing"), ("de", "der und die das")], "lang string, text string")
+    found = ppm.identify(whole, learnt, text_bytes=1)
+    rows = lambda df: sorted((r["doc_id"]["n"], r["lang_pred"], r["score"]) for r in df.collect())
+    assert rows(found) == rows(ppm.identify(whole, learnt)) and [r[1] for r in rows(found)][:5] == ["en", "und", "de", "und", "en"]
+    plan = found.where("lang_pred <> 'und'")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("judged(") == 1  # rows stay with Spark, every text is judged once
+
+
 def test_marginals_are_sums_over_labellings():
     rng = np.random.default_rng(2)
     worth, move, start = rng.normal(size=5), rng.normal(size=(2, 2)), rng.normal(size=2)
