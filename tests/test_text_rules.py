@@ -335,3 +335,27 @@ def test_assembly(spark):
     assert [o.is_correct for o in out[1].options] == [False, False, True, False]
     assert [o.is_correct for o in out[2].options] == [False, True, False, False]
     assert out[3].reason == "invalid answer id"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_texts_met_by_many_markers_are_computed_once(spark):
+    x = spark.sql("select 'Wird UMGEFORMT: it is converted to W = 2' as x")
+    for found in (tx.has_any(F.reverse("x"), ("a", "b")), tx.starts_with_any(F.reverse("x"), ("a", "b"))):
+        assert "(reverse(x" in plan_of(x.select(found)) and "contains(reverse(" not in plan_of(x.select(found)) and "StartsWith(reverse(" not in plan_of(x.select(found))
+    asked = x.select(qn.rewrite_needs_context(F.col("x"), F.reverse(F.lit("2 = W")), F.lit("W = 2 và W = 3")).alias("v"))
+    assert plan_of(asked).count("reverse(2 = W)") <= 2
+
+
+def test_candidates_of_distractors_are_ranked_once(spark):
+    x = spark.sql("select array('Alpha', '  - beta ', 'alpha!', 'Gamma ray', 'Delta') as near")
+    three = x.select(qn.pick_distractors(F.array(), F.lit("Omega"), F.lit("Omega is last"), F.reverse("near"), F.array()).alias("v"))
+    assert plan_of(three).count("reverse(near") == 1
+    assert three.first()["v"] == ["Alpha", "Delta", "beta"]
+
+
+def test_marks_before_an_answer_go_in_one_pass(value):
+    for text, want in (("- 1. * Wert ;", "Wert"), ("  a) b) Wert", "b) Wert"), ("•• 2.3. x", "x"), ("1.", ""), ("", ""), ("Wert - ", "Wert")):
+        assert value(qn.clean_answer, text) == want
