@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.session import checkpoint_dir, cut
+from studyloom.session import checkpoint_dir, cut, swept
 
 # A-Z and a-z, the only letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +36,8 @@ def let_go() -> None:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a lost executor costs a read, not the work."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,14 @@
 """Plans that must not depend on how well a table is compressed."""
 
+import os
+import time
+
+from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__ as entry
+from studyloom.llm.common import stored
+from studyloom.session import SWEEP, cut
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +71,19 @@ def test_other_queries_keep_the_settings_of_the_session(spark):
     assert {k: spark.conf.get(k) for k in MEASURED} == MEASURED
     tune(tune(spark))
     assert {k: spark.conf.get(k, None) for k in MEASURED} == before
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.startswith("shuffle_") for d in folders for _, _, files in os.walk(d) for f in files)
+
+
+@pytest.mark.parametrize("write", [cut, stored])
+def test_written_rows_leave_no_shuffle_behind(spark, write):
+    before = shuffle_files(spark)
+    rows = write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while shuffle_files(spark) > before and time.time() < end:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before and rows.count() == 7
+    assert spark.conf.get(SWEEP, None) is None
