@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from studyloom.llm.common import stored
+from studyloom.operators.items import assemble_questions
 from studyloom.session import SWEEP, cut
 
 
@@ -87,3 +88,15 @@ def test_written_rows_leave_no_shuffle_behind(spark, write):
         time.sleep(0.2)
     assert shuffle_files(spark) <= before and rows.count() == 7
     assert spark.conf.get(SWEEP, None) is None
+
+
+def test_the_catalogue_of_answers_is_made_once(spark):
+    """Answers of all texts cost most of an item; naming one of them must not make them again."""
+    answers = spark.range(7).selectExpr("id as request_id", "'0' as slot", "concat('A', id % 2) as answer_id", "'E0' as evidence_id", "concat('term ', id) as answer")
+    items = spark.range(5).selectExpr("id as request_id", "'0' as slot", "cast(null as string) as reason", "'Which term is meant?' as q", "'E0' as evidence_ids",
+                                      "concat('We call it term ', id) as evidence", "'A0' as a", "cast(null as string) as c", "array('x ray', 'y ray', 'z ray') as d", "cast(null as array<string>) as o")
+    made = assemble_questions(items, answers)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 7") == 1
+    rows = {r["request_id"]: r for r in made.collect()}
+    assert [rows[i]["reason"] for i in range(5)] == [None, "invalid answer id"] * 2 + [None]
+    assert {o["option_text"] for o in rows[2]["options"]} == {"term 2", "x ray", "y ray", "z ray"}
