@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from studyloom.llm.common import stored
-from studyloom.operators.items import assemble_questions
+from studyloom.operators.items import assemble_questions, distractor_terms
 from studyloom.session import SWEEP, cut
 
 
@@ -100,3 +100,13 @@ def test_the_catalogue_of_answers_is_made_once(spark):
     rows = {r["request_id"]: r for r in made.collect()}
     assert [rows[i]["reason"] for i in range(5)] == [None, "invalid answer id"] * 2 + [None]
     assert {o["option_text"] for o in rows[2]["options"]} == {"term 2", "x ray", "y ray", "z ray"}
+
+
+def test_terms_are_normalized_once(spark):
+    """Candidates are in normal form but for their case, so terms and spans need no further pattern; texts are only lower-cased."""
+    chunks = spark.createDataFrame([(1, 1, 0, "First term, SECOND term; - third term!\tNext  one. 3. Not alone"), (1, 1, 1, "second TERM, “Quoted” here")],
+                                   "section_id int, document_id int, chunk_index int, content string")
+    made = distractor_terms(chunks)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[.!?;,:\-]+\z" not in plan
+    assert [r["text"] for r in made.orderBy("_at").collect()] == ["First term", "SECOND term", "third term", "Next one", "Not alone", "Quoted", "“Quoted” here"]
