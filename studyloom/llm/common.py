@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 import ctypes
 import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,23 @@ def let_go() -> None:
         pass
 
 
+# Bytes of text that a task turns into sets or matches at once, whatever the size of an Arrow batch.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most ``size`` bytes of text, or of one row; memory goes back when the task has read its last one."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+        del b, ends
+        let_go()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a lost executor costs a read, not the work."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -79,4 +98,4 @@ def shape(docs: DataFrame, *kept: str, **added: str) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
 
 
-__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "among", "cut", "fold_of", "let_go", "shape", "stored", "text_bytes"]
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "among", "cut", "fold_of", "let_go", "shape", "slices", "stored", "text_bytes"]

@@ -156,6 +156,8 @@ def _post(order: int, shards: int, shared: int):
                 for shard, at in _dealt(shard_of(lang, grams >> 8 & ((1 << 8 * shared) - 1), shards)):
                     rows.append((shard, lang, packed(pa.RecordBatch.from_arrays([pa.array(np.diff(grams[at], prepend=0))], ["step"]), PACKED)))
         unit = table["unit"][0].as_py()
+        del texts
+        let_go()
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "turn": pa.array([1] * len(rows), pa.int32()), "unit": pa.array([unit] * len(rows), pa.int32()),
                          "lang": pa.array([r[1] for r in rows], pa.string()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -228,6 +230,8 @@ def _answer(order: int):
                         answer = packed(pa.RecordBatch.from_arrays([pa.array(costs)], ["cost"]), PACKED)
                         yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([s], pa.int32()), pa.array([lang], pa.string()), pa.array([answer], pa.binary())],
                                                          ["unit", "shard", "lang", "costs"])
+        del held
+        let_go()
 
     return run
 

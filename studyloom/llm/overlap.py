@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 import xxhash
 
-from studyloom.llm.common import cut, text_bytes
+from studyloom.llm.common import cut, let_go, slices, text_bytes
 from studyloom.llm.graph import components
 from studyloom.llm.simhash import SEED, _union, link_fingerprints, named, set_print, shingle_hashes
 
@@ -55,7 +55,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 def _described(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, shingle) for t in text_bytes(b)]
             keys = [band_keys(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([entry_of(s) for s in sets], pa.int64()), pa.array([set_print([s]) for s in sets], pa.int64()),
@@ -66,7 +66,7 @@ def _described(shingle: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, shingle) for t in text_bytes(b)]
             yield pa.RecordBatch.from_arrays([pa.array([entry_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                              ["fingerprint", "shingles"])
@@ -110,6 +110,8 @@ def _verify(similarity: float):
         while not np.array_equal(root, up := root[root]):
             root = up
         moved = np.flatnonzero(root != np.arange(len(root)))
+        del blobs, sets, both, close
+        let_go()
         return pa.table({"u": pa.array(value[moved], pa.int64()), "v": pa.array(value[root[moved]], pa.int64())})
 
     return run

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.llm.common import LOWER, UPPER, cut, text_bytes
+from studyloom.llm.common import LOWER, UPPER, cut, slices, text_bytes
 
 WINDOW = 10
 # Characters of items in one automaton, and bytes of automata that one round ships.
@@ -265,7 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     def in_one_round(shipped):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machines = [pickle.loads(x) for x in shipped.value]
-            for b in batches:
+            for b in slices(batches):
                 keep, texts = [], []
                 for text in text_bytes(b):
                     kept = text

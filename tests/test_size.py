@@ -3,11 +3,12 @@
 import os
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__ as entry
-from studyloom.llm.common import stored
+from studyloom.llm.common import slices, stored
 from studyloom.operators.chunking import assign_sections
 from studyloom.operators.items import assemble_questions, distractor_terms
 from studyloom.session import SWEEP, cut
@@ -121,3 +122,12 @@ def test_words_of_a_block_are_bound_once(spark):
     made = assign_sections(blocks_df, sections)
     assert "array_intersect" in made._jdf.queryExecution().optimizedPlan().toString()
     assert [r["section_id"] for r in made.orderBy("block_index").collect()] == [7, 8, None]
+
+
+def test_tasks_take_texts_in_slices():
+    """What a task holds of a batch is bounded by bytes of text; no row is lost, and a text larger than a slice stands alone."""
+    texts = ["a" * 30, None, "b" * 50, "", "c" * 500, "d" * 60, "e" * 60]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": pa.array(texts)}), pa.RecordBatch.from_pydict({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    got = [b.column("text").to_pylist() for b in slices(iter(batches), 100)]
+    assert [t for part in got for t in part] == texts
+    assert got == [texts[:4], [texts[4]], [texts[5]], [texts[6]]]
