@@ -144,7 +144,8 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, blocks: int =
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
-    met = (posted.join(shared, "key").select("key", "fingerprint", parts.alias("parts"), own.alias("own"))
+    # Spark sizes exploded rows as if there was one a fingerprint, so either side could be taken for a table small enough to ship.
+    met = (posted.join(shared.hint("merge"), "key").select("key", "fingerprint", parts.alias("parts"), own.alias("own"))
            .select("key", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fingerprint"))
     grouped = met.repartition("group").sortWithinPartitions("group", "fingerprint")
