@@ -127,6 +127,14 @@ def simhash_links(prints: DataFrame) -> DataFrame:
     return equal.union(ends.select("one", "two"))
 
 
+def band_links(prints: DataFrame) -> DataFrame:
+    """(u, v) of entries (fingerprint, keys) that share a key, as stars around the least entry of each key; never pairs."""
+    posted = prints.select("fingerprint", F.explode("keys").alias("key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).where("n > 1")
+    met = posted.join(shared.hint("merge"), "key").where("fingerprint <> least")  # exploded rows are sized too low to be shipped on an estimate
+    return met.select(F.col("fingerprint").alias("u"), F.col("least").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc_id, fingerprint long, component_id) of every row, as ``simhash.near_duplicates`` gives it, for links of ``similarity`` or more.
 
@@ -135,10 +143,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(docs.select("doc_id", "text").mapInArrow(_described(shingle), f"doc_id {kind}, fingerprint long, simhash long, keys array<long>"))
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.first("simhash").alias("simhash"), F.first("keys").alias("keys"))
-    posted = prints.select("fingerprint", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least")).where("n > 1")
-    stars = posted.join(shared, "key").where("fingerprint <> least").select(F.col("fingerprint").alias("u"), F.col("least").alias("v")).distinct()
-    loose = cut(components(stars.union(simhash_links(prints.where("keys is not null"))))).select(F.col("node").alias("fingerprint"), F.col("component").alias("region"))
+    loose = cut(components(band_links(prints).union(simhash_links(prints.where("keys is not null"))))).select(F.col("node").alias("fingerprint"), F.col("component").alias("region"))
     sets = (docs.select("text").mapInArrow(_sets(shingle), "fingerprint long, shingles binary")
             .groupBy("fingerprint").agg(F.first("shingles").alias("shingles")).join(loose, "fingerprint"))  # copies are one before they are dealt
     sets = cut(sets)
