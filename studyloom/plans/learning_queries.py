@@ -137,7 +137,7 @@ def topic_mastery(t):
 
 
 def topics(t):
-    scope = (t.answers.select("attempt_id", "question_id").join(t.attempts.selectExpr("id as attempt_id", "user_id"), "attempt_id")
+    scope = (t.answered.join(t.attempts.selectExpr("id as attempt_id", "user_id"), "attempt_id")
              .join(t.questions.selectExpr("id as question_id", "source_chunk_id as chunk_id"), "question_id")
              .join(t.chunks.selectExpr("id as chunk_id", "document_id"), "chunk_id")
              .join(t.documents.filter("subject_id is not null").selectExpr("id as document_id", "subject_id"), "document_id")
