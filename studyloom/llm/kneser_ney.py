@@ -56,7 +56,7 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     by_order = {order: counts.withColumnRenamed("n", "c")}
     for k in range(order - 1, 0, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        by_order[k] = by_order[k + 1].select("lang", low.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+        by_order[k] = stored(by_order[k + 1].select("lang", low.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c")))
     probabilities, weights, below = [], [], None
     for k in range(1, order + 1):
         number = lambda i: F.count(F.when(F.col("c") == i, 1))
@@ -71,13 +71,15 @@ def tables(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         cut_off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("off", F.least(cut_off, F.col("c").cast("double")))
         totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma"))
-        joined = rows.select("lang", "gram", "context", "c", "off").join(totals, ["lang", "context"])
+        # Tables are sized by their compressed files; those of three bytes and more grow with the texts and are never shipped.
+        large = (lambda df: df.hint("merge")) if k > 2 else (lambda df: df)
+        joined = rows.select("lang", "gram", "context", "c", "off").join(large(totals), ["lang", "context"])
         own = (F.col("c") - F.col("off")) / F.col("total")
         if below is None:
             joined = joined.withColumn("p", own + F.col("gamma") / 256)
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            joined = (joined.withColumn("suffix", suffix).join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("shorter")), ["lang", "suffix"])
+            joined = (joined.withColumn("suffix", suffix).join(large(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("shorter"))), ["lang", "suffix"])
                       .withColumn("p", own + F.col("gamma") * F.col("shorter")))
         below = joined.select("lang", F.lit(k).alias("size"), "gram", "p")
         probabilities.append(below)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from studyloom.llm import overlap, simhash
+from studyloom.llm import kneser_ney, overlap, simhash
 from test_size import shipped
 
 
@@ -42,3 +42,18 @@ def test_band_keys_of_entries_are_not_shipped(spark, limit):
     found, sent = shipped_after(overlap.band_links(prints))
     assert not sent
     assert found == {(1, 0), (2, 0)}
+
+
+def test_model_tables_that_grow_are_not_shipped(spark, limit, monkeypatch):
+    """Tables of three bytes and more are joined where they are, however small their files; every order is counted once, in a plan of its own."""
+    made, write = [], kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda df: made.append(df) or write(df))
+    counts = spark.range(500).select(F.lit("en").alias("lang"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("gram"), F.lit(1).cast("long").alias("n"))
+    grams, _ = kneser_ney.tables(write(counts), 5)
+    tables = [df for df in made if df.columns == ["lang", "size", "gram", "p"]]
+    assert len(tables) == 5
+    for k, df in enumerate(tables, 1):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert k <= 2 or plan.count("BroadcastHashJoin") == 2, k  # the discounts, one row a language, for the grams and their contexts
+        assert plan.count("HashAggregate") <= 6
+    assert grams.where("size = 5").count() == 500
